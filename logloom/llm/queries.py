@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, jaccard, pii, quality, repeats, sharding
+from . import bpe, decontaminate, fingerprints, jaccard, lm, pii, quality, repeats, sharding
 from .common import table
 
 
@@ -59,6 +59,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, "doc_id", "text", [1.0] * 24).drop("text")
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.fit(docs.where(lm.learned()).select("text"))
+    scored = lm.score_texts(docs, model)
+    return scored.select("doc_id", (~lm.learned()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
+    "op9_language_model": op9_language_model,
     "op10_decontamination": op10_decontamination,
 }
 
