@@ -12,8 +12,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that a text operator handles and hands on at once, however large the batches that it is given.
+SLICE = 2000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,23 +51,31 @@ def keep_columns(df: DataFrame, made: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in names]
 
 
-def add_columns(df: DataFrame, text: str, made: T.StructType, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], also: tuple[str, ...] = ()) -> DataFrame:
-    """``mapInArrow`` that appends the ``made`` columns to each row.
+def add_columns(df: DataFrame, text: str, made: T.StructType, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], also: tuple[str, ...] = (), without: tuple[str, ...] = ()) -> DataFrame:
+    """``mapInArrow`` that appends the ``made`` columns to each row, and drops the columns ``without``.
 
     ``rows`` turns an iterator of batches (the text, then the columns ``also``) into lists of arrays, batch for batch.
     """
-    kept = keep_columns(df, made.fieldNames())
+    kept = [c for c in keep_columns(df, made.fieldNames()) if c not in without]
     schema = T.StructType([df.schema[c] for c in kept] + list(made.fields))
-    hidden = f"_text_{uuid.uuid4().hex[:8]}"
-    source = df.select(*[df[f"`{c}`"] for c in kept], df[f"`{text}`"].cast("string").alias(hidden), *[df[f"`{c}`"].alias(f"{hidden}_{i}") for i, c in enumerate(also)])
+    plain = isinstance(df.schema[text].dataType, T.StringType) or text in also
+    fed = [(f"_in_{i}", F.col(f"`{c}`") if i or plain else F.col(f"`{c}`").cast("string")) for i, c in enumerate((text, *also))]
+    place = [kept.index(c) if c in kept and (i or plain) else None for i, c in enumerate((text, *also))]
+    extra = [x for x, p in zip(fed, place, strict=True) if p is None]
+    at = iter(range(len(kept), len(kept) + len(extra)))
+    place = [next(at) if p is None else p for p in place]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(name) for name, c in extra])
+    fed_names = [name for name, _ in fed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[pa.RecordBatch] = []
 
         def texts() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                pending.append(b)
-                yield b.select(list(range(len(kept), b.num_columns)))
+                for start in range(0, b.num_rows, SLICE):
+                    part = b.slice(start, SLICE)
+                    pending.append(part)
+                    yield pa.RecordBatch.from_arrays([part.column(p) for p in place], names=fed_names)
 
         for made_arrays in rows(texts()):
             b = pending.pop(0)

@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import add_columns, cut, keep_columns, views
+from .filters import among, hash_bits
 from .tokens import PLAIN, mix, powers, windows
 
-#: Bits of the filter that keeps pieces with a surely unique minimizer out of the shuffle. It only saves work.
-FILTER_BITS = 26
 _CHUNK = 1 << 18
 
 
@@ -70,7 +69,7 @@ def _minimizers(df: DataFrame, text: str, size: int, anchor: int) -> DataFrame:
 
 
 def _pieces(df: DataFrame, size: int, anchor: int, shared) -> DataFrame:
-    """Rows (k1, k2, h, content, first, n, w) of pieces whose minimizer may repeat; df has k1, k2, t."""
+    """Rows (k1, k2, h, content, first, n) of pieces whose minimizer may repeat; df has k1, k2, t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -79,57 +78,88 @@ def _pieces(df: DataFrame, size: int, anchor: int, shared) -> DataFrame:
             held: list[tuple] = []
             n = 0
             for i, view in enumerate(views(batch.column(2))):
-                for h, content, first, count, w in path_pieces(PLAIN.hashes(view), size, anchor) if view is not None else ():
-                    slot = h >> np.uint64(64 - FILTER_BITS)
-                    may = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                for h, content, first, count, _ in path_pieces(PLAIN.hashes(view), size, anchor) if view is not None else ():
+                    may = among(bits, h)
                     if may.any():
-                        held.append((np.full(int(may.sum()), k1[i]), np.full(int(may.sum()), k2[i]), h[may], content[may], first[may], count[may], w[np.repeat(may, count)]))
-                        n += len(held[-1][-1])
-                    if n > 1 << 20:
-                        yield _rows(held)
-                        held, n = [], 0
+                        held.append((np.full(int(may.sum()), k1[i]), np.full(int(may.sum()), k2[i]), h[may], content[may], first[may], count[may]))
+                        n += len(held[-1][0])
+                if n > 1 << 18:
+                    yield rows(held)
+                    held, n = [], 0
             if held:
-                yield _rows(held)
+                yield rows(held)
 
-    def _rows(held: list[tuple]) -> pa.RecordBatch:
+    def rows(held: list[tuple]) -> pa.RecordBatch:
         a = [np.concatenate(c) for c in zip(*held, strict=True)]
-        at = np.concatenate(([0], np.cumsum(a[5]))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(a[6].view(np.int64)))
-        plain = [pa.array(a[0]), pa.array(a[1]), pa.array(a[2].view(np.int64)), pa.array(a[3].view(np.int64)), pa.array(a[4].astype(np.int64)), pa.array(a[5].astype(np.int32))]
-        return pa.RecordBatch.from_arrays([*plain, lists], names=["k1", "k2", "h", "content", "first", "n", "w"])
+        return pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(a[1]), pa.array(a[2].view(np.int64)), pa.array(a[3].view(np.int64)), pa.array(a[4].astype(np.int32)), pa.array(a[5].astype(np.int32))], names=["k1", "k2", "h", "content", "first", "n"])
+
+    return df.mapInArrow(run, "k1 long, k2 long, h long, content long, first int, n int")
+
+
+def _window_hashes(df: DataFrame, size: int, anchor: int, shared) -> DataFrame:
+    """(content, w): the window hashes of pieces whose content may be in the bit map, once for what a task remembers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        known: set[int] = set()
+        for batch in batches:
+            held: list[tuple] = []
+            n = 0
+            for view in views(batch.column(0)):
+                for _, content, _, count, w in path_pieces(PLAIN.hashes(view), size, anchor) if view is not None else ():
+                    may = among(bits, content)
+                    for i in np.flatnonzero(may).tolist():
+                        x = int(content[i])
+                        if x in known:
+                            may[i] = False
+                        known.add(x)
+                    if may.any():
+                        held.append((content[may], count[may], w[np.repeat(may, count)]))
+                        n += len(held[-1][-1])
+                if n > 1 << 18:
+                    yield rows(held)
+                    held, n = [], 0
+            if len(known) > 1 << 18:
+                known.clear()
+            if held:
+                yield rows(held)
+
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        content, count, w = (np.concatenate(c) for c in zip(*held, strict=True))
+        at = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(w.view(np.int64)))], names=["content", "w"])
 
-    return df.mapInArrow(run, "k1 long, k2 long, h long, content long, first long, n int, w array<long>")
+    return df.select("t").mapInArrow(run, "content long, w array<long>")
 
 
-def find_repeats(df: DataFrame, text: str = "text", size: int = 35, anchor: int = 10) -> DataFrame:
+def find_repeats(df: DataFrame, text: str = "text", size: int = 35, anchor: int = 10, carry: bool = True) -> DataFrame:
     """Adds n_words, removed (array of word spans, end exclusive), n_removed and kept (the words left, one space between).
 
     A word is removed if a window of ``size`` words that covers it also starts anywhere else, in the same text or
     another. Windows are judged on the input. Null and empty texts, and texts of fewer than ``size`` words, lose
     nothing; repeated rows repeat each other's windows. Made columns replace input columns of their names.
 
-    Shuffled: a hash and a count for each minimizer (about 2 in 27 words), the pieces with a repeated minimizer, and the
-    texts once, to meet their spans. Broadcast: 2^FILTER_BITS bits at any size of input; as the corpus outgrows them
-    more pieces are shuffled, with the same result.
+    Shuffled: a hash and a count for each minimizer (about 2 in 27 words), the pieces with a repeated minimizer, the
+    windows of branching pieces, and the texts once, to meet their spans. Broadcast: bit maps of a fixed size; as the
+    corpus outgrows them more pieces are shuffled, with the same result. ``carry=False`` leaves the input text out of
+    the result.
     """
     spark = df.sparkSession
     anchor = min(anchor, size)
     counted = _minimizers(df, text, size, anchor).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
-    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    words = counted.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")).alias("bits"))
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for batch in words.toArrow().to_batches():  # at most 2^20 rows
-        bits[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(bits)
+    shared = spark.sparkContext.broadcast(hash_bits(counted))
 
     others = [F.col(f"`{c}`").cast("string") for c in df.columns if c != text]
     k1, k2 = F.xxhash64(F.col(f"`{text}`"), *others), F.xxhash64(F.lit(29), *others, F.col(f"`{text}`"))
     keyed = df.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").cast("string").alias("t"))
     found = cut(_pieces(keyed, size, anchor, shared), "repeat-pieces")
 
-    paths = cut(found.groupBy("h", "content").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("w").alias("w")), "repeat-paths")
+    paths = cut(found.groupBy("h", "content").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")), "repeat-paths")
     branching = paths.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("h")
-    edges = paths.join(branching, "h").select("h", "content", "c", F.posexplode("w").alias("i", "e"))
+    branches = cut(paths.join(branching, "h").select("h", "content", "c"), "repeat-branches")
+    hashes = _window_hashes(keyed, size, anchor, spark.sparkContext.broadcast(hash_bits(branches, "content")))
+    hashes = hashes.groupBy("content").agg(F.first("w").alias("w"))
+    edges = cut(branches.join(hashes, "content").select("h", "content", "c", F.posexplode("w").alias("i", "e")), "repeat-edges")
     repeated = edges.groupBy("e").agg(F.sum("c").alias("times")).where("times > 1").select("e")
     ends = edges.where("c = 1").join(repeated, "e").groupBy("h", "content").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
     whole = paths.where("c > 1").select("h", "content", F.expr("shiftleft(1L, n) - 1").alias("mask"))
@@ -159,7 +189,7 @@ def find_repeats(df: DataFrame, text: str = "text", size: int = 35, anchor: int
                     column.append(v)
             yield [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(out[3], pa.string())]
 
-    return add_columns(met, text, made, rows, ("_hits",)).drop("_k1", "_k2", "_hits")
+    return add_columns(met.drop("_k1", "_k2"), text, made, rows, ("_hits",), without=("_hits",) if carry else ("_hits", text))
 
 
 def _covered(hits: pa.Scalar, n: int, size: int) -> np.ndarray:
