@@ -398,19 +398,21 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", mode: str = "pieces")
     return add_columns(df, ids, T.StructType([T.StructField("decoded", T.StringType())]), rows, (ids,))
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256: each text runs through encoder and decoder piece by piece.
+def round_trip(df: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Adds n_tokens, ids_sha256 and decoded_sha256, and ids if wanted: each text runs through encoder and decoder.
 
-    Neither ids nor decoded text of a document are ever held whole; a null text counts as empty.
+    Without ids neither the ids nor the decoded text of a document are ever held whole. A null text counts as empty.
+    The text itself is not returned; made columns replace input columns of their names.
     """
-    made = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    made = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
 
     def rows(batches):
         v, cache = load(path)
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for t in batch.column(0).to_pylist():
-                n, ids_hash, text_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(v)
+                n, ids_hash, text_hash, decoder, all_ids = 0, hashlib.sha256(), hashlib.sha256(), Decoder(v), []
                 for part in encode_stream(v, t or "", cache):
                     if not (joined := " ".join(filter(None, part))):
                         continue
@@ -418,9 +420,11 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                     ids = list(map(int, joined.split(" ")))
                     n += len(ids)
                     text_hash.update(decoder.feed(ids).encode())
-                out[0].append(n)
-                out[1].append(ids_hash.hexdigest())
-                out[2].append(text_hash.hexdigest())
-            yield [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
-
-    return add_columns(df, text, made, rows)
+                    if with_ids:
+                        all_ids += ids
+                for column, x in zip(out, (n, ids_hash.hexdigest(), text_hash.hexdigest(), pa.array(all_ids, pa.int32()) if with_ids else None), strict=True):
+                    column.append(x)
+            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
+            yield arrays + [pa.array(out[3], pa.list_(pa.int32()))] * with_ids
+
+    return add_columns(df, text, made, rows, without=(text,))

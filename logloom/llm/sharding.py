@@ -18,7 +18,6 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     md5("key:j"). Adding a shard, or raising one weight, moves rows only into that shard. A null key hashes as "null".
     """
     text = F.coalesce(key.cast("string"), F.lit("null"))
-    best, shard = None, F.lit(0)
     draws = []
     for j, w in enumerate(weights):
         if not w > 0:
@@ -28,8 +27,7 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     if not draws:
         raise ValueError("at least one shard needs a positive weight")
     best = F.least(*draws) if len(draws) > 1 else draws[0]
-    shard = best["shard"]
-    return shard.cast("int")
+    return best["shard"].cast("int")
 
 
 def assign_shards(df: DataFrame, key: str, text: str, weights: Sequence[float], grown: Sequence[float] | None = None, slot_buckets: int = 1024) -> DataFrame:
@@ -46,7 +44,7 @@ def assign_shards(df: DataFrame, key: str, text: str, weights: Sequence[float],
     k, b = f"_k{uuid.uuid4().hex[:6]}", f"_b{uuid.uuid4().hex[:6]}"
     body = F.coalesce(df[f"`{text}`"].cast("string"), F.lit(""))
     crc = F.crc32(body.cast("binary"))
-    bucket = F.pmod(F.xxhash64(df[f"`{key}`"].cast("string"), F.xxhash64(body)), F.lit(slot_buckets)).cast("int")
+    bucket = (F.conv(F.substring(F.md5(F.concat(F.coalesce(df[f"`{key}`"].cast("string"), F.lit("null")), F.lit(":slot"))), 1, 8), 16, 10).cast("long") % slot_buckets).cast("int")
     grown = list(grown) if grown is not None else [*weights, sum(weights) / len(weights)]
     kept = keep_columns(df, made)
     placed = df.select(
