@@ -2,7 +2,7 @@
 
 A document is a multiset of units: paragraphs (lines), long ones cut at content-defined word boundaries. Two tables of
 one size subtract cell by cell; peeling the difference recovers the digests that only one side has. Where peeling
-fails, both sides are sketched again four times as large.
+fails, both sides are sketched again twice as large.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import keep_columns
 from .tokens import PLAIN, mix, powers
 
-#: Cells of the fingerprint that is handed out; retries take four times as many each.
+#: Cells of the fingerprint that is handed out; retries take twice as many each.
 CELLS = 12
 _LONG, _PIECE = 64, 48
 
@@ -56,15 +56,13 @@ def digests(text: np.ndarray) -> np.ndarray:
 class Sketch:
     """An invertible Bloom lookup table of three equal parts; each key has one cell in each."""
 
-    def __init__(self, keys: np.ndarray, cells: int):
+    def __init__(self, keys: np.ndarray, spread: np.ndarray, check: np.ndarray, cells: int):
         self.cells, self.n = cells, len(keys)
         self.count, self.key, self.check = np.zeros(cells, np.int64), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
-        if len(keys):
-            at = places(keys, cells).ravel()
-            k, c = np.tile(keys, 3), np.tile(checks(keys), 3)
-            self.count = np.bincount(at, minlength=cells)
-            np.bitwise_xor.at(self.key, at, k)
-            np.bitwise_xor.at(self.check, at, c)
+        for at in places(spread, cells) if len(keys) else ():
+            self.count += np.bincount(at, minlength=cells)
+            np.bitwise_xor.at(self.key, at, keys)
+            np.bitwise_xor.at(self.check, at, check)
 
     def text(self) -> str:
         """A printable form; equal multisets of units give equal strings."""
@@ -77,27 +75,34 @@ class Sketch:
         ours, theirs = [], []
         while True:
             pure = np.flatnonzero((count == 1) | (count == -1))
-            pure = pure[checks(key[pure]) == check[pure]]
-            if not len(pure):
+            own = key[pure]
+            sums = checks(own)
+            good = sums == check[pure]
+            if not good.any():
                 break
-            found, first = np.unique(key[pure], return_index=True)
-            sign = count[pure[first]]
+            found, first = np.unique(own[good], return_index=True)
+            sign, sums = count[pure[good][first]], sums[good][first]
             ours.append(found[sign > 0])
             theirs.append(found[sign < 0])
-            at = places(found, self.cells).ravel()
-            np.subtract.at(count, at, np.tile(sign, 3))
-            np.bitwise_xor.at(key, at, np.tile(found, 3))
-            np.bitwise_xor.at(check, at, np.tile(checks(found), 3))
+            for at in places(mix(found), self.cells):
+                np.subtract.at(count, at, sign)
+                np.bitwise_xor.at(key, at, found)
+                np.bitwise_xor.at(check, at, sums)
         if count.any() or key.any():
             return None
         none = np.empty(0, np.uint64)
         return np.concatenate(ours) if ours else none, np.concatenate(theirs) if theirs else none
 
 
-def places(keys: np.ndarray, cells: int) -> np.ndarray:
-    part = np.uint64(cells // 3)
-    h = mix(keys ^ np.uint64(cells * 0x9E37))
-    return np.stack([((h >> np.uint64(21 * j)) & np.uint64(0x1FFFFF)) % part + np.uint64(j) * part for j in range(3)]).astype(np.int64) if cells <= 3 << 16 else np.stack([mix(h + np.uint64(j)) % part + np.uint64(j) * part for j in range(3)]).astype(np.int64)
+_LOW = np.uint64((1 << 21) - 1)
+
+
+def places(spread: np.ndarray, cells: int) -> list[np.ndarray]:
+    """One cell in each third for mixed keys: 21 of their bits, scaled; tables of over 3 x 2^21 cells mix again."""
+    part = cells // 3
+    if part <= 1 << 21:
+        return [((((spread >> np.uint64(21 * j)) & _LOW) * np.uint64(part)) >> np.uint64(21)).astype(np.int64) + j * part for j in range(3)]
+    return [(mix(spread + np.uint64(j)) % np.uint64(part)).astype(np.int64) + j * part for j in range(3)]
 
 
 def checks(keys: np.ndarray) -> np.ndarray:
@@ -110,20 +115,39 @@ class Document:
     def __init__(self, text: str):
         self.raw = text.encode()
         self.keys = digests(np.frombuffer(self.raw, np.uint8))
+        self.spread, self.check = mix(self.keys), checks(self.keys)
         self.sketches: dict[int, Sketch] = {}
 
     def sketch(self, cells: int = CELLS) -> Sketch:
         if cells not in self.sketches:
-            self.sketches[cells] = Sketch(self.keys, cells)
+            self.sketches[cells] = Sketch(self.keys, self.spread, self.check, cells)
         return self.sketches[cells]
 
 
 def difference(a: Document, b: Document, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Unit keys that only ``a`` and only ``b`` has, by peeling; a failing size is retried four times as large."""
-    while True:
-        if abs(len(a.keys) - len(b.keys)) <= cells and (found := a.sketch(cells).peel(b.sketch(cells))) is not None:
-            return found
-        cells *= 4
+    """Unit keys that only ``a`` and only ``b`` has, by peeling; a failing size is retried twice as large.
+
+    The first size follows an estimate from the least 64 keys of either side; the result does not depend on it.
+    """
+    wanted = 1.5 * _distance(a.keys, b.keys) + 6
+    while cells < wanted:
+        cells *= 2
+    while (found := a.sketch(cells).peel(b.sketch(cells))) is None:
+        cells *= 2
+    return found
+
+
+def _distance(a: np.ndarray, b: np.ndarray, k: int = 64) -> float:
+    """Estimated size of the symmetric difference of two sorted key sets."""
+    if not len(a) or not len(b):
+        return float(len(a) + len(b))
+    both = np.concatenate((a[:k], b[:k]))
+    both.sort()
+    top = min(a[k - 1] if len(a) > k else both[-1], b[k - 1] if len(b) > k else both[-1])
+    both = both[both <= top]
+    shared = int((both[1:] == both[:-1]).sum())
+    j = shared / (len(both) - shared)
+    return max(abs(len(a) - len(b)), (len(a) + len(b)) * (1 - j) / (1 + j))
 
 
 def likeness(a: Document, b: Document) -> float:
