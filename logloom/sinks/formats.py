@@ -19,11 +19,11 @@ def _quoted(f: T.StructField) -> Column:
     return text
 
 
-def encode(df: DataFrame, form: str, into: str = "line", raw: str = "payload") -> DataFrame:
-    """One text column. Absent (null) fields are left out, but in csv, where their place stays empty."""
-    fields = df.schema.fields
+def line(schema: T.StructType, form: str, raw: str = "payload") -> Column:
+    """A record as text. Absent (null) fields are left out, but in csv, where their place stays empty."""
+    fields = schema.fields
     if form == "json":
-        made = F.to_json(F.struct("*"))
+        made = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in fields]))
     elif form == "csv":
         cell = lambda f: F.when(_text(f).rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(_text(f), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(_text(f))
         made = F.concat_ws(",", *[F.coalesce(cell(f), F.lit("")) for f in fields])
@@ -32,10 +32,15 @@ def encode(df: DataFrame, form: str, into: str = "line", raw: str = "payload") -
     elif form == "show":
         made = F.concat_ws("\n", *[F.concat(F.lit(f"{f.name} = "), _text(f)) for f in fields])
     elif form == "raw":
-        made = F.col(raw) if raw in df.columns else F.concat_ws(" ", *[_text(f) for f in fields])
+        made = F.col(raw) if raw in schema.fieldNames() else F.concat_ws(" ", *[_text(f) for f in fields])
     elif form in ("proto-text", "proto_text"):
         value = lambda f: F.concat(F.lit('"'), F.replace(F.replace(_text(f), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')) if isinstance(f.dataType, T.StringType) else _text(f)
         made = F.concat_ws(" ", *[F.concat(F.lit(f"{f.name}: "), value(f)) for f in fields])
     else:
         raise ValueError(f"unknown format {form}")
-    return df.select(made.alias(into))
+    return made
+
+
+def encode(df: DataFrame, form: str, into: str = "line", raw: str = "payload") -> DataFrame:
+    """One text column instead of the record."""
+    return df.select(line(df.schema, form, raw).alias(into))
