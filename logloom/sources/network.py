@@ -1,15 +1,20 @@
 """TCP and UDP listeners as a streaming data source.
 
-One reader listens; each micro-batch takes what has come in since the last one. A message is numbered when it arrives
-and stays until its batch is committed, so a batch that is run again gets the same messages. This is meant for tests and
-small feeds: for volume, let a collector write to Kafka.
+One reader listens, in the driver; each micro-batch takes what has come in since the last one. A message is numbered when
+it arrives and kept as a line of a spool file, from which a batch can be read again, by another process too. The option
+``spool`` names its folder, a shared one on a cluster. This is meant for tests and small feeds: for volume, let a
+collector write to Kafka.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import socket
+import tempfile
 import threading
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
@@ -18,21 +23,26 @@ from .framing import Framer, FramingError
 
 
 class _Listener:
-    def __init__(self, protocol: str, addr: str, port: int, framing: str):
-        self.messages: dict[int, tuple[str, str]] = {}
+    def __init__(self, protocol: str, addr: str, port: int, framing: str, spool: str):
         self.next, self.lock = 0, threading.Lock()
         kind = socket.SOCK_DGRAM if protocol == "udp" else socket.SOCK_STREAM
         self.sock = socket.socket(socket.AF_INET, kind)
         self.sock.setsockopt(socket.SOL_SOCKET, socket.SO_REUSEADDR, 1)
         self.sock.bind((addr, port))
         self.framing = framing
+        os.makedirs(os.path.dirname(spool), exist_ok=True)
+        if os.path.exists(spool):
+            with open(spool, encoding="utf-8") as f:
+                self.next = sum(1 for _ in f)
+        self.file = open(spool, "a", encoding="utf-8")  # noqa: SIM115
         if protocol != "udp":
             self.sock.listen(64)
         threading.Thread(target=self._datagrams if protocol == "udp" else self._accept, daemon=True).start()
 
     def put(self, body: bytes, peer: str) -> None:
         with self.lock:
-            self.messages[self.next] = (body.decode("utf-8", "replace"), peer)
+            self.file.write(json.dumps([body.decode("utf-8", "replace"), peer]) + "\n")
+            self.file.flush()
             self.next += 1
 
     def _datagrams(self) -> None:
@@ -63,7 +73,10 @@ _listeners: dict[tuple, _Listener] = {}
 
 class NetworkReader(SimpleDataSourceStreamReader):
     def __init__(self, options):
-        self.key = (options.get("protocol", "tcp"), options.get("addr", "127.0.0.1"), int(options.get("port", "0")), options.get("framing", "auto"))
+        protocol, port = options.get("protocol", "tcp"), int(options.get("port", "0"))
+        folder = options.get("spool") or os.path.join(tempfile.gettempdir(), "logloom-net")
+        self.spool = os.path.join(folder, f"{protocol}-{port}.jsonl")
+        self.key = (protocol, options.get("addr", "127.0.0.1"), port, options.get("framing", "auto"), self.spool)
 
     def _listener(self) -> _Listener:
         if self.key not in _listeners:
@@ -71,26 +84,18 @@ class NetworkReader(SimpleDataSourceStreamReader):
         return _listeners[self.key]
 
     def initialOffset(self) -> dict:
-        self._listener()
-        return {"n": 0}
+        return {"n": self._listener().next}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        own = self._listener()
-        with own.lock:
-            end = own.next
-            rows = [own.messages[i] for i in range(start["n"], end) if i in own.messages]
-        return iter(rows), {"n": end}
+        end = {"n": self._listener().next}
+        return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        own = self._listener()
-        with own.lock:
-            return iter([own.messages[i] for i in range(start["n"], end["n"]) if i in own.messages])
+        with open(self.spool, encoding="utf-8") as f:
+            return iter([tuple(json.loads(x)) for x in islice(f, start["n"], end["n"])])
 
     def commit(self, end: dict) -> None:
-        own = self._listener()
-        with own.lock:
-            for i in [i for i in own.messages if i < end["n"]]:
-                del own.messages[i]
+        pass
 
 
 class NetworkSource(DataSource):
