@@ -184,8 +184,9 @@ def lookup(df: DataFrame, q: Select, knowledge: Knowledge, bind: Callable[[Get],
         if made is None:  # range ends too: the join only narrows down what they are tested on
             rest.append(whole(e))
     if not keys:
-        first = right.where(whole(q.where)).agg(F.min_by(result, F.col(f"{tag}_t_{ROW}")).alias(f"{tag}_r"))
-        return df.crossJoin(F.broadcast(first)), values  # one row
+        # nothing depends on the rows: one row of the table, as constants
+        first = right.where(whole(q.where)).agg(F.min_by(result, F.col(f"{tag}_t_{ROW}")).alias("r")).first()["r"]
+        return df, [Value(F.lit(first[i] if first is not None else None).cast(table.schema[c].dataType), v.kind) for i, (c, v) in enumerate(zip(columns, values, strict=True))]
     distinct = df.select(*keys).distinct()
     condition = reduce(lambda a, b: a & b, [*equal, *rest], F.lit(True))
     if not equal and low is not None and high is not None and str(low[1]) == str(high[1]):

@@ -81,15 +81,15 @@ class Expect:
 
 
 def check_ratios(counts: DataFrame, expects: Mapping[str, Expect], min_samples: int = 0, others_most: float | None = None, sum_tol: float | None = None) -> DataFrame:
-    """sink, rows, ratio, ok, reason for each sink of (sink, rows), from one pass over the counts.
+    """sink, rows, ratio, ok, reason for each sink of (sink, rows), from the counts and their sum.
 
     Fewer rows than ``min_samples`` in all: nothing fails. Sinks without an expectation share ``others_most``;
     ``sum_tol`` bounds how far the ratios' sum may be from 1, with the row named ``*``.
     """
     spark = counts.sparkSession
     given = spark.createDataFrame([(k, e.ratio, e.tol, e.least, e.most) for k, e in expects.items()] or [(None,) * 5], "sink string, want double, tol double, least double, most double").where("sink IS NOT NULL")
-    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("_all"))  # one row
-    joined = counts.join(given, "sink", "full_outer").crossJoin(F.broadcast(total))
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    joined = counts.join(given, "sink", "full_outer").withColumn("_all", F.lit(total))
     share = F.when(F.col("_all") > 0, F.coalesce("rows", F.lit(0)) / F.col("_all")).otherwise(0.0)
     off = (F.when(F.col("_all") < min_samples, F.lit(None)).when(F.col("want").isNotNull() & (F.abs(F.col("ratio") - F.col("want")) > F.col("tol") + 1e-12), "ratio")
            .when(F.col("least").isNotNull() & (F.col("ratio") < F.col("least")), "below least").when(F.col("most").isNotNull() & (F.col("ratio") > F.col("most")), "above most"))

@@ -141,3 +141,10 @@ def test_fields_of_a_parsed_frame(spark):
     df = spark.createDataFrame([("a=1 b=x c=2",)], "payload string")
     out = field_columns(parse_events(df, "rule r { (kvarr) }"), {"a": "digit"}, extras="extras").first()
     assert out.a == 1 and out.extras == {"b": "x", "c": "2"}
+
+
+def test_lookup_of_constants(spark):
+    t = Knowledge(spark).add("t", spark.createDataFrame([(1, "a"), (2, "b")], "id int, k string"), ["id"])
+    df = spark.createDataFrame([(7,)], "x int")
+    row = model(df, "k = select k from t where id = 2 ; n = select k from t where id = 9 ;", knowledge=t).first()
+    assert (row.k, row.n) == ("b", None)
