@@ -13,7 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.lookup import Knowledge
 from ..operators.parse import infra_streams, native_pattern, parse_events, with_source_tags
 from ..operators.project import apply_model, field_columns
-from ..operators.route import Routes, SinkGroup, for_sink, model_of_rule
+from ..operators.route import Routes, SinkGroup, empty_results, for_sink, model_of_rule
+from ..operators.stats import Request, counters
 from ..plans.models import Model, parse_model
 from ..plans.rules import Rule, parse_rules
 from ..sinks.writers import write
@@ -30,6 +31,7 @@ class Engine:
     knowledge: Knowledge | None = None
     fields: dict[str, dict[str, str]] = field(default_factory=dict)
     rescue: str | None = None
+    stats: list[Request] = field(default_factory=list)
 
     @classmethod
     def of(cls, rules: str, models: list[str] | None = None, **more) -> Engine:
@@ -79,9 +81,14 @@ class Engine:
             for name in ("miss", "residue"):
                 if name in self.outputs:
                     sent[name] = self._send(sides[name], name)
+            for request in self.stats if "monitor" in self.outputs else ():
+                sent[f"monitor:{request.name}"] = self._send(self.monitor(parsed, request), "monitor")
             for rule in self.rules:
                 group = self.group(rule)
                 records = self.records(sides["accepted"], rule)
+                if "error" in self.outputs and model_of_rule(rule.key, self.models) is not None and records.columns:
+                    records, empty = empty_results(records, records.columns)
+                    sent[f"error:{rule.key}"] = self._send(empty, "error")
                 if group is None:
                     if self.routes.default in self.outputs:
                         sent[f"{self.routes.default}:{rule.key}"] = self._send(records, self.routes.default)
@@ -93,6 +100,14 @@ class Engine:
             parsed.unpersist()
         return sent
 
+    def monitor(self, parsed: DataFrame, request: Request) -> DataFrame:
+        """Counter rows of a request over classified events: successes are accepted rows, dimensions are fields."""
+        from ..operators.parse import field as value
+
+        dims = [value(d).alias(d) for d in request.collect]
+        rows = parsed.where("parsed.status <> 'blank'").select(F.col("parsed.rule").alias("rule"), F.col("parsed.status").isin("ok", "residue").alias("_good"), *dims)
+        return counters(rows, request, F.col("_good"))
+
     def _send(self, df: DataFrame, name: str) -> bool:
         kind, options = self.outputs[name]
         return write(df, kind, options, "normal", self.rescue, name)
