@@ -3,12 +3,11 @@
 Texts with one shingle set are one class. Classes are indexed by their rarest shingles (a prefix that any linked pair
 must share). Relations between sets then save work:
 
-- each index list names a pivot; its members are checked against it, and those linked to it share its component, so no
-  pair among them needs a check for the components;
-- pairs of a list are formed only across components, by component and then member, with lists cut into blocks of close
-  set sizes that skip each other, and positions in the prefix bound what a pair can still share;
-- link counts within a component come from one reference set: an overlap follows from the reference's size and the few
-  shingles that a set adds or lacks.
+- each index list names a pivot, and classes that share much of their prefix with a pivot form a family. Within a family
+  all answers come from one reference set: an overlap follows from the reference's size and the few shingles that a set
+  adds or lacks, for blocks of sets at once, and blocks of far set sizes skip each other;
+- pairs of an index list are formed only across families, family by family, between neighbouring blocks of set sizes;
+  the positions of shared shingles bound what a pair can still share, and only pairs within the bound are checked.
 """
 
 from __future__ import annotations
@@ -23,14 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, views
+from .filters import among, hash_bits
 from .tokens import LOWER, mix, windows
 
 #: Counters of shingle frequency, as a power of two: they only order shingles, rare first.
 SKETCH_BITS = 22
-#: Bits of the filter for shingles that more than one class may have in its prefix.
-FILTER_BITS = 26
 _PART = 4096
-CLASS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+#: Members of one family in an index list from which on others of the list join the family.
+CROWD = 32
 
 
 def shingles(text: np.ndarray | None, size: int) -> np.ndarray:
@@ -53,8 +52,10 @@ def _frequencies(df: DataFrame, size: int) -> np.ndarray:
         task = 0
         for batch in batches:
             for view in views(batch.column(0)):
-                own = shingles(view, size) >> np.uint64(64 - SKETCH_BITS)
-                np.add.at(seen, own.astype(np.int64), 1)
+                h = LOWER.hashes(view) if view is not None else ()
+                own = windows(h, min(size, len(h))) >> np.uint64(64 - SKETCH_BITS) if len(h) else ()
+                if len(own):
+                    seen[own.astype(np.int64)] += 1  # once for each slot of a text
                 task = (task * 31 + len(own)) % 61
         parts = seen.reshape(-1, _PART)
         some = np.flatnonzero(parts.any(1))
@@ -76,6 +77,11 @@ def _frequencies(df: DataFrame, size: int) -> np.ndarray:
     return levels.ravel()
 
 
+def prefix_length(n, percent: int):
+    """Two linked sets share a shingle among so many first ones of each, in any common order."""
+    return n - (percent * n + 99) // 100 + 1
+
+
 def _prefixes(df: DataFrame, size: int, percent: int, levels) -> DataFrame:
     """For each document: class, number of shingles and the prefix of its rarest ones."""
 
@@ -89,30 +95,15 @@ def _prefixes(df: DataFrame, size: int, percent: int, levels) -> DataFrame:
                 a.append(x)
                 b.append(y)
                 n.append(len(own))
-                keep = len(own) - (percent * len(own) + 99) // 100 + 1 if len(own) else 0
+                keep = prefix_length(len(own), percent) if len(own) else 0
                 order = np.argsort(level[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:keep]
                 flat.append(own[order])
                 at.append(at[-1] + keep)
             tokens = pa.array((np.concatenate(flat) if flat else np.empty(0, np.uint64)).view(np.int64))
-            c = pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), c, pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), tokens)], names=["id", "c", "n", "prefix"])
-
-    return df.select("id", "t").mapInArrow(run, T.StructType([df.schema["id"], T.StructField("c", CLASS), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
-
-
-def _bits(hashes: DataFrame) -> np.ndarray:
-    """A bit map of 64-bit hashes (column h); at most 2^(FILTER_BITS - 6) rows reach the driver."""
-    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    words = hashes.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")).alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for batch in words.toArrow().to_batches():
-        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
-    return out
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), tokens)], names=["id", "a", "b", "n", "prefix"])
 
-
-def _among(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h >> np.uint64(64 - FILTER_BITS)
-    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    long = [T.StructField(x, T.LongType()) for x in "ab"]
+    return df.select("id", "t").mapInArrow(run, T.StructType([df.schema["id"], *long, T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
 
 
 def _entries(classes: DataFrame, shared) -> DataFrame:
@@ -126,15 +117,15 @@ def _entries(classes: DataFrame, shared) -> DataFrame:
             length = np.diff(lists.offsets.to_numpy())
             row = np.repeat(np.arange(len(length)), length)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
-            keep = np.flatnonzero(_among(bits, flat))
+            keep = np.flatnonzero(among(bits, flat))
             take = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays([pa.array(flat[keep].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(place[keep].astype(np.int32))], names=["t", "c", "n", "pos"])
 
-    return classes.select("c", "n", "prefix").mapInArrow(run, T.StructType([T.StructField("t", T.LongType()), T.StructField("c", CLASS), T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType())]))
+    return classes.select("c", "n", "prefix").mapInArrow(run, "t long, c long, n int, pos int")
 
 
 def _sets(df: DataFrame, size: int, shared) -> DataFrame:
-    """(class, set) of documents whose class may be in the bit map; a task gives a class once while it remembers it."""
+    """(a, b, set) of documents whose class may be in the bit map; a task gives a class once while it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -144,7 +135,7 @@ def _sets(df: DataFrame, size: int, shared) -> DataFrame:
             for view in views(batch.column(0)):
                 own = shingles(view, size)
                 c = signature(own)
-                if len(own) and c not in known and _among(bits, np.array(c[:1], np.int64).view(np.uint64))[0]:
+                if len(own) and c not in known and among(bits, np.array(c[:1], np.int64).view(np.uint64))[0]:
                     if len(known) > 1 << 17:
                         known.clear()
                     known.add(c)
@@ -153,10 +144,17 @@ def _sets(df: DataFrame, size: int, shared) -> DataFrame:
                     flat.append(own)
                     at.append(at[-1] + len(own))
             tokens = pa.array((np.concatenate(flat) if flat else np.empty(0, np.uint64)).view(np.int64))
-            c = pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            yield pa.RecordBatch.from_arrays([c, pa.ListArray.from_arrays(pa.array(at, pa.int32()), tokens)], names=["c", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), tokens)], names=["a", "b", "own"])
+
+    return df.select("t").mapInArrow(run, "a long, b long, own array<long>")
+
 
-    return df.select("t").mapInArrow(run, T.StructType([T.StructField("c", CLASS), T.StructField("own", T.ArrayType(T.LongType()))]))
+def _fetch(df: DataFrame, wanted: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(c, own): the sets of the wanted classes (c), computed again from the texts."""
+    named = cut(classes.select("a", "b", "c").join(wanted.distinct(), "c", "left_semi"), "jaccard-wanted")
+    shared = df.sparkSession.sparkContext.broadcast(hash_bits(named.select(F.col("a").alias("h"))))
+    found = _sets(df, size, shared).groupBy("a", "b").agg(F.first("own").alias("own"))
+    return cut(found.join(named, ["a", "b"]).select("c", "own"), "jaccard-sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -197,59 +195,67 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     an empty set, links with nothing and is its own component. Rows with equal sets link with each other; repeated rows
     too. A null key takes part; a component of null keys alone has a null id.
 
-    Broadcast: 2^SKETCH_BITS bytes of shingle frequencies, and bit maps of 2^FILTER_BITS bits. Both are fixed sizes that
+    Broadcast: 2^SKETCH_BITS bytes of shingle frequencies, and bit maps of 2^BITS bits. Both are fixed sizes that
     only save work; with a larger corpus index lists grow longer, not wrong.
     """
     sc = df.sparkSession.sparkContext
     rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
     levels = sc.broadcast(_frequencies(rows, size))
     documents = cut(_prefixes(rows, size, percent, levels), "jaccard-documents")
-    classes = cut(documents.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("m"), F.first("prefix").alias("prefix")), "jaccard-classes")
+    grouped = documents.groupBy("a", "b").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("m"), F.min("id").alias("id"), F.first("prefix").alias("prefix"))
+    classes = cut(grouped.withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
     repeated = classes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    entries = cut(_entries(classes, sc.broadcast(_bits(repeated))), "jaccard-entries")
-
-    pivots = entries.groupBy("t").agg(F.min(F.struct("c", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    star = entries.join(pivots, "t").where((F.col("p.c") != F.col("c")) & _close(F.col("n"), F.col("p.n"), percent) & _possible(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), percent))
-    star = cut(star.select(F.col("p.c").alias("x"), F.col("c").alias("y")).distinct(), "jaccard-star")
-    active = entries.join(pivots.select("t"), "t", "left_semi").select(F.col("c.a").alias("h")).distinct()
-    sets = cut(_sets(rows, size, sc.broadcast(_bits(active))).groupBy("c").agg(F.first("own").alias("own")), "jaccard-sets")
-    roots = components(cut(_linked(star, sets, percent), "jaccard-links"), "jaccard-roots")
-
-    placed = cut(entries.join(roots.withColumnRenamed("v", "c"), "c", "left").select("t", "c", "n", "pos", F.coalesce("root", "c").alias("root")), "jaccard-placed")
-    mixed = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("t")
-    lists = cut(placed.join(mixed, "t"), "jaccard-lists")
-    # sizes that can link lie in one block or in neighbours: a block spans the ratio of percent
-    block = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
-    members = lists.withColumn("block", block)
-    groups = members.select("t", "root", "block").distinct()
-    near = groups.select("t", F.col("root").alias("r1"), F.col("block").alias("b1"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("b2"))
-    other = groups.select("t", F.col("root").alias("r2"), F.col("block").alias("b2"))
-    across = near.join(other, ["t", "b2"]).where("r1 < r2")
-    one = members.select("t", F.col("root").alias("r1"), F.col("block").alias("b1"), F.col("c").alias("x"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
-    two = members.select("t", F.col("root").alias("r2"), F.col("block").alias("b2"), F.col("c").alias("y"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-    pairs = across.join(one, ["t", "r1", "b1"]).join(two, ["t", "r2", "b2"]).where(_close(F.col("n1"), F.col("n2"), percent) & _possible(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent))
+    shared = cut(_entries(classes, sc.broadcast(hash_bits(repeated))), "jaccard-shared")
+    lists = shared.groupBy("t").agg(F.min(F.struct("c", "n", "pos")).alias("p"), F.max(F.struct("c", "n", "pos")).alias("q"), F.count(F.lit(1)).alias("k"))
+    lists = cut(lists.where(F.col("k") > 1), "jaccard-index")
+    listed = cut(_members(shared, lists, percent), "jaccard-entries")
+    entries = listed.drop("p")
+    star = listed.where((F.col("p.c") != F.col("c")) & _close(F.col("n"), F.col("p.n"), percent) & _possible(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), percent))
+    star = star.groupBy(F.col("p.c").alias("x"), F.col("c").alias("y")).agg(F.count(F.lit(1)).alias("s"), F.first(F.least("n", "p.n")).alias("n"))
+    needed = lambda n: F.ceil(_prefix(n, percent) / F.lit(4.0))
+    near = cut(star.where(F.col("s") >= needed(F.col("n"))).select("x", "y"), "jaccard-star")
+    families = components(near, "jaccard-families").withColumnsRenamed({"v": "c", "root": "family"})
+    # and once more with the largest family of each list in the pivot's place: its members need not be one another's
+    # pivots. Whoever meets CROWD members of a family in one list joins it, since checking them in blocks costs less
+    # than pairing them off one by one.
+    largest = entries.join(families, "c").groupBy("t", "family").agg(F.count(F.lit(1)).alias("k")).groupBy("t").agg(F.max(F.struct("k", "family")).alias("top")).select("t", F.col("top.family").alias("top"), F.col("top.k").alias("k"))
+    owned = entries.join(largest, "t").join(families, "c", "left").where(F.coalesce("family", "c") != F.col("top"))
+    joins = owned.groupBy("c", "top").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n"), F.max("k").alias("k")).where((F.col("s") >= needed(F.col("n"))) | (F.col("k") >= CROWD))
+    families = components(near.unionByName(joins.select(F.col("top").alias("x"), F.col("c").alias("y"))), "jaccard-families")
+    families = families.withColumnsRenamed({"v": "c", "root": "family"})
+    sets = _fetch(rows, families.select("c"), classes, size)
+    within = cut(_within(classes.select("c", "n", "m").join(families, "c"), sets, percent), "jaccard-within")
+
+    placed = entries.join(families, "c", "left").withColumn("family", F.coalesce("family", "c"))
+    mixed = placed.groupBy("t").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo != hi").select("t")
+    members = cut(placed.join(mixed, "t").withColumn("block", _block(F.col("n"), percent)), "jaccard-lists")
+    groups = members.select("t", "family", "block").distinct()
+    first, second = groups.withColumnsRenamed({"family": "f1", "block": "b1"}), groups.withColumnsRenamed({"family": "f2", "block": "b2"})
+    across = first.join(second, "t").where((F.col("f1") < F.col("f2")) & (F.abs(F.col("b1") - F.col("b2")) <= 1))
+    one = members.select("t", F.col("family").alias("f1"), F.col("block").alias("b1"), F.col("c").alias("x"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
+    two = members.select("t", F.col("family").alias("f2"), F.col("block").alias("b2"), F.col("c").alias("y"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
+    pairs = across.join(one, ["t", "f1", "b1"]).join(two, ["t", "f2", "b2"]).where(_close(F.col("n1"), F.col("n2"), percent) & _possible(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent))
     pairs = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("s"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max("p1").alias("p1"), F.max("p2").alias("p2"))
     # all shared shingles up to the last shared one are counted, so what lies behind it bounds the rest
     pairs = pairs.where(F.col("s") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) - 1 >= _least_common(F.col("n1"), F.col("n2"), percent))
-    crossing = cut(_linked(pairs.select("x", "y"), sets, percent), "jaccard-crossing")
-    if crossing.limit(1).count():
-        named = crossing.join(roots.select(F.col("v").alias("x"), F.col("root").alias("rx")), "x", "left").join(roots.select(F.col("v").alias("y"), F.col("root").alias("ry")), "y", "left")
-        joined = components(named.select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y")).distinct(), "jaccard-joined")
-        fresh = crossing.select(F.col("x").alias("v")).unionByName(crossing.select(F.col("y").alias("v"))).distinct().join(roots, "v", "left_anti").select("v", F.col("v").alias("root"))
-        roots = roots.unionByName(fresh).join(joined.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").select("v", F.coalesce("top", "root").alias("root"))
-        roots = cut(roots, "jaccard-merged")
+    pairs = cut(pairs.where(F.col("s") >= _least_shared(F.col("n1"), F.col("n2"), percent)).select("x", "y"), "jaccard-pairs")
+    ends = pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct()
+    crossing = cut(_linked(pairs, sets.unionByName(_fetch(rows, ends.join(sets, "c", "left_anti"), classes, size)), percent), "jaccard-crossing")
+    linked = within.where("c != top").select(F.col("c").alias("x"), F.col("top").alias("y")).unionByName(crossing)
+    roots = components(linked, "jaccard-roots")
 
     # a component's least key, from the least key of each class
-    least = documents.groupBy("c").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"))
-    homes = least.join(roots.withColumnRenamed("v", "c"), "c", "left").select("c", "id", "m", F.coalesce("root", "c").alias("root"))
+    homes = classes.select("a", "b", "c", "id", "m").join(roots.withColumnRenamed("v", "c"), "c", "left").select("a", "b", "c", "id", "m", F.coalesce("root", "c").alias("root"))
     if links:
-        counted = _link_counts(cut(homes.where("m > 0").join(roots.select(F.col("v").alias("c")), "c", "left_semi"), "jaccard-homes"), sets, percent)
-        homes = homes.join(counted, "c", "left")
+        weights = classes.select("c", "m")
+        over = crossing.join(weights.withColumnRenamed("c", "y"), "y").select(F.col("x").alias("c"), F.col("m").alias("k"))
+        back = crossing.join(weights.withColumnRenamed("c", "x"), "x").select(F.col("y").alias("c"), F.col("m").alias("k"))
+        homes = homes.join(within.select("c", "k").unionByName(over).unionByName(back).groupBy("c").agg(F.sum("k").alias("k")), "c", "left")
     else:
         homes = homes.withColumn("k", F.lit(None).cast("long"))
     tops = homes.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = homes.join(tops, "root").select("c", "component_id", (F.coalesce("k", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    out = documents.select("id", "c", "n").join(named, "c")
+    named = homes.join(tops, "root").select("a", "b", "component_id", (F.coalesce("k", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    out = documents.select("id", "a", "b", "n").join(named, ["a", "b"])
     alone = F.col("n") == 0
     columns = [F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id")]
     return out.select(*columns, *([F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links")] if links else []))
@@ -260,61 +266,124 @@ def _least_common(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
 
 
+def _prefix(n: Column, percent: int) -> Column:
+    return n - F.ceil(n * percent / F.lit(100.0) - 1e-9) + 1
+
+
+def _least_shared(n: Column, m: Column, percent: int) -> Column:
+    """Shingles that a linked pair has in common in its prefixes at least.
+
+    Up to the end of the prefix that ends first in the common order, both sets are known: what they share beyond lies
+    behind that prefix, in the set that it belongs to.
+    """
+    return _least_common(n, m, percent) - F.greatest(n - _prefix(n, percent), m - _prefix(m, percent))
+
+
+def _members(shared: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Index entries with their list's pivot, without lists of two whose pair cannot link.
+
+    Most lists are two long texts that happen to share a shingle. Such a pair shares too little, even if it met in all
+    longer lists that either is in.
+    """
+    longer = shared.join(lists.where("k > 2").select("t", "p"), "t")
+    met = longer.groupBy("c").agg(F.count(F.lit(1)).alias("e"))
+    two = lists.where(F.col("k") == 2).where(_close(F.col("p.n"), F.col("q.n"), percent) & _possible(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos"), percent))
+    two = two.select("t", "p", "q", F.col("p.c").alias("x"), F.col("q.c").alias("y"))
+    pairs = two.groupBy("x", "y").agg(F.count(F.lit(1)).alias("s"), F.first("p.n").alias("n"), F.first("q.n").alias("m"))
+    pairs = pairs.join(met.withColumnsRenamed({"c": "x", "e": "ex"}), "x", "left").join(met.withColumnsRenamed({"c": "y", "e": "ey"}), "y", "left")
+    most = F.col("s") + F.least(F.coalesce("ex", F.lit(0)), F.coalesce("ey", F.lit(0)))
+    kept = two.join(pairs.where(most >= _least_shared(F.col("n"), F.col("m"), percent)).select("x", "y"), ["x", "y"], "left_semi")
+    both = kept.select("t", "p", F.explode(F.array("p", "q")).alias("e")).select("t", "e.c", "e.n", "e.pos", "p")
+    return longer.select("t", "c", "n", "pos", "p").unionByName(both)
+
+
 def _possible(n: Column, p: Column, m: Column, q: Column, percent: int) -> Column:
     """Whether a pair can link whose FIRST shared shingle has these positions; later ones pass through other lists."""
     return F.least(n - p, m - q) + F.least(p, q) >= _least_common(n, m, percent)
 
 
-def _link_counts(homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(c, k): documents of other classes of the component that each class links with.
+def _block(n: Column, percent: int) -> Column:
+    """Blocks of set sizes: two sizes that can link lie in one block or in neighbours."""
+    return F.floor(F.log(n) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+
 
-    A component of one class has none, one of two classes is one link. Others are dealt into blocks of about 512 classes,
-    and each pair of blocks is one unit of work: no pairs are emitted, only counts.
+def _within(members: DataFrame, sets: DataFrame, percent: int, part: int = 512, most: int = 1 << 18) -> DataFrame:
+    """(c, k, top): for classes of a family, documents of linked other classes, and a class it is connected with.
+
+    Up to ``part`` classes of ``most`` shingles together are one unit of work. A larger family is dealt by set size, in
+    blocks of which only neighbours can link, and by hash within a block; each pair of neighbouring parts is a unit. No
+    pairs leave a unit, only counts and one connection for each class.
     """
-    sized = homes.join(homes.groupBy("root").agg(F.count(F.lit(1)).alias("g"), F.sum("m").alias("total")), "root")
-    two = sized.where("g = 2").select("c", (F.col("total") - F.col("m")).alias("k"))
-    blocks = F.ceil(F.col("g") / F.lit(512.0)).cast("int")
-    many = sized.where("g > 2").withColumn("blocks", blocks).withColumn("own_block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    units = many.select("root", "c", "m", "own_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = units.select("root", F.least("own_block", "other").alias("i"), F.greatest("own_block", "other").alias("j"), (F.col("own_block") > F.col("other")).alias("second"), "own_block", "c", "m")
-    filled = units.join(sets, "c").select("root", "i", "j", F.when(F.col("i") == F.col("j"), F.lit(False)).otherwise(F.col("own_block") == F.col("j")).alias("second"), "c", "m", "own")
-    spread = filled.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    totals = members.groupBy("family").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("all"))
+    sized = members.join(totals, "family").withColumn("s", F.when((F.col("g") > part) | (F.col("all") > most), _block(F.col("n"), percent)).otherwise(0))
+    parts = sized.groupBy("family", "s").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(float(part)), F.sum("n") / F.lit(float(most)))).cast("int").alias("parts"))
+    after, before = (parts.select("family", (F.col("s") + d).alias("s"), F.col("parts").alias(name)) for d, name in ((-1, "after"), (1, "before")))
+    dealt = sized.join(parts, ["family", "s"]).join(after, ["family", "s"], "left").join(before, ["family", "s"], "left")
+    dealt = dealt.withColumn("h", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    unit = lambda s1, h1, s2, h2, second: F.struct(s1.alias("s1"), h1.alias("h1"), s2.alias("s2"), h2.alias("h2"), second.alias("second"))
+    none = F.array().cast("array<struct<s1:int,h1:int,s2:int,h2:int,second:boolean>>")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.transform(upto("parts"), lambda o: unit(F.col("s"), F.least("h", o), F.col("s"), F.greatest("h", o), F.col("h") > o))
+    up = F.when(F.col("after").isNotNull(), F.transform(upto("after"), lambda o: unit(F.col("s"), F.col("h"), F.col("s") + 1, o, F.lit(False)))).otherwise(none)
+    down = F.when(F.col("before").isNotNull(), F.transform(upto("before"), lambda o: unit(F.col("s") - 1, o, F.col("s"), F.col("h"), F.lit(True)))).otherwise(none)
+    units = dealt.select("c", "m", "family", F.explode(F.concat(own, up, down)).alias("u")).select("family", "u.s1", "u.h1", "u.s2", "u.h2", "u.second", "c", "m")
+    keys = ["family", "s1", "h1", "s2", "h2"]
+    spread = units.join(sets, "c").select(*keys, "second", "c", "m", "own").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held = None, []
-
-        def flush():
-            sets_ = [x[3] for x in held]
-            second = np.array([x[0] for x in held])
-            linked = links_among(sets_, percent)
-            if second.any():
-                linked &= second[:, None] != second[None, :]
-            k = linked @ np.array([x[2] for x in held], np.float64)
-            c = pa.StructArray.from_arrays([pa.array([x[1]["a"] for x in held], pa.int64()), pa.array([x[1]["b"] for x in held], pa.int64())], names=["a", "b"])
-            return pa.RecordBatch.from_arrays([c, pa.array(k.astype(np.int64))], names=["c", "k"])
+        unit, held, out = None, [], []
+
+        def settle() -> None:
+            if len(held) > 1:
+                linked = links_among([x[3] for x in held], percent)
+                second = np.array([x[0] for x in held])
+                if second.any():  # two parts: pairs within one are counted in a unit of their own
+                    linked &= second[:, None] != second[None, :]
+                top = _connected(linked)
+                out.extend(zip((x[1] for x in held), (linked @ np.array([x[2] for x in held], np.float64)).astype(np.int64).tolist(), (held[i][1] for i in top), strict=True))
+            held.clear()
+
+        def rows() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["c", "k", "top"])
+            out.clear()
+            return made
 
         for batch in batches:
-            roots, i, j, second, c, m = (batch.column(x).to_pylist() for x in range(6))
-            own = batch.column(6)
-            for x in range(len(m)):
-                now = (roots[x]["a"], roots[x]["b"], i[x], j[x])
-                if now != unit:
-                    if held:
-                        yield flush()
-                    unit, held = now, []
-                held.append((second[x], c[x], m[x], own[x].values.to_numpy().view(np.uint64)))
-        if held:
-            yield flush()
-
-    counted = spread.mapInArrow(run, T.StructType([T.StructField("c", CLASS), T.StructField("k", T.LongType())]))
-    return two.unionByName(counted.groupBy("c").agg(F.sum("k").alias("k")))
+            key = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+            second, c, m = (batch.column(i).to_pylist() for i in (5, 6, 7))
+            lists = batch.column(8)
+            at, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy().view(np.uint64)
+            for i in range(len(c)):
+                if key[i] != unit:
+                    settle()
+                    unit = key[i]
+                held.append((second[i], c[i], m[i], flat[at[i] : at[i + 1]].copy()))
+            if out:
+                yield rows()
+        settle()
+        yield rows()
+
+    return spread.mapInArrow(run, "c long, k long, top long")
+
+
+def _connected(linked: np.ndarray) -> np.ndarray:
+    """The least row that each row is connected with."""
+    n = len(linked)
+    top = np.arange(n)
+    reach = linked | np.eye(n, dtype=bool)
+    while True:
+        least = np.where(reach, top[None, :], n).min(1)
+        least = np.minimum(least, least[least])
+        if (least == top).all():
+            return top
+        top = least
 
 
 def links_among(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Which pairs of sorted sets link, from one reference: common shingles are its size, less what either set lacks of
     it, plus what both lack, plus what both add. Only lacking and added shingles that several sets have are compared."""
-    reference = sets[0]
     size = np.array([len(s) for s in sets], np.int64)
+    reference = sets[int(np.argsort(size, kind="stable")[len(sets) // 2])]  # of middle size, so that no set lacks far more than it has
     lack = [np.setdiff1d(reference, s, assume_unique=True) for s in sets]
     more = [np.setdiff1d(s, reference, assume_unique=True) for s in sets]
     lacking = np.array([len(x) for x in lack], np.int64)
