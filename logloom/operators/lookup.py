@@ -1,8 +1,8 @@
 """Lookups in knowledge tables: a left join that takes the first row, in the order in which the table was loaded.
 
-The bound values of a lookup are made distinct first; only they meet the table. Equalities join by hash; a pair of range
-ends joins through buckets of the value, so that neither side is compared with all of the other. Which side is broadcast
-is left to the optimizer, which goes by size.
+Where equalities alone bind values, the table is cut down to the first row of each key and joined once. Otherwise the bound
+values are made distinct first, and only they meet the table; a pair of range ends joins through buckets of the value, so
+that neither side is compared with all of the other. Which side is broadcast is left to the optimizer, which goes by size.
 """
 
 from __future__ import annotations
@@ -168,7 +168,7 @@ def lookup(df: DataFrame, q: Select, knowledge: Knowledge, bind: Callable[[Get],
     def parts(e) -> list:
         return parts(e[1]) + parts(e[2]) if e[0] == "and" else [e]
 
-    equal, low, high, rest = [], None, None, []
+    equal, low, high, rest, plain = [], None, None, [], []
     for e in parts(q.where):
         made = None
         if e[0] == "cmp":
@@ -177,6 +177,7 @@ def lookup(df: DataFrame, q: Select, knowledge: Knowledge, bind: Callable[[Get],
                 t, v, op = (a, b, e[1]) if ta else (b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(e[1], e[1]))
                 if op == "=":
                     made = equal.append(v == t) or True
+                    plain.append((e[2] if ta else e[3], v))
                 elif op in ("<", "<=") and low is None:
                     low = (t, v)
                 elif op in (">", ">=") and high is None:
@@ -187,6 +188,12 @@ def lookup(df: DataFrame, q: Select, knowledge: Knowledge, bind: Callable[[Get],
         # nothing depends on the rows: one row of the table, as constants
         first = right.where(whole(q.where)).agg(F.min_by(result, F.col(f"{tag}_t_{ROW}")).alias("r")).first()["r"]
         return df, [Value(F.lit(first[i] if first is not None else None).cast(table.schema[c].dataType), v.kind) for i, (c, v) in enumerate(zip(columns, values, strict=True))]
+    if equal and not rest and all(t[0] == "column" for t, _ in plain):
+        # equalities alone: the first row of each key of the table, met in one pass over the events
+        columns_ = [f"{tag}_t_{t[1]}" for t, _ in plain]
+        first = right.groupBy(*columns_).agg(F.min_by(result, F.col(f"{tag}_t_{ROW}")).alias(f"{tag}_r"))
+        same = reduce(lambda a, b: a & b, [v == F.col(c) for c, (_, v) in zip(columns_, plain, strict=True)])
+        return df.join(first, same, "left").drop(*columns_, *keys), values
     distinct = df.select(*keys).distinct()
     condition = reduce(lambda a, b: a & b, [*equal, *rest], F.lit(True))
     if not equal and low is not None and high is not None and str(low[1]) == str(high[1]):

@@ -102,8 +102,12 @@ def _piece(f: Field, sep: Separator) -> tuple[str, int] | None:
     return None
 
 
-def native_struct(rule: Rule, payload: Column) -> Column | None:
-    """The parsed struct of a regular rule, null where the rule does not take the payload whole; None if not regular."""
+def native_captures(rule: Rule, payload: Column) -> Column | None:
+    """The captures of a regular rule as an array (the first element is empty), null where it does not take the payload
+    whole; None if the rule is not regular.
+
+    One run of the expression does both: a payload that it matches comes back with marks between its captures.
+    """
     made = native_pattern(rule)
     if made is None:
         return None
@@ -111,9 +115,29 @@ def native_struct(rule: Rule, payload: Column) -> Column | None:
     text = payload
     for name in rule.steps:
         text = step(name).column(text)
-    total = max((g + (3 if f.kind == "time/clf" else 0) for f, g in zip(fields, groups, strict=True)), default=0)
-    parts = F.split(F.regexp_replace(text, pattern, _MARK.join(f"${i}" for i in range(1, total + 1)) or _MARK), _MARK, -1)
-    value = lambda i: F.get(parts, F.lit(i - 1))
+    marked = F.regexp_replace(text, pattern, _MARK + _MARK.join(f"${i}" for i in range(1, _captures(fields, groups) + 1)))
+    plain = ~F.contains(text, F.lit(_MARK)) & ~F.contains(text, F.lit("\n"))
+    return F.when(plain & marked.startswith(_MARK), F.split(marked, _MARK, -1))
+
+
+def _captures(fields: list[Field], groups: list[int]) -> int:
+    return max((g + (3 if f.kind == "time/clf" else 0) for f, g in zip(fields, groups, strict=True)), default=0)
+
+
+def native_struct(rule: Rule, payload: Column) -> Column | None:
+    """The parsed struct of a regular rule, null where the rule does not take the payload; None if it is not regular.
+
+    The captures are bound to a lambda's variable: the optimizer would else copy their expression into every field.
+    """
+    captures = native_captures(rule, payload)
+    if captures is None:
+        return None
+    return F.get(F.transform(F.array(captures), lambda c: _struct(rule, payload, c)), F.lit(0))
+
+
+def _struct(rule: Rule, payload: Column, captures: Column) -> Column:
+    _, fields, groups = native_pattern(rule)
+    value = lambda i: F.get(captures, F.lit(i))
     items = []
     for f, g in zip(fields, groups, strict=True):
         v: Column
@@ -137,7 +161,7 @@ def native_struct(rule: Rule, payload: Column) -> Column | None:
     if rule.copy_raw:
         items.append(F.struct(F.lit(rule.copy_raw).alias("name"), F.lit("chars").alias("type"), payload.alias("value")))
     found = F.struct(F.lit("ok").alias("status"), F.lit(rule.key).alias("rule"), F.array(*items).alias("fields"), F.lit("").alias("residue"), F.lit(None).cast("string").alias("error"))
-    return F.when(text.rlike(pattern) & ~F.contains(text, F.lit("\n")), found)
+    return F.when(captures.isNotNull(), found)
 
 
 def parse_events(df: DataFrame, rules: str | list[Rule], payload: str = "payload", into: str = "parsed", native: bool = True) -> DataFrame:
@@ -158,8 +182,7 @@ def parse_events(df: DataFrame, rules: str | list[Rule], payload: str = "payload
         quick.append(made)
     if not quick:
         return _general(df, rules, payload, into)
-    tried = df.withColumn(into, F.coalesce(*quick))
-    return _general(tried, rules, payload, into, keep=True)
+    return _general(df.withColumn(into, F.coalesce(*quick)), rules, payload, into, keep=True)
 
 
 def _general(df: DataFrame, rules: list[Rule], payload: str, into: str, keep: bool = False) -> DataFrame:
