@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,11 +188,24 @@ def parse_events(df: DataFrame, rules: str | list[Rule], payload: str = "payload
 def _general(df: DataFrame, rules: list[Rule], payload: str, into: str, keep: bool = False) -> DataFrame:
     """The general evaluator; with ``keep`` only for rows whose struct is still null."""
 
-    @F.pandas_udf(PARSED)
-    def evaluate(texts: pd.Series) -> pd.DataFrame:
-        out = [choose(rules, t) if isinstance(t, str) else ("blank", None, [], "", None) for t in texts]
-        fields = [[{"name": n, "type": t, "value": v} for n, t, v in x[2]] for x in out]
-        return pd.DataFrame({"status": [x[0] for x in out], "rule": [x[1] for x in out], "fields": fields, "residue": [x[3] for x in out], "error": [x[4] for x in out]})
+    @F.arrow_udf(PARSED)
+    def evaluate(texts: pa.Array) -> pa.Array:
+        status, rule, residue, error, ends, names, kinds, values = [], [], [], [], [0], [], [], []
+        for t in texts.to_pylist():
+            s, r, own, rest, why = choose(rules, t) if t is not None else ("blank", None, (), "", None)
+            status.append(s)
+            rule.append(r)
+            residue.append(rest)
+            error.append(why)
+            for n, k, v in own:
+                names.append(n)
+                kinds.append(k)
+                values.append(v)
+            ends.append(len(names))
+        text = pa.string()
+        items = pa.StructArray.from_arrays([pa.array(names, text), pa.array(kinds, text), pa.array(values, text)], names=["name", "type", "value"])
+        fields = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+        return pa.StructArray.from_arrays([pa.array(status, text), pa.array(rule, text), fields, pa.array(residue, text), pa.array(error, text)], names=["status", "rule", "fields", "residue", "error"])
 
     if not keep:
         return df.withColumn(into, evaluate(F.col(f"`{payload}`")))
