@@ -72,8 +72,11 @@ def _output(params: dict) -> tuple[str, dict[str, str]]:
     return kind, options
 
 
-def sink_group(text: str, connectors: dict[str, Connector] | None = None) -> tuple[SinkGroup, dict[str, tuple[str, dict[str, str]]]]:
-    """A business group and its outputs by sink name. Tags of the group come before those of a sink, which win."""
+def sink_group(text: str, connectors: dict[str, Connector] | None = None, model_key: str = "model") -> tuple[SinkGroup, dict[str, tuple[str, dict[str, str]]]]:
+    """A business group and its outputs by sink name. Tags of the group come before those of a sink, which win.
+
+    ``model_key`` is the key under which the file lists model patterns.
+    """
     g = tomllib.loads(text)["sink_group"]
     sinks, outputs = [], {}
     for s in g.get("sinks", []):
@@ -87,7 +90,7 @@ def sink_group(text: str, connectors: dict[str, Connector] | None = None) -> tup
         tags = _tags(g.get("tags", [])) | _tags(s.get("tags", []))
         sinks.append(Sink(name, s.get("filter"), bool(s.get("filter_expect", True)), tuple(tags.items()), int(g.get("parallel", 1)) if g.get("replica") else 1))
         outputs[name] = _output(params)
-    rules, models = g.get("rule", []), g.get("oml", g.get("model", []))
+    rules, models = g.get("rule", []), g.get(model_key, [])
     return SinkGroup(g["name"], tuple([rules] if isinstance(rules, str) else rules), tuple([models] if isinstance(models, str) else models), tuple(sinks)), outputs
 
 

@@ -19,7 +19,7 @@ def test_sources():
 
 
 def test_sinks():
-    text = '[sink_group]\nname = "demo"\noml = ["*"]\ntags = ["biz:demo"]\n[[sink_group.sinks]]\nname = "j"\nconnect = "json"\nfilter = "$n > digit(5)"\ntags = ["sink:json"]\n[sink_group.sinks.params]\nfile = "demo.json"\n'
+    text = '[sink_group]\nname = "demo"\nmodel = ["*"]\ntags = ["biz:demo"]\n[[sink_group.sinks]]\nname = "j"\nconnect = "json"\nfilter = "$n > digit(5)"\ntags = ["sink:json"]\n[sink_group.sinks.params]\nfile = "demo.json"\n'
     group, outputs = config.sink_group(text, Connector.from_toml(CONNECTORS))
     assert group.models == ("*",) and group.sinks[0].tags == (("biz", "demo"), ("sink", "json")) and group.sinks[0].filter == "$n > digit(5)"
     assert outputs == {"demo/j": ("file", {"fmt": "json", "path": "./out/demo.json"})}
