@@ -30,7 +30,7 @@ _CUT = re.compile(f"[{SPACES}]")
 #: Code points of text handled at once.
 CHUNK = 1 << 15
 #: Words cached in each worker.
-CACHE = 1 << 19
+CACHE = 1 << 18
 
 
 def byte_symbols() -> list[str]:

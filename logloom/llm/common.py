@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -80,10 +81,20 @@ def add_columns(df: DataFrame, text: str, made: T.StructType, rows: Callable[[It
         for made_arrays in rows(texts()):
             b = pending.pop(0)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in range(len(kept))] + made_arrays, names=[*kept, *made.fieldNames()])
+        release()
 
     return source.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives unused memory of a worker back to the system, so that workers that live on do not keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
 def views(column: pa.Array) -> Iterator[np.ndarray | None]:
     """Each string of an Arrow column as a view of its UTF-8 bytes; None for null."""
     if isinstance(column, pa.ChunkedArray):

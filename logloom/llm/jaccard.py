@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, views
+from .common import cut, release, views
 from .filters import among, hash_bits
 from .tokens import LOWER, mix, windows
 
@@ -60,6 +60,7 @@ def _frequencies(df: DataFrame, size: int) -> np.ndarray:
         parts = seen.reshape(-1, _PART)
         some = np.flatnonzero(parts.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), task, np.int32)), pa.array([zlib.compress(parts[i].astype("<u8").tobytes(), 1) for i in some], pa.binary())], names=["part", "salt", "counts"])
+        release()
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_PART, np.uint64)
@@ -145,6 +146,7 @@ def _sets(df: DataFrame, size: int, shared) -> DataFrame:
                     at.append(at[-1] + len(own))
             tokens = pa.array((np.concatenate(flat) if flat else np.empty(0, np.uint64)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), tokens)], names=["a", "b", "own"])
+        release()
 
     return df.select("t").mapInArrow(run, "a long, b long, own array<long>")
 
@@ -362,6 +364,7 @@ def _within(members: DataFrame, sets: DataFrame, percent: int, part: int = 512,
                 yield rows()
         settle()
         yield rows()
+        release()
 
     return spread.mapInArrow(run, "c long, k long, top long")
 
