@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, decontaminate, jaccard, pii, quality
+from logloom.llm import bpe, decontaminate, filters, jaccard, pii, quality
 from logloom.llm.common import cut, table
 from logloom.llm.queries import tokenizer_path
 
@@ -25,13 +25,20 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8: the one of the least doc_id.
 
-    Rows are told apart by id and text, so repeated rows leave one row, and null ids stand for themselves.
+    Rows are told apart by id and text, so repeated rows leave one row, and null ids stand for themselves. Only rows that
+    may be dropped, by a bit map of hashes, are shuffled to meet the list of rows that stay.
     """
-    row = F.struct(F.col("doc_id"), F.xxhash64("text", "doc_id").alias("h"))
-    keyed = docs.select(*COLUMNS, row.alias("row"))
-    found = jaccard.link_documents(keyed.select("row", "text"), "row", size=5, percent=80, links=False)
+    h = F.xxhash64("text", "doc_id")
+    row = F.struct(F.col("doc_id"), h.alias("h"))
+    keyed = docs.select(*COLUMNS, h.alias("h"))
+    linked = jaccard.link_documents(docs.select(row.alias("row"), "text"), "row", size=5, percent=80, links=False)
+    found = cut(linked.select("row", "component_id"), "near-copies")
+    gone = found.where(F.col("row") != F.col("component_id")).select("row.h")
+    twice = found.groupBy("row").count().where("count > 1").select("row.h")
+    untouched, others = filters.parted(keyed, "h", filters.hash_bits(gone.unionByName(twice)))
     kept = found.where(F.col("row") == F.col("component_id")).select("row")
-    return keyed.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
+    left = others.withColumn("row", F.struct("doc_id", "h")).join(kept, "row", "left_semi").dropDuplicates(["row"])
+    return untouched.select(*COLUMNS).unionByName(left.select(*COLUMNS))
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +27,18 @@ def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each hash may be in the map; never false for one that is."""
     slot = hashes >> np.uint64(64 - BITS)
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def parted(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Rows whose hash (a long column without nulls) is surely not in the map, and the others."""
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+    place = df.columns.index(column)
+
+    def side(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(among(shared.value, b.column(place).to_numpy().view(np.uint64)) == wanted))
+
+        return df.mapInArrow(run, df.schema)
+
+    return side(False), side(True)
