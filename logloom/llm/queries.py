@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, jaccard, lm, pii, quality, repeats, sharding
+from . import bpe, decontaminate, fingerprints, jaccard, licenses, lm, pii, quality, repeats, sharding
 from .common import table
 
 
@@ -35,6 +35,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_versions(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=False)
+    names = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["license"])))
+    spans = F.transform("hits", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string")))
+    best = F.coalesce(F.array_max(F.transform("hits", lambda x: x["coverage"])), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hits"), F.array_join(names, ",").alias("licenses"), best.alias("coverage"), F.array_join(spans, ",").alias("spans"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_pii(docs, carry=False)
@@ -83,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_substrings": op2_substrings,
     "op3_fingerprints": op3_fingerprints,
+    "op4_licenses": op4_licenses,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
