@@ -51,3 +51,31 @@ def test_whole_table_against_exact_search(spark):
 
 def test_empty_scanner():
     assert licenses.Scanner({}, 0.9).scan(np.frombuffer(b"a b", np.uint8)) == (2, [])
+
+
+def scan(text):
+    return licenses.Scanner(licenses.known(), 0.9).scan(np.frombuffer(text.encode(), np.uint8))[1]
+
+
+def test_every_license_line_of_the_table(spark):
+    lines = {"mit": "Released under the MIT License", "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0", "apache-2.0": APACHE, "gpl-3.0": GPL}
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()}
+    rows = {r.doc_id: r for r in op4_licenses(spark, "/root/testdata/sf0.1").collect()}
+    for name, line in lines.items():
+        want = {d for d, t in docs.items() if line in t}
+        assert len(want) > 50 and want == {d for d, r in rows.items() if name in r.licenses.split(",")}
+    assert all(r.n_hits == sum(docs[d].count(x) for x in lines.values()) for d, r in rows.items())
+
+
+def test_whole_texts_notices_and_references():
+    noise = " ".join(f"word{i}" for i in range(40))
+    for path in sorted(licenses.TEXTS.glob("*.txt")):
+        name = path.name.removesuffix(".txt").removesuffix(".notice")
+        text = path.read_text()
+        got = scan(f"{noise}\n{text}\n{noise}")
+        n = len(re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", text))
+        assert [(x[0], x[1]) for x in got] == [(name, 1.0)] and got[0][2:] == (40, 40 + n), path.name
+    one = {"lgpl-3.0": "GNU Lesser General Public License, version 3", "cc-by-nc-sa-4.0": "licensed under CC BY-NC-SA 4.0", "gpl-2.0": "under GPLv2.", "agpl-3.0": "the GNU Affero General Public License v3"}
+    assert {k: [x[0] for x in scan(f"{noise} {t} {noise}")] for k, t in one.items()} == {k: [k] for k in one}
+    assert [x[0] for x in scan("Licensed under the Apache License, Version 2.0 or the MIT License")] == ["apache-2.0", "mit"]
+    assert scan("MIT grants no such license, and CC is by no means 4 or 0") == []
