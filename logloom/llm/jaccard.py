@@ -339,7 +339,7 @@ def _within(members: DataFrame, sets: DataFrame, percent: int, part: int = 512,
             if len(held) > 1:
                 linked = links_among([x[3] for x in held], percent)
                 second = np.array([x[0] for x in held])
-                if second.any():  # two parts: pairs within one are counted in a unit of their own
+                if unit[1:3] != unit[3:5]:  # two parts, of which one may be empty: pairs within one are counted in a unit of their own
                     linked &= second[:, None] != second[None, :]
                 top = _connected(linked)
                 out.extend(zip((x[1] for x in held), (linked @ np.array([x[2] for x in held], np.float64)).astype(np.int64).tolist(), (held[i][1] for i in top), strict=True))

@@ -71,3 +71,24 @@ def test_empty_table_and_null_keys(spark):
     assert jaccard.link_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (4, "a b c d e"), (None, "x")], "doc_id long, text string")
     assert sorted((r.component_id or 0, r.n_links) for r in jaccard.link_documents(df).collect()) == [(0, 0), (4, 2), (4, 2), (4, 2)]
+
+
+def test_links_within_families_of_empty_parts(spark):
+    random.seed(5)
+    members, sets = [], {}
+    for family in range(0, 200, 5):
+        base = [random.getrandbits(62) for _ in range(100)]
+        for c in range(family, family + random.randint(2, 5)):
+            sets[c] = sorted({*base[random.randint(0, 8) :], *(random.getrandbits(62) for _ in range(random.randint(0, 6)))})
+            members.append((c, len(sets[c]), random.randint(1, 3), family))
+    want = dict.fromkeys(sets, 0)
+    for a, _, _, f in members:
+        for b, _, m, g in members:
+            n = len({*sets[a]} & {*sets[b]})
+            if a != b and f == g and 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+                want[a] += m
+    left = spark.createDataFrame(members, "c long, n long, m long, family long")
+    right = spark.createDataFrame(list(sets.items()), "c long, own array<long>")
+    for part in (1, 2, 512):
+        rows = jaccard._within(left, right, 85, part=part).groupBy("c").sum("k").collect()
+        assert {c: n for c, n in want.items() if n} == {r[0]: r[1] for r in rows if r[1]}
