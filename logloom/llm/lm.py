@@ -1,11 +1,13 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-Tokens are lowered words and an end of text. A token's context has two levels below the root: the last letter beyond
-ASCII so far (32 classes, which tells languages apart), and with it whether a sentence may have just ended. Context
-restaurants share parents: (letter, stop) -> letter -> root -> base measure. Counts of a word over all contexts are one
-row, so seating is sampled word by word: a Gibbs sweep draws the numbers of tables given the parents' predictive
-probabilities and the restaurants' totals, and the totals of all words are brought up to date between passes. Scores
-use predictive probabilities averaged over the kept sweeps.
+Tokens are lowered words and an end of text. A token's context is the word before it (the end, at the start of a text);
+above that lie the last letter beyond ASCII so far (32 classes, which tells languages apart), and with it whether a
+sentence may have just ended. Context restaurants share parents: (word, letter, stop) -> (letter, stop) -> letter ->
+root -> base measure. Restaurants of words are tables of one row for each pair that occurs; each starts with one table
+a pair, and pairs that occur more often are seated anew once the levels above are known. Above, the tables of a word
+over all contexts are one row, so seating is sampled word by word: a Gibbs sweep draws the numbers of tables given the
+parents' predictive probabilities and the restaurants' totals, and the totals of all words are brought up to date
+between passes. Scores use predictive probabilities averaged over the kept sweeps.
 """
 
 from __future__ import annotations
@@ -54,37 +56,48 @@ def tokens(text: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     return np.append(h, np.uint64(END)), 2 * letter + stop
 
 
+def before(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The restaurant of each token of a text: a hash of the word before it and the context above."""
+    return mix(np.concatenate((np.array([END]), h[:-1])) + mix(k.astype(np.uint64) + np.uint64(0x6C6D)))
+
+
 def learned(key: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
     """Whether a row is learned from: crc32 of its id as text modulo ``folds`` is not ``fold``; a null id never is."""
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % folds != fold, F.lit(False))
 
 
+def _distinct(u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of pairs, and where in it each different pair begins."""
+    order = np.lexsort((h, u))
+    u, h = u[order], h[order]
+    return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(u)), bool), (u[1:] != u[:-1]) | (h[1:] != h[:-1]))))
+
+
 def _counts(texts: DataFrame) -> DataFrame:
-    """(h, k, c): occurrences of a word in a context, summed within a task as far as memory allows."""
+    """(u, h, k, c): occurrences of a word in a restaurant, summed within a task as far as memory allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            h = np.concatenate([x[0] for x in held])
-            k = np.concatenate([x[1] for x in held]).astype(np.int16)
-            order = np.lexsort((k, h))
-            h, k = h[order], k[order]
-            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1]))))
+            u, h, k = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, first = _distinct(u, h)
             c = np.diff(np.append(first, len(h)))
-            return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(k[first]), pa.array(c)], names=["h", "k", "c"])
+            at = order[first]
+            return pa.RecordBatch.from_arrays([pa.array(u[at].view(np.int64)), pa.array(h[at].view(np.int64)), pa.array(k[at].astype(np.int16)), pa.array(c)], names=["u", "h", "k", "c"])
 
         for batch in batches:
             for view in views(batch.column(0)):
-                held.append(tokens(view))
-                n += len(held[-1][0])
+                h, k = tokens(view)
+                held.append((before(h, k), h, k))
+                n += len(h)
                 if n > 3 << 20:
                     yield flush()
                     held, n = [], 0
         if held:
             yield flush()
 
-    return texts.mapInArrow(run, "h long, k short, c long")
+    return texts.mapInArrow(run, "u long, h long, k short, c long")
 
 
 @dataclass
@@ -256,12 +269,15 @@ def _totals(words: DataFrame, r: Restaurants, salt: int, sweeps: int) -> Restaur
 
 @dataclass
 class Model:
-    """Words with their counts and averaged probabilities (h, c, p0, letters, p1, ks, p2), and the totals."""
+    """Words with their counts and averaged probabilities (h, c, p0, letters, p1, ks, p2), and the totals; what pairs keep
+    for themselves (u, h, own) and what restaurants of words pass to the context above (u, up)."""
 
     words: DataFrame
     restaurants: Restaurants
     tokens: int
     sums: np.ndarray | None = None  # of each context's averaged probabilities, the unseen word's included
+    pairs: DataFrame | None = None
+    contexts: DataFrame | None = None
 
     def normalised(self) -> Model:
         """Totals are those of the pass before, so a context's probabilities add up to nearly 1; ``sums`` tells how nearly."""
@@ -287,14 +303,42 @@ class Model:
 
 
 def fit(texts: DataFrame, passes: int = 3, burn: int = 3, keep: int = 4) -> Model:
-    """Learns from one text column: ``passes`` passes for the totals, then ``burn`` sweeps and ``keep`` averaged ones.
+    """Learns from one text column.
 
-    Everything gathered from the corpus is a table of one row for each distinct word; the driver sees about a hundred
-    totals. An empty corpus gives a model that knows no word.
+    Pairs start with one table each; the levels above are fitted to those in one pass, pairs that occur more than once are
+    seated anew by them, and the levels above are fitted again: ``passes`` passes for the totals, then ``burn`` sweeps and
+    ``keep`` averaged ones. Everything gathered from the corpus is a table of one row for each distinct word, pair or
+    restaurant; the driver sees about a hundred totals. An empty corpus gives a model that knows no word.
     """
-    counts = _counts(texts).groupBy("h", "k").agg(F.sum("c").alias("c"))
-    lists = counts.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("e"), F.sum("c").alias("c"))
-    words = cut(lists.select("h", F.col("e.k").alias("ks"), F.col("e.c").alias("cs"), "c"), "lm-words")
+    pairs = cut(_counts(texts).groupBy("u", "h").agg(F.first("k").alias("k"), F.sum("c").alias("c")), "lm-pairs")
+    one, two, n = pairs.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1)), F.sum("c")).first()
+    discount, strength = min(0.95, max(0.05, one / max(1, one + 2 * two))), Restaurants.strength
+    start = _above(pairs.withColumn("t", F.lit(1).cast("long")), n or 0, 1, burn, 1)
+    customers = pairs.groupBy("u").agg(F.sum("c").alias("cu"), F.count(F.lit(1)).alias("tu"))
+    many = pairs.where("c > 1").join(customers, "u").join(start.words.select("h", "ks", "p2"), "h")
+    many = many.select("u", "h", "k", "c", "tu", F.get("p2", (F.array_position("ks", F.col("k")) - 1).cast("int")).alias("p"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stirling = log_stirling(discount)
+        for batch in batches:
+            u, h, _, c, tu, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            t = draw_tables(c, (strength + discount * tu) * p, discount, stirling, uniform(mix(u.view(np.uint64)) + h.view(np.uint64), 7))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(t)], names=["u", "h", "k", "c", "t"])
+
+    drawn = many.mapInArrow(draw, "u long, h long, k short, c long, t long")
+    seated = cut(pairs.where("c = 1").select("*", F.col("c").alias("t")).unionByName(drawn), "lm-seated")
+    model = _above(seated, n or 0, passes, burn, keep)
+    totals = seated.groupBy("u").agg(F.sum("c").alias("cu"), F.sum("t").alias("tu"))
+    model.contexts = cut(totals.select("u", "cu", ((strength + discount * F.col("tu")) / (strength + F.col("cu"))).alias("up")), "lm-contexts")
+    model.pairs = seated.select("u", "h", (F.col("c") - discount * F.col("t")).alias("own"))
+    return model
+
+
+def _above(seated: DataFrame, n: int, passes: int, burn: int, keep: int) -> Model:
+    """The levels above the restaurants of words, whose customers are the tables of pairs (u, h, k, c, t)."""
+    counts = seated.groupBy("h", "k").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    lists = counts.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("e"), F.sum("c").alias("c"))
+    words = cut(lists.select("h", F.col("e.k").alias("ks"), F.col("e.t").alias("cs"), "c"), "lm-words")
     by = {row.k: row.c for row in words.select(F.explode(F.arrays_zip("ks", "cs")).alias("e")).groupBy("e.ks").agg(F.sum("e.cs").alias("c")).select(F.col("ks").alias("k"), "c").collect()}
     c2 = np.array([by.get(k, 0) for k in range(CONTEXTS)], np.float64)
     vocabulary = words.count()
@@ -319,8 +363,8 @@ def fit(texts: DataFrame, passes: int = 3, burn: int = 3, keep: int = 4) -> Mode
             at2 = pa.ListArray.from_arrays(pa.array((batch.column(1).offsets.to_numpy() - batch.column(1).offsets[0].as_py()).astype(np.int32)), pa.array(p2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(p0), letters, at1, batch.column(1), at2], names=["h", "c", "p0", "letters", "p1", "ks", "p2"])
 
-    seated = words.select("h", "ks", "cs", "c").mapInArrow(run, "h long, c long, p0 double, letters array<short>, p1 array<double>, ks array<short>, p2 array<double>")
-    return Model(cut(seated, "lm-model"), r, int(c2.sum())).normalised()
+    sampled = words.select("h", "ks", "cs", "c").mapInArrow(run, "h long, c long, p0 double, letters array<short>, p1 array<double>, ks array<short>, p2 array<double>")
+    return Model(cut(sampled, "lm-model"), r, n).normalised()
 
 
 def _frequent(model: Model, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -359,21 +403,22 @@ def score_texts(df: DataFrame, model: Model, text: str = "text", frequent: int =
     A null text counts as empty: its only token is the end. Unknown words share one type. Made columns replace input
     columns of their names; the text is not returned.
 
-    Up to ``frequent`` words are broadcast; tokens of all other words meet the model in a join, as one row for each
-    document, word and context. So the result covers all words at any vocabulary size.
+    The probabilities above the word before of up to ``frequent`` words are broadcast; other words meet theirs in a join.
+    All tokens meet pairs and restaurants in joins, as one row for each document and pair. So the result covers all words
+    and pairs at any size.
     """
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in df.columns if c != text and c.lower() not in made]
     n, v = model.tokens, model.restaurants.vocabulary
     shared = df.sparkSession.sparkContext.broadcast(_frequent(model, frequent))
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("_id", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("_score", T.DoubleType()), T.StructField("_rest", T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("k", T.ShortType()), T.StructField("n", T.IntegerType())])))])
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("_id", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("_rest", T.ArrayType(T.StructType([T.StructField("u", T.LongType()), T.StructField("h", T.LongType()), T.StructField("k", T.ShortType()), T.StructField("n", T.IntegerType()), T.StructField("p", T.FloatType())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, counts, table = shared.value
         log_count = np.log10(counts + 0.5)
         serial = TaskContext.get().partitionId() << 40
         for batch in batches:
-            size, known, base, score, ends, rest = [], [], [], [], [0], []
+            size, known, base, ends, rest = [], [], [], [0], []
             for view in views(batch.column(len(kept))):
                 h, k = tokens(view)
                 at = np.searchsorted(top, h)
@@ -383,24 +428,26 @@ def score_texts(df: DataFrame, model: Model, text: str = "text", frequent: int =
                 size.append(len(h))
                 known.append(len(on))
                 base.append(float(log_count[on].sum()))
-                score.append(float(table[on, k[hit]].sum(dtype=np.float64)))
-                other, ok = h[~hit], k[~hit]
-                order = np.lexsort((ok, other))
-                other, ok = other[order], ok[order]
-                first = np.flatnonzero(np.concatenate(([True], (other[1:] != other[:-1]) | (ok[1:] != ok[:-1])))) if len(other) else np.empty(0, np.int64)
-                rest.append((other[first], ok[first], np.diff(np.append(first, len(other)))))
+                p = np.full(len(h), np.nan, np.float32)
+                p[hit] = table[on, k[hit]]
+                u = before(h, k)
+                order, first = _distinct(u, h)
+                one = order[first]
+                rest.append((u[one], h[one], k[one], np.diff(np.append(first, len(h))), p[one]))
                 ends.append(ends[-1] + len(first))
             ids = np.arange(serial, serial + len(size))
             serial += len(size)
-            h, k, m = (np.concatenate(x) if rest else np.empty(0) for x in zip(*rest, strict=True)) if rest else (np.empty(0, np.uint64),) * 3
-            entries = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(k.astype(np.int16)), pa.array(m.astype(np.int32))], names=["h", "k", "n"])
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [pa.array(ids), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], names=schema.fieldNames())
+            if not rest:
+                continue
+            u, h, k, m, p = (np.concatenate(x) for x in zip(*rest, strict=True))
+            entries = pa.StructArray.from_arrays([pa.array(u.view(np.int64)), pa.array(h.view(np.int64)), pa.array(k.astype(np.int16)), pa.array(m.astype(np.int32)), pa.array(p, from_pandas=True)], names=["u", "h", "k", "n", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [pa.array(ids), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], names=schema.fieldNames())
 
     documents = cut(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text")).mapInArrow(run, schema), "lm-documents")
     one, two = model.fallback()
     ones, twos = (F.array(*[F.lit(float(x)) for x in a]) for a in (one, two))
-    rest = documents.select("_id", F.explode("_rest").alias("e")).select("_id", "e.h", "e.k", "e.n")
-    met = rest.join(model.words, "h", "left")
+    rest = documents.select("_id", F.explode("_rest").alias("e")).select("_id", "e.u", "e.h", "e.k", "e.n", "e.p")
+    met = rest.where("p IS NULL").join(model.words, "h", "left")
     letter = F.shiftright("k", 1)
     at2 = F.array_position("ks", F.col("k"))
     at1 = F.array_position("letters", letter.cast("short"))
@@ -408,18 +455,19 @@ def score_texts(df: DataFrame, model: Model, text: str = "text", frequent: int =
     p1 = F.when(F.coalesce(at1, F.lit(0)) > 0, F.get("p1", (at1 - 1).cast("int"))).otherwise(root * F.get(ones, letter))
     p2 = F.when(F.coalesce(at2, F.lit(0)) > 0, F.get("p2", (at2 - 1).cast("int"))).otherwise(p1 * F.get(twos, F.col("k").cast("int")))
     p2 = p2 / F.get(F.array(*[F.lit(float(x)) for x in model.sums]), F.col("k").cast("int"))
-    sums = met.groupBy("_id").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"),
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base_more"),
-        F.sum(F.col("n") * F.log10(p2)).alias("score_more"),
-    )
-    joined = documents.drop("_rest").join(sums, "_id", "left")
     zero = F.lit(0.0)
+    seldom = met.select("_id", "u", "h", "n", p2.alias("p"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("more"), (F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base_more"))
+    often = rest.where("p IS NOT NULL").select("_id", "u", "h", "n", F.pow(F.lit(10.0), F.col("p").cast("double")).alias("p"), F.lit(0).alias("more"), zero.alias("base_more"))
+    whole = often.unionByName(seldom).join(model.contexts, "u", "left").join(model.pairs, ["u", "h"], "left")
+    # what the pair keeps for itself, and what its restaurant passes on; an unknown restaurant passes on all
+    p3 = F.coalesce(F.col("own"), zero) / (Restaurants.strength + F.coalesce("cu", F.lit(0))) + F.coalesce(F.col("up"), F.lit(1.0)) * F.col("p")
+    sums = whole.groupBy("_id").agg(F.sum("more").alias("more"), F.sum("base_more").alias("base_more"), F.sum(F.col("n") * F.log10(p3)).alias("score_more"))
+    joined = documents.drop("_rest").join(sums, "_id", "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in kept],
         F.col("_n").alias("n_tokens"),
         (F.col("_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("_base") + F.coalesce("base_more", zero) - F.col("_n") * F.lit(math.log10(n + 0.5 * (v + 1)))).alias("base_score"),
-        (F.col("_score") + F.coalesce("score_more", zero)).alias("score"),
+        F.coalesce("score_more", zero).alias("score"),
     )

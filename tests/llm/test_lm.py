@@ -77,3 +77,25 @@ def test_empty_corpus_and_table(spark):
     got = sorted((r.n_tokens, r.n_known, r.train_tokens, math.isfinite(r.score)) for r in lm.score_texts(df, model).collect())
     assert got == [(1, 0, 0, True), (3, 0, 0, True)]
     assert lm.score_texts(none, model).count() == 0
+
+
+def test_word_order_counts_and_pairs_sum_to_one(spark):
+    random.seed(9)
+    after = {f"w{i}": [f"w{random.randrange(40)}" for _ in range(3)] for i in range(40)}
+
+    def fluent():
+        out = ["w0"]
+        while len(out) < 60:
+            out.append(random.choice(after[out[-1]]))
+        return out
+
+    train = [(i, " ".join(fluent())) for i in range(200)]
+    fresh = [fluent() for _ in range(20)]
+    shuffled = [random.sample(x, len(x)) for x in fresh]
+    model = lm.fit(spark.createDataFrame(train, "doc_id long, text string").select("text"))
+    held = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(fresh + shuffled)], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in lm.score_texts(held, model).collect()}
+    assert all(score[i] > score[i + 20] + 0.3 * 60 for i in range(20))
+    # what pairs keep and what is passed on is a whole
+    pairs = model.pairs.join(model.contexts, "u").groupBy("u").agg({"own": "sum", "cu": "first", "up": "first"}).collect()
+    assert all(r["sum(own)"] / (r["first(cu)"] + 1) + r["first(up)"] == pytest.approx(1) for r in pairs)
