@@ -78,3 +78,20 @@ def test_stages_survive_odd_rows(spark):
         assert out.columns == docs.columns and out.count() > 0
     assert corpus_pipeline.drop_near_copies(spark, docs, sf).count() == 3
     assert corpus_pipeline.encode(spark, docs, sf).count() == 6
+
+
+def test_fit_keeps_the_best_penalty_of_its_full_settings(monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.random((600, len(quality.STATISTICS)))
+    y = (x[:, 0] > 0.5).astype(float)
+    used = []
+
+    def lasso(z, y, penalty, rounds=300):
+        used.append(penalty)
+        return np.zeros(z.shape[1]), {0.001: 0.0}.get(penalty, 0.2)  # 0.001 is best by less than 5 %
+
+    monkeypatch.setattr(quality, "_lasso", lasso)
+    y[::5] = np.arange(len(y[::5])) % 2
+    quality.fit_rules(x, y)
+    assert used == [0.01, 0.003, 0.001, 0.0003, 0.001]
+    assert quality.MAX_ROWS == 16384 and quality.fit_rules.__defaults__[0] == 40
