@@ -198,8 +198,15 @@ class Scanner:
                 if first is None or first >= end:
                     break
                 a, z = max(at, first - m - slack), min(end, first + m + slack)
-                matched = patience(h[a:z].tolist(), words)
-                best = self._densest(matched, m + slack)
+                best = self._densest(patience(h[a:z].tolist(), words), m + slack)
+                if len(best) < self.least * m or a + best[0][0] > first:
+                    # equal notices side by side leave no unique words, or only the later one is met: narrower windows
+                    # from where this one may start
+                    for k in (k for k, w in enumerate(words) if w == h[first]):
+                        for b, y in product((max(at, first - k),), (first - k + m, first - k + m + slack)):
+                            found = self._densest(patience(h[b : min(end, y)].tolist(), words), m + slack)
+                            if len(found) >= self.least * m and (len(best) < self.least * m or b + found[0][0] < a + best[0][0]):
+                                a, best = b, found
                 if len(best) >= self.least * m:
                     yield name, len(best) / m, a + best[0][0], a + best[-1][0] + 1
                     at = a + best[-1][0] + 1

@@ -79,3 +79,13 @@ def test_whole_texts_notices_and_references():
     assert {k: [x[0] for x in scan(f"{noise} {t} {noise}")] for k, t in one.items()} == {k: [k] for k in one}
     assert [x[0] for x in scan("Licensed under the Apache License, Version 2.0 or the MIT License")] == ["apache-2.0", "mit"]
     assert scan("MIT grants no such license, and CC is by no means 4 or 0") == []
+
+
+def test_equal_notices_side_by_side():
+    noise = " ".join(f"word{i}" for i in range(200))
+    cc = licenses.TEMPLATES["cc-by-4.0"]
+    got = scan(f"{cc} {noise} {GPL} {GPL}")
+    at = len(re.findall(r"\w+", cc)) + 200
+    assert [x[0] for x in got] == ["cc-by-4.0", "gpl-3.0", "gpl-3.0"] and [x[2:] for x in got[1:]] == [(at, at + 12), (at + 12, at + 24)]
+    plain = licenses.Scanner(licenses.TEMPLATES, 0.9).scan(np.frombuffer(f"{cc} {noise} {GPL} {GPL}".encode(), np.uint8))[1]
+    assert [x[0] for x in plain] == ["cc-by-4.0", "gpl-3.0", "gpl-3.0"]
