@@ -145,7 +145,7 @@ def find_repeats(df: DataFrame, text: str = "text", size: int = 35, anchor: int
     the result.
     """
     spark = df.sparkSession
-    anchor = min(anchor, size)
+    anchor = min(max(anchor, size - 61), size)  # a piece has up to size - anchor + 1 windows, kept as bits of one signed long
     counted = _minimizers(df, text, size, anchor).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
     shared = spark.sparkContext.broadcast(hash_bits(counted))
 

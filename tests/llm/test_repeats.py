@@ -65,3 +65,16 @@ def test_long_document_in_chunks(spark, monkeypatch):
     h = PLAIN.hashes(np.frombuffer(" ".join(base).encode(), np.uint8))
     pieces = list(repeats.path_pieces(h, 35, 10))
     assert len(pieces) == 6 and sum(int(p[3].sum()) for p in pieces) == 366
+
+
+def test_windows_far_longer_than_the_anchor(spark):
+    random.seed(11)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(4))
+    passages = [[word() for _ in range(random.randint(150, 400))] for _ in range(4)]
+    texts = []
+    for _ in range(40):
+        p = random.choice(passages)
+        a = random.randint(0, 60)
+        texts.append(" ".join([word() for _ in range(20)] + p[a : a + random.randint(70, 300)] + [word() for _ in range(20)]))
+    for size in (73, 90, 140):
+        check(spark, texts, size, 10)
