@@ -139,7 +139,7 @@ def json_escape(c: Column) -> Column:
 
 def json_unescape(c: Column) -> Column:
     """JSON escapes resolved; text that is no JSON string body passes through."""
-    good = c.rlike(r'(?s)^(?:[^"\\]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*$')
+    good = c.rlike(r'(?s)^(?:[^"\\]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+$')
     return F.when(good, F.coalesce(F.from_json(F.concat(F.lit('{"x":"'), F.regexp_replace(F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), "\t", "\\\\t"), F.lit('"}')), "x string")["x"], c)).otherwise(c)
 
 

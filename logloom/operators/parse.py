@@ -76,7 +76,9 @@ def _piece(f: Field, sep: Separator) -> tuple[str, int] | None:
         return f"{lead}{re.escape(f.symbol or '')}{stop}", 0
     if f.scope:
         b, e = f.scope
-        inner = rf"(?:\\.|[^{re.escape(e)}\\\x1f])*" if len(e) == 1 and b == e else rf"[^{re.escape(b + e)}\x1f]*" if len(b) == len(e) == 1 else None
+        # possessive loops: Java's matcher runs them in place, where a plain repeated alternative takes a stack frame a turn
+        quoted = len(e) == 1 and b == e
+        inner = rf"(?:[^{re.escape(e)}\\\x1f]++|\\.)*+" if quoted else rf"[^{re.escape(b + e)}\x1f]*" if len(b) == len(e) == 1 else None
         if inner is None:
             return None
         if f.kind == "_":
@@ -84,7 +86,11 @@ def _piece(f: Field, sep: Separator) -> tuple[str, int] | None:
         if f.kind == "chars":
             return f"{lead}{re.escape(b)}({inner}){re.escape(e)}{stop}", 1
         if f.kind == "http/agent":
-            return rf"{lead}{re.escape(b)} *(Mozilla/[0-9]{inner}?) *{re.escape(e)}{stop}", 1
+            if " " in (b, e):
+                return None
+            # blanks before the end are not part of the value
+            within = rf"(?:[^ {re.escape(e)}\\\x1f]++|\\.| ++(?!{re.escape(e)}))*+" if quoted else rf"(?:[^ {re.escape(b + e)}\x1f]++| ++(?!{re.escape(e)}))*+"
+            return rf"{lead}{re.escape(b)} *(Mozilla/[0-9]{within}) *{re.escape(e)}{stop}", 1
         if f.kind == "time/clf":
             return f"{lead}{re.escape(b)}{_CLF}{re.escape(e)}{stop}", 4
         if f.kind in _NATIVE:

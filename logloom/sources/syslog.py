@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: <pri>version time host app proc msgid [data] message
-RFC5424 = r"(?s)^<([0-9]{1,3})>([1-9][0-9]?) (\S+) (\S+) (\S+) (\S+) (\S+) (?:-|(?:\[(?:\\.|\"(?:\\.|[^\"\\])*\"|[^\]\\\"])*\])+)(?: (.*))?$"
+RFC5424 = r"(?s)^<([0-9]{1,3})>([1-9][0-9]?) (\S+) (\S+) (\S+) (\S+) (\S+) (?:-|(?:\[(?:\\.|\"(?:[^\"\\]++|\\.)*+\"|[^\]\\\"]++)*+\])++)(?: (.*))?$"
 #: <pri>Mon dd HH:MM:SS host tag: message
 RFC3164 = r"(?s)^<([0-9]{1,3})>((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [ 0-9][0-9] [0-9]{2}:[0-9]{2}:[0-9]{2}) (\S+) (.*)$"
 

@@ -148,3 +148,9 @@ def test_lookup_of_constants(spark):
     df = spark.createDataFrame([(7,)], "x int")
     row = model(df, "k = select k from t where id = 2 ; n = select k from t where id = 9 ;", knowledge=t).first()
     assert (row.k, row.n) == ("b", None)
+
+
+def test_json_text_of_a_megabyte(spark):
+    long = 'a\\"b\\u0041' * 100_000
+    row = spark.createDataFrame([(long, long + '"')], "a string, b string").select(v.json_unescape(F.col("a")), v.json_unescape(F.col("b"))).first()
+    assert row[0] == 'a"bA' * 100_000 and row[1] == long + '"'

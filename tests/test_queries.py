@@ -5,16 +5,16 @@ import pytest
 
 from logloom.queries import ORACLE, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SIZES = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 
 
-@pytest.fixture(scope="module")
-def duck():
+@pytest.fixture(scope="module", params=SIZES)
+def duck(request):
     c = duckdb.connect()
     for t in TABLES:
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return c
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{request.param}/{t}.parquet'")
+    return request.param, c
 
 
 def plain(value):
@@ -23,8 +23,9 @@ def plain(value):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, duck, name):
-    ours = QUERIES[name](spark, SF)
-    theirs = duck.sql(ORACLE[name])
+    sf_dir, sql = duck
+    ours = QUERIES[name](spark, sf_dir)
+    theirs = sql.sql(ORACLE[name])
     columns = sorted(ours.columns)
     assert columns == sorted(theirs.columns)
     rows = lambda got, names: sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in got)
@@ -32,4 +33,4 @@ def test_query(spark, duck, name):
 
 
 def test_generated_rows(spark):
-    assert [tuple(r) for r in QUERIES["generate_round_trip"](spark, SF).collect()] == [("ok", 5000)]
+    assert [tuple(r) for r in QUERIES["generate_round_trip"](spark, SIZES[0]).collect()] == [("ok", 5000)]
