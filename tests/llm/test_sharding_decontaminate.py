@@ -54,6 +54,29 @@ def test_contamination_against_brute_force(spark):
             assert brute.contamination({0: cut[i]}, [])[0][0] >= want[i][0] - want[i][1] - 1
 
 
+def test_long_items_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    random.seed(3)
+    items = [(i, " ".join(random.choice("abcd") for _ in range(n))) for i, n in enumerate((1, 3, 4, 5, 9, 10, 11, 12, 40, 200))]
+    texts = [" ".join(random.choice("abcd") for _ in range(60)) for _ in range(20)] + ["w" * 3_000_000 + " " + items[8][1]]
+    df = spark.createDataFrame([(i % 21, t) for i, t in enumerate(texts * 2)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.contamination(dict(enumerate(texts)), items, 4)
+    for block in (1 << 20, 60):
+        found = decontaminate.find_contamination(df, bench, size=4, block_bytes=block)
+        got = found.select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), decontaminate.contaminated().alias("c")).collect()
+        assert len(got) == 42 and all(tuple(r[1:]) == want[r.doc_id] for r in got)
+
+
+def test_table_of_a_large_benchmark_is_small():
+    random.seed(5)
+    words = [f"w{i}" for i in range(5000)]
+    text = " ".join(random.choice(words) for _ in range(400_000))
+    scanner = decontaminate.Scanner([("a", text)], 13)
+    held = sum(x.nbytes for t in scanner.tables.values() for x in t[:4]) + scanner.start.nbytes + scanner.end.nbytes + scanner.low.nbytes
+    assert held < 36 * 400_000 + len(text) + (1 << 24)
+
+
 def test_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text").collect()]
