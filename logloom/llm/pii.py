@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction (DataFrame and SQL functions only).
 
-Base patterns give seed entities. The words around them are lexical patterns; patterns and identifier-like tokens form
-a graph that is scored in rounds: a pattern by the share of known entities among all it surrounds, a token by the mean
-score of its patterns. Patterns of high confidence then add the tokens they surround.
+Seed entities (base patterns, and digests that are assigned to a name as secrets) induce lexical patterns: words at
+places around the slot, with wildcards. Patterns and the words that fill them form a graph that is scored in rounds: a
+pattern by the share of known entities among all that fill it, a word by the mean score of its patterns. Patterns of high
+confidence then add whatever fills them, whether or not it looks like a seed.
 """
 
 from __future__ import annotations
@@ -26,13 +27,24 @@ BASE = {
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})?"
 
-#: Identifier-like tokens: 6 to 64 letters, digits and joining marks, with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z@._+-]{0,63}[0-9])[A-Za-z0-9@._+-]{6,64}(?![A-Za-z0-9@._+-])"
+#: Seeds that are no base kind: a digest of 32 to 64 hexadecimal digits that something is set to.
+SECRET = r"(?<=[=:]|[=:][\x20\"']|[=:]\x20[\"'])(?=[a-f0-9]{0,62}[0-9][a-f]|[a-f0-9]{0,62}[a-f][0-9])[a-f0-9]{32,64}(?![A-Za-z0-9])"
+ALL = (*KINDS, "secret")
+
+#: Words of contexts: runs of other characters than blanks and these marks, each of which is a word of its own.
+MARKS = r"=:;,\"'()<>\[\]{}|"
+_MARKS = "=:;,\"'()<>[]{}|"
+WORD = rf"[^\x20\x09-\x0D{MARKS}]+|[{MARKS}]"
+#: Private characters that stand for the first character of a seed, by kind, and for blanks and brackets inside one.
+_KNOWN = "".join(chr(0xE010 + i) for i in range(len(ALL)))
+_INNER = "\ue000\ue001\ue002"
 _BLOCK = 256
+#: Patterns (16 bytes each in a hash table) that are broadcast at most.
+BROADCAST = 1 << 20
 
 
 def located(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, match, left, right): code points, and up to 60 characters before, 40 after.
+    """All matches as (start, end, match), in code points.
 
     Positions are sums over the pieces between matches, in blocks, so that a text with very many matches stays cheap.
     """
@@ -50,14 +62,13 @@ def located(text: Column, pattern: str) -> Column:
             def one(x: Column, i: Column, before: Column) -> Column:
                 block = F.floor(i / F.lit(_BLOCK)).cast("int")
                 start = F.get(before, block) + total(F.slice(z, block * _BLOCK + 1, i - block * _BLOCK)) + F.char_length(F.get(p, i))
-                left = F.right(F.concat(F.coalesce(F.get(m, i - 1), F.lit("")), F.get(p, i)), F.lit(60))
-                return F.struct(start.alias("start"), (start + F.char_length(x)).alias("end"), x.alias("match"), left.alias("left"), F.left(F.get(p, i + 1), F.lit(40)).alias("right"))
+                return F.struct(start.alias("start"), (start + F.char_length(x)).alias("end"), x.alias("match"))
 
             return _let(starts, lambda before: F.transform(m, lambda x, i: one(x, i, before)))
 
         return _let(sizes, with_sizes)
 
-    none = F.array().cast("array<struct<start:int,end:int,match:string,left:string,right:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
     return _let(found, lambda m: F.when(F.size(m) == 0, none).otherwise(_let(pieces, lambda p: build(m, p))))
 
 
@@ -91,32 +102,15 @@ def base_spans(text: Column, kind: str) -> Column:
     """Valid base matches of a kind, leftmost and non-overlapping; failing matches are dropped and not retried."""
     need = _NEEDS[kind]
     has = F.contains(text, F.lit(need)) if need else text.rlike("[0-9](?:[\\x20-]?[0-9]){11}")
-    none = F.array().cast("array<struct<start:int,end:int,match:string,left:string,right:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
     return F.when(has, F.filter(located(text, BASE[kind]), lambda x: valid(kind, x["match"]))).otherwise(none)
 
 
-def contexts(left: Column, right: Column) -> Column:
-    """Two lexical patterns of a slot: the two words before, and the word before with the start of what follows.
-
-    Words are lower-cased, digits become 0; a slot at the start of a text has the mark ^.
-    """
-    tidy = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-    words = F.filter(F.split(tidy(left), r"\s+"), lambda w: w != "")
-    after = F.regexp_extract(tidy(right), r"^\s*([^\s]*)", 1)
-    last = F.coalesce(F.get(words, F.size(words) - 1), F.lit("^"))
-    second = F.coalesce(F.get(words, F.size(words) - 2), F.lit("^"))
-    return F.array(F.concat(F.lit("2|"), second, F.lit(" "), last), F.concat(F.lit("1|"), last, F.lit(" _ "), after))
-
-
 def _as_spans(found: Column, kind: str) -> Column:
-    order = F.lit(KINDS.index(kind))
+    order = F.lit(ALL.index(kind))
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), order.alias("order"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def _as_seeds(found: Column, kind: str) -> Column:
-    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), F.lower(x["match"]).alias("token"), contexts(x["left"], x["right"]).alias("patterns")))
-
-
 def _count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
@@ -125,41 +119,136 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_pii(df: DataFrame, text: str = "text", rounds: int = 3, confidence: float = 0.9, support: int = 5, carry: bool = True) -> DataFrame:
-    """Adds base (array of spans), spans (base and discovered ones) and n_email, n_ip, n_card, n_phone (of the base).
+def _overlaps(spans: Column, x: Column) -> Column:
+    return F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
+
+
+def marked(text: Column, spans: Column) -> Column:
+    """The text with each seed made one word that names its kind, at equal length; overlapping seeds are one."""
+
+    def seed(x: Column, own: Column) -> Column:
+        first = F.element_at(F.array(*[F.lit(c) for c in _KNOWN]), x["order"] + 1)
+        return F.concat(first, F.translate(F.substr(own, F.lit(2), F.char_length(own)), " ()", _INNER))
+
+    plain = F.translate(text, _KNOWN + _INNER, "\ufffd" * len(_KNOWN + _INNER))
+    return _replaced(plain, spans, seed)
+
+
+def _slots(docs: DataFrame, text: str, *more: str, named: bool) -> DataFrame:
+    """One row for each word that is no mark: i (its place), w (as contexts see it) and the hashes p1, p2, p3 of its patterns.
+
+    A pattern names two of three places around the slot, the third is a wildcard: the two words before, the word on
+    either side, the second word before with the one after. Contexts see words in lower case, with 0 for each digit; beyond
+    the ends of a text there is the mark ^. ``docs`` keeps its columns ``more``. With ``named`` there is the word itself
+    too, as token.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    own = [words(F.lower(text)).alias("o")] if named else []
+    split = docs.select(*more, words(F.translate(F.lower(text), "123456789", "0" * 9)).alias("m"), *own).where(F.size("m") > 0)
+    edge = F.array(F.lit("^"))
+    places = [F.col("m").alias("w"), F.concat(edge, "m").alias("l1"), F.concat(edge, edge, "m").alias("l2"), F.concat(F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(1))), edge).alias("r1")]
+    places += [F.col("o").alias("token")] if named else []
+    each = split.select(*more, F.posexplode(F.arrays_zip(*places)).alias("i", "x")).select(*more, "i", "x.*")
+    each = each.where(F.col("w").isNotNull() & (F.position(F.col("w"), F.lit(_MARKS)) == 0))
+    patterns = [F.xxhash64(F.lit(n), *c).alias(f"p{n}") for n, c in ((1, ("l2", "l1")), (2, ("l1", "r1")), (3, ("l2", "r1")))]
+    return each.select(*more, "i", "w", *(["token"] if named else []), *patterns)
+
+
+def _filled(each: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The slots of each pattern of a table (column pattern, a written one), one row for each slot and pattern.
+
+    Up to ``BROADCAST`` patterns are broadcast, and most words are done with three probes of that table; more of them meet
+    the words in a shuffled join.
+    """
+    kept = [c for c in each.columns if c not in ("p1", "p2", "p3")]
+    if patterns.count() > BROADCAST:
+        return each.select(*kept, F.explode(F.array("p1", "p2", "p3")).alias("pattern")).join(patterns, "pattern")
+    for p in ("p1", "p2", "p3"):
+        each = each.join(F.broadcast(patterns.select(F.col("pattern").alias(p), F.col("pattern").alias(f"is_{p}"))), p, "left")
+    met = each.where("is_p1 IS NOT NULL OR is_p2 IS NOT NULL OR is_p3 IS NOT NULL")
+    return met.select(*kept, F.explode(F.array_compact(F.array("is_p1", "is_p2", "is_p3"))).alias("pattern"))
+
+
+def _kind(word: str) -> Column:
+    """The kind that a seed's word names; null for other words."""
+    at = F.regexp_extract(word, f"[{_KNOWN}]", 0)
+    return F.when(at != "", F.element_at(F.create_map(*[F.lit(x) for pair in zip(_KNOWN, ALL, strict=True) for x in pair]), at))
+
+
+def find_pii(df: DataFrame, text: str = "text", rounds: int = 3, confidence: float = 0.8, support: int = 5, floor: float = 0.2, carry: bool = True) -> DataFrame:
+    """Adds base (array of spans), spans (base, secrets and discovered ones) and n_email, n_ip, n_card, n_phone (of the base).
 
     A span is (start, order, end, kind): code points, end exclusive, sorted by start, then kind as listed. Null text has
     no spans. Repeated rows are scanned alike and get equal spans. Made columns replace input columns of their names.
 
     A pattern discovers where at least ``support`` distinct known entities of one kind fill it and their scores make up
-    ``confidence`` of all identifier-like tokens that fill it. Discovered spans never overlap base spans.
+    ``confidence`` of all different words that fill it; a pattern of which less than ``floor`` of all places hold seeds is
+    never looked at further. Discovered spans never overlap seeds; marks of the sentence around a word stay outside.
 
-    The texts are read once, into a written table; the graph has one row for each distinct (pattern, token), patterns
-    and tokens are aggregated before they are shuffled, and only documents with identifier-like tokens outside base
-    spans meet the discovered ones in a join. ``carry=False`` leaves the text itself out of the result.
+    The texts are scanned for seeds once, into a written table. Patterns are aggregated before they are shuffled. All
+    words of all texts meet the patterns of seeds in a join, whose side of patterns Spark broadcasts while its files are
+    small and shuffles beyond. ``carry=False`` leaves the text itself out of the result.
     """
     made = ["base", "spans", *(f"n_{k}" for k in KINDS)]
-    kept = [c for c in keep_columns(df, made) if carry or c != text]
+    kept = [c for c in keep_columns(df, made) if c != text]
+    others = [F.col(f"`{c}`").cast("string") for c in kept]
     body = F.coalesce(F.col("_t"), F.lit(""))
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_t"))
-    others = [F.col(f"`{c}`").cast("string") for c in kept if c != text]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_own"), F.col(f"`{text}`").cast("string").alias("_t"))
     scanned = source.select(
-        *[F.col(f"`{c}`") for c in kept],
+        "*",
         F.xxhash64(F.col("_t"), *others).alias("_k1"),
         F.xxhash64(F.lit(17), *others, F.col("_t")).alias("_k2"),
         *[base_spans(body, k).alias(f"_{k}") for k in KINDS],
-        F.when(body.rlike("[0-9]"), located(body, CANDIDATE)).alias("_found"),
+        F.when(body.rlike("[=:][\\x20\"']{0,2}[a-f0-9]{32}"), located(body, SECRET)).alias("_secret"),
     )
-    plain = F.concat(*[_as_spans(F.col(f"_{k}"), k) for k in KINDS])
-    seeds = F.concat(*[_as_seeds(F.col(f"_{k}"), k) for k in KINDS])
-    with_base = scanned.withColumn("base", F.array_sort(plain)).withColumn("_seeds", seeds)
-    free = F.filter(F.coalesce("_found", F.array().cast("array<struct<start:int,end:int,match:string,left:string,right:string>>")), lambda c: (F.length(_digits(c["match"])) >= 3) & ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    open_slots = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lower(c["match"]).alias("token"), contexts(c["left"], c["right"]).alias("patterns")))
-    read = cut(with_base.select(*[F.col(f"`{c}`") for c in kept], "_k1", "_k2", "base", "_seeds", open_slots.alias("_open")), "pii-read")
-
-    known = read.where(F.size("_seeds") > 0).select(F.explode("_seeds").alias("s")).select("s.kind", "s.token", F.explode("s.patterns").alias("pattern"))
-    unknown = read.where(F.size("_open") > 0).select(F.explode("_open").alias("s")).select(F.lit(None).cast("string").alias("kind"), "s.token", F.explode("s.patterns").alias("pattern"))
-    edges = cut(known.unionByName(unknown).groupBy("pattern", "token").agg(F.max("kind").alias("kind")), "pii-edges")
+    with_base = scanned.withColumn("base", F.array_sort(F.concat(*[_as_spans(F.col(f"_{k}"), k) for k in KINDS])))
+    secret = F.filter(_as_spans(F.coalesce("_secret", F.array().cast("array<struct<start:int,end:int,match:string>>")), "secret"), lambda x: ~_overlaps(F.col("base"), x))
+    seeded = with_base.withColumn("_seeds", F.array_sort(F.concat("base", secret)))
+    words = F.when(F.size("_seeds") > 0, marked(body, F.col("_seeds")))
+    read = cut(seeded.select(*[F.col(f"`{c}`") for c in kept], "_own", "_k1", "_k2", "base", "_seeds", words.alias("_marked")), "pii-read")
+
+    added = _discover(read, rounds, confidence, support, floor)
+    front = [F.col(f"`{c}`") if c != text else F.col("_own").alias(text) for c in keep_columns(df, made) if carry or c != text]
+    counts = [_count("base", k).alias(f"n_{k}") for k in KINDS]
+    if added is None:
+        return read.select(*front, "base", F.col("_seeds").alias("spans"), *counts)
+    met = read.join(added, ["_k1", "_k2"], "left")
+    spans = F.when(F.col("_added").isNull(), F.col("_seeds")).otherwise(F.array_sort(F.concat("_seeds", _placed(_words_of(), F.col("_added")))))
+    return met.select(*front, "base", spans.alias("spans"), *counts)
+
+
+def _words_of() -> Column:
+    """A row's text as the words of contexts are taken from it."""
+    return F.coalesce(F.col("_marked"), F.translate(F.col("_own").cast("string"), _KNOWN + _INNER, "\ufffd" * len(_KNOWN + _INNER)))
+
+
+def _placed(text: Column, hits: Column) -> Column:
+    """Spans of the words of these places (i, found), without sentence marks at their ends; words of marks alone have none."""
+
+    def one(x: Column, found: Column) -> Column:
+        lead = F.char_length(F.regexp_extract(x["match"], r"^[.!?*#&$%]*", 0))
+        core = F.char_length(F.regexp_replace(x["match"], r"^[.!?*#&$%]++|[.!?*#&$%]++$", ""))
+        order = F.element_at(F.create_map(*[y for i, k in enumerate(ALL) for y in (F.lit(k), F.lit(i))]), found)
+        return F.struct((x["start"] + lead).alias("start"), order.alias("order"), (x["start"] + lead + core).alias("end"), found.alias("kind"))
+
+    made = _let(located(text, WORD), lambda w: F.transform(hits, lambda h: one(F.get(w, h["i"]), h["found"])))
+    return F.filter(made, lambda s: s["end"] > s["start"])
+
+
+def _discover(read: DataFrame, rounds: int, confidence: float, support: int, floor: float) -> DataFrame | None:
+    """(_k1, _k2, _added: places and kinds of discovered words), or None where no pattern can discover any."""
+    known = _slots(read.where(F.size("_seeds") > 0), "_marked", named=True).withColumn("kind", _kind("w")).where(F.col("kind").isNotNull())
+    seeds = known.select("kind", "token", F.explode(F.array("p1", "p2", "p3")).alias("pattern")).distinct()
+    able = cut(seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("pattern").distinct(), "pii-able")
+    if able.isEmpty():
+        return None
+    texts = read.select("_k1", "_k2", _words_of().alias("_text"))
+    places = _filled(_slots(texts, "_text", named=False), able).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count(_kind("w")).alias("k"))
+    able = cut(places.where(F.col("k") >= floor * F.col("n")).select("pattern"), "pii-patterns")
+    if able.isEmpty():
+        return None
+    filled = cut(_filled(_slots(texts, "_text", "_k1", "_k2", named=True), able).select("_k1", "_k2", "i", "token", _kind("w").alias("kind"), "pattern"), "pii-filled")
+    edges = cut(filled.groupBy("pattern", "token").agg(F.max("kind").alias("kind")), "pii-edges")
     seed_scores = edges.where(F.col("kind").isNotNull()).groupBy("token").agg(F.max("kind").alias("found"), F.lit(1.0).alias("score"))
     scores = seed_scores
     for _ in range(rounds):
@@ -170,43 +259,42 @@ def find_pii(df: DataFrame, text: str = "text", rounds: int = 3, confidence: flo
         )
         accepted = judged.select("token", "found", (F.col("w") / F.col("n")).alias("score")).where(F.col("score") >= confidence)
         scores = cut(seed_scores.unionByName(accepted.join(seed_scores.select("token"), "token", "left_anti")), "pii-scores")
-    patterns = _score_patterns(edges, scores, confidence, support)
-    slots = read.where(F.size("_open") > 0).select("_k1", "_k2", F.explode("_open").alias("s")).select("_k1", "_k2", "s.start", "s.end", F.explode("s.patterns").alias("pattern"))
-    order = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))]), F.col("found"))
-    added = slots.join(patterns, "pattern").groupBy("_k1", "_k2", "start", "end").agg(F.max_by("found", F.struct("weight", "found")).alias("found"))
-    added = added.groupBy("_k1", "_k2").agg(F.collect_list(F.struct(F.col("start"), order.alias("order"), F.col("end"), F.col("found").alias("kind"))).alias("_added"))
-    counts = [_count("base", k).alias(f"n_{k}") for k in KINDS]
-    front = [F.col(f"`{c}`") for c in kept]
-    closed = read.where(F.size("_open") == 0).select(*front, "base", F.col("base").alias("spans"), *counts)
-    met = read.where(F.size("_open") > 0).join(added, ["_k1", "_k2"], "left")
-    spans = F.when(F.col("_added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "_added")))
-    return closed.unionByName(met.select(*front, "base", spans.alias("spans"), *counts))
+    patterns = cut(_score_patterns(edges, scores, confidence, support), "pii-confident")
+    hits = filled.where(F.col("kind").isNull()).join(patterns, "pattern").groupBy("_k1", "_k2", "i").agg(F.max_by("found", F.struct("weight", "found")).alias("found"))
+    return cut(hits.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list(F.struct("i", "found"))).alias("_added")), "pii-added")
 
 
 def _score_patterns(edges: DataFrame, scores: DataFrame, confidence: float, support: int) -> DataFrame:
     """Patterns with a kind and a weight: known tokens' scores of that kind over all tokens of the pattern."""
     filled = edges.select("pattern", "token").join(scores, "token", "left")
-    sums = [F.sum(F.when(F.col("found") == k, F.col("score")).otherwise(0.0)).alias(f"s_{k}") for k in KINDS]
-    n = [F.sum(F.when(F.col("found") == k, 1).otherwise(0)).alias(f"c_{k}") for k in KINDS]
+    sums = [F.sum(F.when(F.col("found") == k, F.col("score")).otherwise(0.0)).alias(f"s_{k}") for k in ALL]
+    n = [F.sum(F.when(F.col("found") == k, 1).otherwise(0)).alias(f"c_{k}") for k in ALL]
     total = filled.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *sums, *n)
-    best = F.array_max(F.array(*[F.struct(F.col(f"s_{k}").alias("s"), F.lit(k).alias("k"), F.col(f"c_{k}").alias("c")) for k in KINDS]))
+    best = F.array_max(F.array(*[F.struct(F.col(f"s_{k}").alias("s"), F.lit(k).alias("k"), F.col(f"c_{k}").alias("c")) for k in ALL]))
     rated = total.select("pattern", "n", best.alias("b"))
     return rated.where((F.col("b.c") >= support) & (F.col("b.s") / F.col("n") >= confidence)).select("pattern", F.col("b.k").alias("found"), (F.col("b.s") / F.col("n")).alias("weight"))
 
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; of overlapping spans the union is replaced, under the first kind."""
+    return _replaced(text, spans, lambda x, own: F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+
+
+def _replaced(text: Column, spans: Column, make) -> Column:
+    """The text with each union of overlapping spans replaced by what ``make`` gives for it and its own text."""
+    start = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["order"].alias("order"), x["kind"].alias("kind"))
     merged = F.aggregate(
         spans,
-        F.array().cast("array<struct<start:int,end:int,kind:string>>"),
+        F.array().cast("array<struct<start:int,end:int,order:int,kind:string>>"),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (x["start"] < F.coalesce(F.element_at(acc, -1)["end"], F.lit(0))),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"), F.element_at(acc, -1)["kind"].alias("kind")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.element_at(acc, -1).withField("end", F.greatest(F.element_at(acc, -1)["end"], x["end"])))),
+        ).otherwise(F.concat(acc, F.array(start(x)))),
     )
 
     def assemble(m: Column) -> Column:
-        parts = F.transform(m, lambda x, i: F.concat(F.substr(text, F.coalesce(F.get(m, i - 1)["end"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get(m, i - 1)["end"], F.lit(0))), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+        before = lambda i: F.coalesce(F.get(m, i - 1)["end"], F.lit(0))
+        parts = F.transform(m, lambda x, i: F.concat(F.substr(text, before(i) + 1, x["start"] - before(i)), make(x, F.substr(text, x["start"] + 1, x["end"] - x["start"]))))
         return F.concat(F.array_join(parts, ""), F.substr(text, F.get(m, F.size(m) - 1)["end"] + 1, F.char_length(text)))
 
     return F.when(F.size(spans) > 0, _let(merged, assemble)).otherwise(text)

@@ -114,13 +114,20 @@ class RuleModel:
     rules: list[tuple[list[tuple[int, bool, float]], float]] = field(default_factory=list)
 
     def column(self, prefix: str = "_q_") -> Column:
-        """The score as a Spark expression over the statistics."""
-        terms = [f"CAST({self.bias!r} AS DOUBLE)"]
-        for tests, weight in self.rules:
-            met = " AND ".join(f"`{prefix}{STATISTICS[j]}` {'<=' if below else '>'} CAST({t!r} AS DOUBLE)" for j, below, t in tests)
-            terms.append(f"IF({met}, CAST({weight!r} AS DOUBLE), CAST(0 AS DOUBLE))")
-        # one expression text: built column by column, a few dozen rules cost the driver more than the scoring
-        return F.expr(f"1D / (1D + exp(-({' + '.join(terms)})))")
+        """The score as a Spark expression over the statistics.
+
+        The rules are one constant that the expression runs through. Written out as an IF for each rule, a few hundred of
+        them pass the size at which Spark gives up compiling a stage, and take the driver hundreds of MB to find out.
+        """
+        written = json.dumps([{"w": w, "t": [{"j": j, "below": bool(below), "x": t} for j, below, t in tests]} for tests, w in self.rules])
+        rules = F.from_json(F.lit(written), "array<struct<w: double, t: array<struct<j: int, below: boolean, x: double>>>>")
+        numbers = F.array(*[F.col(f"`{prefix}{s}`") for s in STATISTICS])
+
+        def total(x: Column) -> Column:
+            met = lambda r: F.forall(r["t"], lambda t: (F.get(x, t["j"]) <= t["x"]) == t["below"])
+            return F.aggregate(rules, F.lit(float(self.bias)), lambda acc, r: acc + F.when(met(r), r["w"]).otherwise(F.lit(0.0)))
+
+        return 1.0 / (1.0 + F.exp(-F.get(F.transform(F.array(numbers), total), F.lit(0))))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.bias)
