@@ -213,6 +213,8 @@ def _general(df: DataFrame, rules: list[Rule], payload: str, into: str, keep: bo
         fields = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
         return pa.StructArray.from_arrays([pa.array(status, text), pa.array(rule, text), fields, pa.array(residue, text), pa.array(error, text)], names=["status", "rule", "fields", "residue", "error"])
 
+    # marked so that no filter on its result is pushed below it, which would run it once more for the filter
+    evaluate = evaluate.asNondeterministic()
     if not keep:
         return df.withColumn(into, evaluate(F.col(f"`{payload}`")))
     # a row that is done passes a null text, so that Python sees a null instead of the payload

@@ -126,6 +126,66 @@ def test_lookups(spark, tmp_path):
         model(df, "p = select nosuch from t where k = read(k) ;", knowledge=t)
 
 
+CONDITIONS = [
+    "lo <= read(v) and hi >= read(v)",
+    "lo < read(v) and hi > read(v) and k = read(k)",
+    "k = read(k) or lo <= read(v) and hi >= read(v)",
+    "(k = read(k) or k = 'c') and not hi < read(v)",
+    "k != read(k)",
+    "lo <= read(v) and hi >= read(v) or id > read(v)",
+]
+
+
+@pytest.mark.parametrize("most", [1 << 16, 0])
+@pytest.mark.parametrize("where", CONDITIONS)
+def test_lookups_against_brute_force(spark, monkeypatch, most, where):
+    import random
+
+    from logloom.operators import lookup
+
+    monkeypatch.setattr(lookup, "GATHERED", most)
+    random.seed(7)
+    rows = []
+    for i in range(120):
+        lo = random.choice([None, random.randint(-300, 300), random.randint(-(1 << 40), 1 << 40)])
+        rows.append((i, random.choice(["a", "b", "c", None]), lo, None if lo is None else lo + random.choice([-1, 0, 3, 15, 16, 17, 1000, 1 << 41])))
+    t = Knowledge(spark).add("t", spark.createDataFrame(rows, "id int, k string, lo long, hi long"), ["id"])
+    events = [(random.choice(["a", "b", "z", None]), random.choice([None, random.randint(-400, 400), random.randint(-(1 << 41), 1 << 41)])) for _ in range(150)]
+    out = model(spark.createDataFrame(events, "k string, v long"), f"k = read() ; v = read() ; n = select id from t where {where} ;", knowledge=t)
+
+    class Null(Exception):
+        pass
+
+    def get(x):
+        if x is None:
+            raise Null
+        return x
+
+    def cmp(f):
+        try:
+            return f()
+        except Null:
+            return False
+
+    tests = {
+        CONDITIONS[0]: lambda r, k, v: cmp(lambda: get(r[2]) <= get(v)) and cmp(lambda: get(r[3]) >= get(v)),
+        CONDITIONS[1]: lambda r, k, v: cmp(lambda: get(r[2]) < get(v)) and cmp(lambda: get(r[3]) > get(v)) and cmp(lambda: get(r[1]) == get(k)),
+        CONDITIONS[2]: lambda r, k, v: cmp(lambda: get(r[1]) == get(k)) or cmp(lambda: get(r[2]) <= get(v)) and cmp(lambda: get(r[3]) >= get(v)),
+        CONDITIONS[3]: lambda r, k, v: (cmp(lambda: get(r[1]) == get(k)) or r[1] == "c") and not cmp(lambda: get(r[3]) < get(v)),
+        CONDITIONS[4]: lambda r, k, v: cmp(lambda: get(r[1]) != get(k)),
+        CONDITIONS[5]: lambda r, k, v: cmp(lambda: get(r[2]) <= get(v)) and cmp(lambda: get(r[3]) >= get(v)) or cmp(lambda: r[0] > get(v)),
+    }
+    want = sorted(((k, v, next((r[0] for r in rows if tests[where](r, k, v)), None)) for k, v in events), key=repr)
+    assert sorted(((r.k, r.v, r.n) for r in out.collect()), key=repr) == want
+
+
+def test_small_tables_are_met_without_a_shuffle_of_events(spark):
+    t = Knowledge(spark).add("t", spark.range(300).selectExpr("id", "id * 10 AS lo", "id * 10 + 25 AS hi"), ["id"])
+    out = model(spark.range(1000).selectExpr("id AS v"), "n = select id from t where lo <= read(v) and hi >= read(v) ; m = select lo from t where id = read(v) or lo = read(v) ;", knowledge=t)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "SortMergeJoin" not in plan and "Cartesian" not in plan and plan.count("BroadcastHashJoin") >= 3
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("a", 1, 1.0, None), ("b", 2, 2.0, "x"), (None, None, None, None)], "s string, d long, f double, z string")
     n = lambda t: df.where(filter_expression(t, record(df))).count()
