@@ -165,8 +165,7 @@ def _filled(each: DataFrame, patterns: DataFrame) -> DataFrame:
         return each.select(*kept, F.explode(F.array("p1", "p2", "p3")).alias("pattern")).join(patterns, "pattern")
     for p in ("p1", "p2", "p3"):
         each = each.join(F.broadcast(patterns.select(F.col("pattern").alias(p), F.col("pattern").alias(f"is_{p}"))), p, "left")
-    met = each.where("is_p1 IS NOT NULL OR is_p2 IS NOT NULL OR is_p3 IS NOT NULL")
-    return met.select(*kept, F.explode(F.array_compact(F.array("is_p1", "is_p2", "is_p3"))).alias("pattern"))
+    return each.select(*kept, F.explode(F.array("is_p1", "is_p2", "is_p3")).alias("pattern")).where(F.col("pattern").isNotNull())
 
 
 def _kind(word: str) -> Column:
