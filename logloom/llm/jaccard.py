@@ -197,8 +197,8 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     an empty set, links with nothing and is its own component. Rows with equal sets link with each other; repeated rows
     too. A null key takes part; a component of null keys alone has a null id.
 
-    Broadcast: 2^SKETCH_BITS bytes of shingle frequencies, and bit maps of 2^BITS bits. Both are fixed sizes that
-    only save work; with a larger corpus index lists grow longer, not wrong.
+    Broadcast: 2^SKETCH_BITS bytes of shingle frequencies, and bit maps of up to 32 MB, sized by counts. Both only save
+    work; a corpus that outgrows them has longer index lists, not wrong ones.
     """
     sc = df.sparkSession.sparkContext
     rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
@@ -206,7 +206,7 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     documents = cut(_prefixes(rows, size, percent, levels), "jaccard-documents")
     grouped = documents.groupBy("a", "b").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("m"), F.min("id").alias("id"), F.first("prefix").alias("prefix"))
     classes = cut(grouped.withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
-    repeated = classes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    repeated = cut(classes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "jaccard-repeated")
     shared = cut(_entries(classes, sc.broadcast(hash_bits(repeated))), "jaccard-shared")
     lists = shared.groupBy("t").agg(F.min(F.struct("c", "n", "pos")).alias("p"), F.max(F.struct("c", "n", "pos")).alias("q"), F.count(F.lit(1)).alias("k"))
     lists = cut(lists.where(F.col("k") > 1), "jaccard-index")

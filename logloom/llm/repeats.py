@@ -1,14 +1,18 @@
 """Substring dedup over a compacted de Bruijn graph of token k-mers.
 
-A window of ``size`` words is an edge of the graph. Each window has a minimizer, the least hash among its shorter word
-runs; consecutive windows of a document that share one form a path piece. Identical pieces anywhere in the corpus are
-one nonbranching path with a count, so whole repeated passages are joined piece by piece instead of window by window.
-Only where different pieces share a minimizer, at the ends of repeats and at branches, single windows are counted.
-Source coordinates then turn repeated pieces and windows into word spans of each document.
+A window of ``size`` words is an edge of the graph, from the node of its first ``size - 1`` words to that of its last.
+Each window has a minimizer, the least hash among its shorter word runs; the consecutive windows of a document that share
+one form a piece, a path of edges. Identical pieces anywhere in the corpus are one path with a count. Where different
+pieces share a minimizer, at the ends of repeats and at branches, single windows are counted.
+
+Repeated paths are compacted: a path continues another where the node between them has one path in and one path out, and
+joins that double the steps bring all paths of a chain to its head. Source coordinates turn chains, paths and windows into
+word spans of each document, and the words at those coordinates are compared, by digests of 128 bits, before any is removed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import add_columns, cut, keep_columns, views
-from .filters import among, hash_bits
+from .filters import among, hash_bits, parted
 from .tokens import PLAIN, mix, powers, windows
 
 _CHUNK = 1 << 18
 
 
 def path_pieces(words: np.ndarray, size: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Path pieces of a document, in chunks: minimizer, content, first window, number of windows, and the window hashes."""
+    """Path pieces of a document, in chunks: minimizer, content, first window, number of windows, the nodes where they start
+    and end, and the window hashes."""
     total, span = len(words) - size + 1, size - anchor + 1
     for at in range(0, max(0, total), _CHUNK):
         own = words[at : at + _CHUNK + size - 1]
@@ -45,15 +50,22 @@ def path_pieces(words: np.ndarray, size: int, anchor: int) -> Iterator[tuple[np.
         sums = np.zeros(len(own) + 1, np.uint64)
         np.cumsum(own * up[: len(own)], out=sums[1:])
         content = mix((sums[first + count + size - 1] - sums[first]) * down[first] + mix((place[first] - first).astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64)))
-        yield best[first], content, first + at, count, windows(own, size)
+        last = first + count
+        start, end = (mix((sums[x + size - 1] - sums[x]) * down[x]) for x in (first, last))
+        yield best[first], content, first + at, count, start, end, windows(own, size)
 
 
-def _minimizers(df: DataFrame, text: str, size: int, anchor: int) -> DataFrame:
+def _hashes(text: np.ndarray, salt: int) -> np.ndarray:
+    h = PLAIN.hashes(text)
+    return mix(h + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if salt else h
+
+
+def _minimizers(df: DataFrame, text: str, size: int, anchor: int, salt: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, n = [], 0
             for view in views(batch.column(0)):
-                for piece in path_pieces(PLAIN.hashes(view), size, anchor) if view is not None else ():
+                for piece in path_pieces(_hashes(view, salt), size, anchor) if view is not None else ():
                     held.append(piece[0])
                     n += len(piece[0])
                 if n > 1 << 20:
@@ -68,8 +80,9 @@ def _minimizers(df: DataFrame, text: str, size: int, anchor: int) -> DataFrame:
     return df.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, "h long, c long")
 
 
-def _pieces(df: DataFrame, size: int, anchor: int, shared) -> DataFrame:
-    """Rows (k1, k2, h, content, first, n) of pieces whose minimizer may repeat; df has k1, k2, t."""
+def _pieces(df: DataFrame, size: int, anchor: int, salt: int, shared) -> DataFrame:
+    """Rows (k1, k2, h, content, first, n, start, end) of pieces whose minimizer may repeat; df has k1, k2, t."""
+    names = ["k1", "k2", "h", "content", "first", "n", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -78,10 +91,10 @@ def _pieces(df: DataFrame, size: int, anchor: int, shared) -> DataFrame:
             held: list[tuple] = []
             n = 0
             for i, view in enumerate(views(batch.column(2))):
-                for h, content, first, count, _ in path_pieces(PLAIN.hashes(view), size, anchor) if view is not None else ():
-                    may = among(bits, h)
+                for piece in path_pieces(_hashes(view, salt), size, anchor) if view is not None else ():
+                    may = among(bits, piece[0])
                     if may.any():
-                        held.append((np.full(int(may.sum()), k1[i]), np.full(int(may.sum()), k2[i]), h[may], content[may], first[may], count[may]))
+                        held.append((np.full(int(may.sum()), k1[i]), np.full(int(may.sum()), k2[i]), *(x[may] for x in piece[:6])))
                         n += len(held[-1][0])
                 if n > 1 << 18:
                     yield rows(held)
@@ -91,12 +104,12 @@ def _pieces(df: DataFrame, size: int, anchor: int, shared) -> DataFrame:
 
     def rows(held: list[tuple]) -> pa.RecordBatch:
         a = [np.concatenate(c) for c in zip(*held, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(a[1]), pa.array(a[2].view(np.int64)), pa.array(a[3].view(np.int64)), pa.array(a[4].astype(np.int32)), pa.array(a[5].astype(np.int32))], names=["k1", "k2", "h", "content", "first", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32) if name in ("first", "n") else x.view(np.int64)) for x, name in zip(a, names, strict=True)], names=names)
 
-    return df.mapInArrow(run, "k1 long, k2 long, h long, content long, first int, n int")
+    return df.mapInArrow(run, "k1 long, k2 long, h long, content long, first int, n int, start long, end long")
 
 
-def _window_hashes(df: DataFrame, size: int, anchor: int, shared) -> DataFrame:
+def _window_hashes(df: DataFrame, size: int, anchor: int, salt: int, shared) -> DataFrame:
     """(content, w): the window hashes of pieces whose content may be in the bit map, once for what a task remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +119,7 @@ def _window_hashes(df: DataFrame, size: int, anchor: int, shared) -> DataFrame:
             held: list[tuple] = []
             n = 0
             for view in views(batch.column(0)):
-                for _, content, _, count, w in path_pieces(PLAIN.hashes(view), size, anchor) if view is not None else ():
+                for _, content, _, count, _, _, w in path_pieces(_hashes(view, salt), size, anchor) if view is not None else ():
                     may = among(bits, content)
                     for i in np.flatnonzero(may).tolist():
                         x = int(content[i])
@@ -132,43 +145,94 @@ def _window_hashes(df: DataFrame, size: int, anchor: int, shared) -> DataFrame:
     return df.select("t").mapInArrow(run, "content long, w array<long>")
 
 
-def find_repeats(df: DataFrame, text: str = "text", size: int = 35, anchor: int = 10, carry: bool = True) -> DataFrame:
+def _chains(paths: DataFrame) -> DataFrame:
+    """(p, head, offset): the chain of each path (p, n, start, end) by its first path, and the windows before it there.
+
+    A path follows another where it alone starts at the node at which the other alone ends. Each round doubles the steps
+    that are taken towards the head, and ends with a written table. Paths of a ring never reach one; they stay alone.
+    """
+    starts = paths.groupBy("start").agg(F.count(F.lit(1)).alias("d"), F.first("p").alias("p")).where("d = 1").select(F.col("start").alias("node"), "p")
+    ends = paths.groupBy("end").agg(F.count(F.lit(1)).alias("d"), F.first("p").alias("up"), F.first("n").alias("n")).where("d = 1").select(F.col("end").alias("node"), "up", "n")
+    linked = cut(starts.join(ends, "node").where("p != up").select("p", "up", F.col("n").cast("long").alias("offset"), F.lit(False).alias("done")), "repeat-links")
+    # the paths that another follows and that follow none are heads
+    left = linked.count()
+    while left:
+        above = linked.select(F.col("p").alias("up"), F.col("up").alias("next"), F.col("offset").alias("more"), F.col("done").alias("reached"))
+        met = linked.join(above, "up", "left")
+        linked = cut(met.select("p", F.coalesce("next", "up").alias("up"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"), (F.col("next").isNull() | F.coalesce("reached", F.lit(False))).alias("done")), "repeat-links")
+        open_ = linked.where("not done").count()
+        if open_ == left:
+            break
+        left = open_
+    return linked.where("done").select("p", F.col("up").alias("head"), "offset")
+
+
+#: What a row of hits is: a whole chain, a path of a chain that is broken somewhere, or single windows of a piece.
+_CHAIN, _PATH, _WINDOWS = 0, 1, 2
+
+
+def find_repeats(df: DataFrame, text: str = "text", size: int = 35, anchor: int = 10, carry: bool = True, salt: int = 0) -> DataFrame:
     """Adds n_words, removed (array of word spans, end exclusive), n_removed and kept (the words left, one space between).
 
     A word is removed if a window of ``size`` words that covers it also starts anywhere else, in the same text or
     another. Windows are judged on the input. Null and empty texts, and texts of fewer than ``size`` words, lose
     nothing; repeated rows repeat each other's windows. Made columns replace input columns of their names.
 
+    Candidates are found by hashes of 64 bits. All words that would be removed are then read at their coordinates, and
+    where equal hashes stand for different words (which has not been seen) the search starts anew with other hashes, told
+    apart by ``salt``.
+
     Shuffled: a hash and a count for each minimizer (about 2 in 27 words), the pieces with a repeated minimizer, the
-    windows of branching pieces, and the texts once, to meet their spans. Broadcast: bit maps of a fixed size; as the
-    corpus outgrows them more pieces are shuffled, with the same result. ``carry=False`` leaves the input text out of
-    the result.
+    windows of branching pieces, and the texts with repeats once, to meet their spans. Broadcast: bit maps of up to 32 MB;
+    as the corpus outgrows them more pieces are shuffled, with the same result. ``carry=False`` leaves the input text out
+    of the result.
     """
     spark = df.sparkSession
     anchor = min(max(anchor, size - 61), size)  # a piece has up to size - anchor + 1 windows, kept as bits of one signed long
-    counted = _minimizers(df, text, size, anchor).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+    counted = cut(_minimizers(df, text, size, anchor, salt).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"), "repeat-minimizers")
     shared = spark.sparkContext.broadcast(hash_bits(counted))
 
     others = [F.col(f"`{c}`").cast("string") for c in df.columns if c != text]
     k1, k2 = F.xxhash64(F.col(f"`{text}`"), *others), F.xxhash64(F.lit(29), *others, F.col(f"`{text}`"))
     keyed = df.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").cast("string").alias("t"))
-    found = cut(_pieces(keyed, size, anchor, shared), "repeat-pieces")
+    found = cut(_pieces(keyed, size, anchor, salt, shared), "repeat-pieces")
 
-    paths = cut(found.groupBy("h", "content").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")), "repeat-paths")
+    grouped = found.groupBy("h", "content").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("n", "start", "end")])
+    paths = cut(grouped.withColumn("p", F.monotonically_increasing_id()), "repeat-paths")
     branching = paths.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("h")
-    branches = cut(paths.join(branching, "h").select("h", "content", "c"), "repeat-branches")
-    hashes = _window_hashes(keyed, size, anchor, spark.sparkContext.broadcast(hash_bits(branches, "content")))
+    branches = cut(paths.join(branching, "h").select("h", "content", "c", "p"), "repeat-branches")
+    hashes = _window_hashes(keyed, size, anchor, salt, spark.sparkContext.broadcast(hash_bits(branches, "content")))
     hashes = hashes.groupBy("content").agg(F.first("w").alias("w"))
-    edges = cut(branches.join(hashes, "content").select("h", "content", "c", F.posexplode("w").alias("i", "e")), "repeat-edges")
+    edges = cut(branches.join(hashes, "content").select("p", "c", F.posexplode("w").alias("i", "e")), "repeat-edges")
     repeated = edges.groupBy("e").agg(F.sum("c").alias("times")).where("times > 1").select("e")
-    ends = edges.where("c = 1").join(repeated, "e").groupBy("h", "content").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    whole = paths.where("c > 1").select("h", "content", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    spans = found.select("k1", "k2", "h", "content", "first").join(whole.unionByName(ends), ["h", "content"])
-    spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "mask")).alias("_hits"))
+    partial = edges.join(repeated, "e").groupBy("p").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    plain = cut(paths.where("c > 1").join(branches.select("p"), "p", "left_anti").select("p", "n", "start", "end"), "repeat-plain")
+    chained = plain.select("p", "n").join(_chains(plain), "p", "left").select("p", "n", F.coalesce("head", "p").alias("head"), F.coalesce("offset", F.lit(0)).alias("offset"))
+    chained = cut(chained, "repeat-chained")
+    lengths = chained.groupBy("head").agg(F.sum("n").alias("length"))
+    placed = chained.join(lengths, "head").select("p", "head", "offset", "length", F.lit(None).cast("long").alias("mask"))
+    placed = placed.unionByName(partial.select("p", F.col("p").alias("head"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), "mask"))
+    named = paths.select("h", "content", "p").join(placed, "p")
+    spans = found.select("k1", "k2", "h", "content", "first", "n").join(named, ["h", "content"]).withColumn("at", F.col("first") - F.col("offset"))
+    runs = spans.groupBy("k1", "k2", "head", "at").agg(F.first("length").alias("length"), F.collect_set(F.struct("first", "n", "p", "mask")).alias("own"))
+    covered = F.aggregate("own", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    runs = cut(runs.withColumn("whole", (F.col("length") > 0) & (covered == F.col("length"))), "repeat-runs")
+    broken = runs.where("length > 0 and not whole").select("head").distinct().withColumn("broken", F.lit(True))
+    chain = F.array(F.struct(F.lit(_CHAIN).alias("kind"), F.col("at").cast("int").alias("first"), F.col("length").cast("int").alias("n"), F.lit(None).cast("long").alias("mask"), F.col("head").alias("unit")))
+    single = F.transform("own", lambda x: F.struct(F.when(x["mask"].isNull(), _PATH).otherwise(_WINDOWS).alias("kind"), x["first"].alias("first"), x["n"].alias("n"), x["mask"].alias("mask"), x["p"].alias("unit")))
+    listed = runs.join(broken, "head", "left").select("k1", "k2", F.explode(F.when(F.col("whole") & F.col("broken").isNull(), chain).otherwise(single)).alias("hit"))
+    hits = cut(listed.groupBy("k1", "k2").agg(F.collect_list("hit").alias("_hits")), "repeat-hits")
 
     kept = keep_columns(df, ["n_words", "n_removed", "removed", "kept"])
-    whole_rows = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])], k1.alias("_k1"), k2.alias("_k2"))
-    met = whole_rows.join(spans.withColumnsRenamed({"k1": "_j1", "k2": "_j2"}).hint("shuffle_hash"), (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")), "left").drop("_j1", "_j2")
+    keyed = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])], k1.alias("_k1"), k2.alias("_k2"))
+    untouched, others = parted(keyed, "_k1", hash_bits(hits, "k1"))
+    met = cut(others.join(hits.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"], "left"), "repeat-met")
+    read = _read(met.where(F.col("_hits").isNotNull()).select(F.col(f"`{text}`").cast("string").alias("t"), "_hits"), size, salt)
+    clash = read.groupBy("kind", "unit").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a != b")
+    if not clash.isEmpty():
+        return find_repeats(df, text, size, anchor, carry, salt + 1)
+    both = met.unionByName(untouched.withColumn("_hits", F.lit(None).cast(met.schema["_hits"].dataType)))
+
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     made = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", span), T.StructField("kept", T.StringType())])
 
@@ -189,14 +253,50 @@ def find_repeats(df: DataFrame, text: str = "text", size: int = 35, anchor: int
                     column.append(v)
             yield [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(out[3], pa.string())]
 
-    return add_columns(met.drop("_k1", "_k2"), text, made, rows, ("_hits",), without=("_hits",) if carry else ("_hits", text))
+    return add_columns(both.drop("_k1", "_k2"), text, made, rows, ("_hits",), without=("_hits",) if carry else ("_hits", text))
+
+
+def _read(met: DataFrame, size: int, salt: int) -> DataFrame:
+    """(kind, unit, digest) of the words at the coordinates of all hits; each once for what a task remembers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, int], bytes] = {}
+        for batch in batches:
+            new: list[tuple[int, int, bytes]] = []
+
+            def add(kind: int, unit: int, words: list[bytes]) -> None:
+                digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+                if known.get((kind, unit)) != digest:
+                    known[kind, unit] = digest
+                    new.append((kind, unit, digest))
+
+            for view, hits in zip(views(batch.column(0)), batch.column(1), strict=True):
+                own = view.tobytes().split() if view is not None else []
+                kind, first, n, mask, unit = (hits.values.field(x).to_pylist() for x in ("kind", "first", "n", "mask", "unit"))
+                w = windows(_hashes(view, salt), size).view(np.int64) if _WINDOWS in kind else None
+                for i, k in enumerate(kind):
+                    if k != _WINDOWS:
+                        add(k, unit[i], own[first[i] : first[i] + n[i] + size - 1])
+                        continue
+                    for j in range(n[i]):
+                        if mask[i] >> j & 1:
+                            add(k, int(w[first[i] + j]), own[first[i] + j : first[i] + j + size])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int32()), pa.array([x[1] for x in new], pa.int64()), pa.array([x[2] for x in new], pa.binary())], names=["kind", "unit", "digest"])
+            if len(known) > 1 << 17:
+                known.clear()
+
+    return met.mapInArrow(run, "kind int, unit long, digest binary")
 
 
 def _covered(hits: pa.Scalar, n: int, size: int) -> np.ndarray:
-    """Words inside a repeated window, from pieces (first window, mask of its repeated windows)."""
+    """Words inside a repeated window: of chains and paths all windows are repeated, of other pieces those in the mask."""
     values = hits.values
-    first, mask = values.field("first").to_numpy(), values.field("mask").to_numpy().view(np.uint64)
+    kind, first, count = (values.field(x).to_numpy() for x in ("kind", "first", "n"))
     step = np.zeros(n + 1, np.int64)
+    whole = kind != _WINDOWS
+    np.add.at(step, first[whole], 1)
+    np.add.at(step, first[whole] + count[whole] + size - 1, -1)
+    first, mask = first[~whole], values.field("mask").fill_null(0).to_numpy()[~whole].view(np.uint64)
     for i in range(64):
         on = first[(mask >> np.uint64(i)) & np.uint64(1) == 1] + i
         if len(on):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from logloom.llm import repeats
@@ -54,12 +55,45 @@ def test_empty_table_and_repeated_rows(spark):
     assert [r.n_removed for r in repeats.find_repeats(twice).collect()] == [50, 50]
 
 
+def test_chains_of_a_graph(spark):
+    # 1-2-3-4 in a row, 5 and 6 both into node 50, 7 into itself, 8 and 9 in a ring, 10 alone
+    rows = [(1, 3, 10, 11), (2, 4, 11, 12), (3, 5, 12, 13), (4, 6, 13, 14), (5, 1, 40, 50), (6, 1, 41, 50), (11, 1, 50, 51), (7, 2, 60, 60), (8, 1, 70, 71), (9, 1, 71, 70), (10, 9, 80, 81)]
+    got = {r.p: (r.head, r.offset) for r in repeats._chains(spark.createDataFrame(rows, "p long, n int, start long, end long")).collect()}
+    assert got == {2: (1, 3), 3: (1, 7), 4: (1, 12)}
+
+
+def test_equal_hashes_of_different_words_start_the_search_anew(spark, monkeypatch):
+    words = lambda a: [f"{a}{i}" for i in range(40)]
+    texts = [" ".join(words(a)) for a in ("x", "y")] + ["p " + " ".join(words("z")), "q " + " ".join(words("z"))]
+
+    def blind(text, salt):  # sees no difference between x and y at first
+        return repeats_hashes(np.frombuffer(text.tobytes().replace(b"y", b"x"), np.uint8) if not salt else text, salt)
+
+    repeats_hashes = repeats._hashes
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(repeats, "_hashes", blind)
+    again, search = [], repeats.find_repeats
+    monkeypatch.setattr(repeats, "find_repeats", lambda *a, **k: again.append(a) or search(*a, **k))
+    assert {r.doc_id: r.n_removed for r in repeats.find_repeats(df).collect()} == {0: 0, 1: 0, 2: 40, 3: 40}
+    assert len(again) == 2
+
+
+def test_whole_chains_are_read_as_one(spark, monkeypatch):
+    random.seed(8)
+    base = " ".join(str(random.randint(0, 9999)) for _ in range(2000))
+    texts = [base, base, base + " end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    read = []
+    plain = repeats._read
+    monkeypatch.setattr(repeats, "_read", lambda met, size, salt: read.append(met) or plain(met, size, salt))
+    assert [r.n_removed for r in repeats.find_repeats(df).collect()] == [2000, 2000, 2000]
+    assert read[0].select(F.size("_hits")).groupBy().max().first()[0] < 12  # not some 150 pieces
+
+
 def test_long_document_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(repeats, "_CHUNK", 64)
     random.seed(5)
     base = [str(random.randint(0, 999)) for _ in range(400)]
-    import numpy as np
-
     from logloom.llm.tokens import PLAIN
 
     h = PLAIN.hashes(np.frombuffer(" ".join(base).encode(), np.uint8))
