@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,12 @@ def keep_columns(df: DataFrame, made: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in names]
 
 
+def row_keys(df: DataFrame, names: tuple[str, str] = ("_k1", "_k2")) -> list[Column]:
+    """A key of 128 bits of each whole row. Whether a column is null counts, since hashes pass over nulls."""
+    columns = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))]
+    return [F.xxhash64(F.lit(n), *own).alias(name) for n, name, own in zip((1, 29), names, (columns, columns[::-1]), strict=True)]
+
+
 def add_columns(df: DataFrame, text: str, made: T.StructType, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], also: tuple[str, ...] = (), without: tuple[str, ...] = ()) -> DataFrame:
     """``mapInArrow`` that appends the ``made`` columns to each row, and drops the columns ``without``.
 

@@ -3,11 +3,16 @@
 Tokens are lowered words and an end of text. A token's context is the word before it (the end, at the start of a text);
 above that lie the last letter beyond ASCII so far (32 classes, which tells languages apart), and with it whether a
 sentence may have just ended. Context restaurants share parents: (word, letter, stop) -> (letter, stop) -> letter ->
-root -> base measure. Restaurants of words are tables of one row for each pair that occurs; each starts with one table
+root -> base measure. Restaurants of words are tables of one entry for each pair that occurs; each starts with one table
 a pair, and pairs that occur more often are seated anew once the levels above are known. Above, the tables of a word
 over all contexts are one row, so seating is sampled word by word: a Gibbs sweep draws the numbers of tables given the
 parents' predictive probabilities and the restaurants' totals, and the totals of all words are brought up to date
 between passes. Scores use predictive probabilities averaged over the kept sweeps.
+
+Pairs are dealt into buckets, by their context so that a bucket holds whole restaurants; only contexts of the very
+commonest words are dealt by pair. What a bucket needs of the levels above is broadcast for frequent words and comes by
+a join for the others. Documents meet the model in the buckets too: each block of documents asks every bucket for its
+pairs, and the buckets answer with sums for each document.
 """
 
 from __future__ import annotations
@@ -18,24 +23,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, views
+from .common import cut, release, row_keys, views
+from .packed import CONTEXT_BITS, HASHED, WORD_BITS, Pairs, distinct, numbers, planes
 from .tokens import LOWER, mix
 
 LETTERS = 32
 CONTEXTS = 2 * LETTERS
 #: Words (the most frequent ones) whose probabilities are broadcast; all others are joined.
-FREQUENT = 1 << 17
+FREQUENT = 1 << WORD_BITS
+#: Words whose contexts are dealt by pair: any other context has less than a share of 1 / HEAD of all tokens.
+HEAD = 1 << 10
+#: Tokens that a block of documents asks for at once, and training tokens of a bucket on average.
+BLOCK, BUCKET = 3 << 19, 1 << 20
 #: Share of the base measure that words never seen have together; the others share the rest.
 FRESH = 0.95
 #: Counts up to here are seated exactly, by generalised Stirling numbers; larger ones in leaps from there.
 EXACT = 64
 
-END = int(mix(np.array([0x454E44], np.uint64))[0])
+#: Words are told apart by 63 bits, contexts of infrequent words by 57.
+END = int(mix(np.array([0x454E44], np.uint64))[0]) | 1 << 63
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?")] = True
 
@@ -53,12 +64,7 @@ def tokens(text: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     letter[some] = 1 + text[beyond[before[some] - 1]].astype(np.int64) % (LETTERS - 1)
     stop = np.ones(n + 1, np.int64)
     stop[1:] = _STOPS[text[end - 1]] if n else 0
-    return np.append(h, np.uint64(END)), 2 * letter + stop
-
-
-def before(h: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The restaurant of each token of a text: a hash of the word before it and the context above."""
-    return mix(np.concatenate((np.array([END]), h[:-1])) + mix(k.astype(np.uint64) + np.uint64(0x6C6D)))
+    return np.append(h | HASHED, np.uint64(END)), 2 * letter + stop
 
 
 def learned(key: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
@@ -66,38 +72,312 @@ def learned(key: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % folds != fold, F.lit(False))
 
 
-def _distinct(u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of pairs, and where in it each different pair begins."""
-    order = np.lexsort((h, u))
-    u, h = u[order], h[order]
-    return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(u)), bool), (u[1:] != u[:-1]) | (h[1:] != h[:-1]))))
+@dataclass
+class Codes:
+    """Hashes of the frequent words (sorted; a word's number is its place), their counts, the rank of each that is a head
+    (else -1), and the number of buckets."""
+
+    top: np.ndarray
+    counts: np.ndarray
+    rank: np.ndarray
+    buckets: int
+
+    def words(self, h: np.ndarray) -> np.ndarray:
+        """The code of each word."""
+        if not len(self.top):
+            return h
+        at = np.searchsorted(self.top, h)
+        at[at == len(self.top)] = 0
+        return np.where(self.top[at] == h, at.astype(np.uint64), h)
+
+    def contexts(self, y: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The code of each token's restaurant, from the codes of a text's tokens and their contexts above."""
+        low = np.uint64((1 << CONTEXT_BITS) - 1)
+        before = np.concatenate((self.words(np.array([END], np.uint64)), y[:-1]))
+        hashed = mix(before) & ~low | HASHED
+        return np.where(before >= HASHED, hashed, before << np.uint64(CONTEXT_BITS)) | k.astype(np.uint64)
+
+    def seeds(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """What random numbers of a pair depend on: words, not whether they have numbers."""
+        low = np.uint64((1 << CONTEXT_BITS) - 1)
+        x, y = x.copy(), y.copy()
+        some = y < HASHED
+        y[some] = self.top[y[some].astype(np.int64)]
+        some = x < HASHED
+        x[some] = mix(self.top[(x[some] >> np.uint64(CONTEXT_BITS)).astype(np.int64)]) & ~low | HASHED | x[some] & low
+        return mix(x) + y
+
+    def heads(self, x: np.ndarray) -> np.ndarray:
+        """A number below HEAD * CONTEXTS for each restaurant that is dealt by pair, -1 for others."""
+        out = np.full(len(x), -1, np.int64)
+        small = np.flatnonzero(x < HASHED)
+        rank = self.rank[(x[small] >> np.uint64(CONTEXT_BITS)).astype(np.int64)]
+        out[small] = np.where(rank < 0, -1, rank * CONTEXTS + (x[small] & np.uint64(CONTEXTS - 1)).astype(np.int64))
+        return out
+
+    def deal(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The bucket of each pair."""
+        return (mix(x + np.where(self.heads(x) >= 0, mix(y), np.uint64(0))) % np.uint64(self.buckets)).astype(np.int32)
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """(h, c): the words of all texts and how often they occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+
+        for batch in batches:
+            for view in views(batch.column(0)):
+                h = tokens(view)[0]
+                held.append(h)
+                n += len(h)
+                if n > 3 << 20:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def _frequent(words: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, at most ``most``; their least count comes from a histogram over logarithms of counts."""
+    band = F.floor(F.log2("c") * 8).cast("int")
+    room, least = most, 1 << 30
+    for row in sorted(words.groupBy(band.alias("b")).count().collect(), key=lambda x: -x.b):
+        if row["count"] > room:
+            break
+        room -= row["count"]
+        least = row.b
+    return words.where(band >= least)
+
+
+def _codes(words: DataFrame, n: int, frequent: int, buckets: int | None) -> Codes:
+    got = _frequent(words, min(frequent, FREQUENT)).toArrow()
+    h = got["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    counts = got["c"].to_numpy()[order]
+    first = np.argsort(-counts, kind="stable")[:HEAD]
+    rank = np.full(len(h), -1, np.int64)
+    rank[first] = np.arange(len(first))
+    return Codes(h[order], counts, rank, buckets or max(32, n // BUCKET))
 
 
-def _counts(texts: DataFrame) -> DataFrame:
-    """(u, h, k, c): occurrences of a word in a restaurant, summed within a task as far as memory allows."""
+def _train(texts: DataFrame, codes: Codes) -> DataFrame:
+    """(bucket, a, b, c, n): the distinct pairs of blocks of texts, and how often each occurs."""
+    shared = texts.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            u, h, k = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, first = _distinct(u, h)
-            c = np.diff(np.append(first, len(h)))
-            at = order[first]
-            return pa.RecordBatch.from_arrays([pa.array(u[at].view(np.int64)), pa.array(h[at].view(np.int64)), pa.array(k[at].astype(np.int16)), pa.array(c)], names=["u", "h", "k", "c"])
+            pairs, order, at = distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            c = np.diff(np.append(at, len(order)))
+            rows = [(int(b), *part.pack(), planes(c[own])) for b, part, own in _dealt(pairs, shared.value)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], names=["bucket", "a", "b", "c", "n"])
 
         for batch in batches:
             for view in views(batch.column(0)):
                 h, k = tokens(view)
-                held.append((before(h, k), h, k))
-                n += len(h)
-                if n > 3 << 20:
+                y = shared.value.words(h)
+                held.append((shared.value.contexts(y, k), y))
+                n += len(y)
+                if n > 2 * BLOCK:
                     yield flush()
                     held, n = [], 0
         if held:
             yield flush()
+        release()
+
+    return texts.mapInArrow(run, "bucket int, a binary, b binary, c binary, n binary")
+
+
+def _dealt(pairs: Pairs, codes: Codes) -> Iterator[tuple[int, Pairs, np.ndarray]]:
+    """The pairs of each bucket, and their places."""
+    bucket = codes.deal(pairs.x, pairs.y)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0))) if len(order) else np.empty(0, np.int64)
+    for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
+        own = order[i:j]
+        yield int(bucket[own[0]]), Pairs(pairs.x[own], pairs.y[own], int(np.searchsorted(own, pairs.small))), own
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict], tuple[np.ndarray, ...]]]:
+    """For each bucket, from rows sorted by it: the rows with data, and what others bring (h, k, p, m of words; may be empty)."""
+    bucket, held, asked = None, [], []
+
+    def settle():
+        none = [np.empty(0, x) for x in (np.int64, np.int16, np.float64, np.int64)]
+        return bucket, held, tuple(np.concatenate(x) for x in zip(none, *asked, strict=True))
+
+    for batch in batches:
+        at = batch.column(batch.schema.get_field_index("bucket")).to_numpy()
+        edge = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)] if len(at) else [0]
+        words = "h" in batch.schema.names
+        for i, j in zip(edge, edge[1:], strict=False):
+            if at[i] != bucket:
+                if bucket is not None:
+                    yield settle()
+                bucket, held, asked = int(at[i]), [], []
+            part = batch.slice(i, j - i)
+            if words:
+                some = part.column("h").is_valid()
+                met = part.filter(some)
+                if met.num_rows:
+                    asked.append(tuple(met.column(x).to_numpy() for x in ("h", "k", "p", "m")))
+                part = part.filter(pa.compute.invert(some))
+            held.extend(part.to_pylist())
+    if bucket is not None:
+        yield settle()
+
+
+def _pairs(train: DataFrame) -> DataFrame:
+    """(bucket, a, b, c, n, t): one row for each bucket, with one table a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows, _ in _by_bucket(batches):
+            parts = [Pairs.unpack(r["a"], r["b"], r["c"]) for r in rows]
+            n = np.concatenate([numbers(r["n"]) for r in rows])
+            del rows
+            pairs, order, at = distinct(np.concatenate([p.x for p in parts]), np.concatenate([p.y for p in parts]))
+            n = np.add.reduceat(n[order], at) if len(at) else n
+            yield _bucket_row(bucket, pairs, n, np.ones(len(n), np.uint64))
+        release()
+
+    return train.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _BUCKET)
+
 
-    return texts.mapInArrow(run, "u long, h long, k short, c long")
+_BUCKET = "bucket int, a binary, b binary, c binary, n binary, t binary"
+
+
+def _bucket_row(bucket: int, pairs: Pairs, n: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (*pairs.pack(), planes(n), planes(t)))], names=["bucket", "a", "b", "c", "n", "t"])
+
+
+#: Words of a part of the dense sums that tasks hand on.
+_PART = 1 << 10
+
+
+def _tables(pairs: DataFrame) -> DataFrame:
+    """(h, k, t): tables of each word in each context above, summed over all restaurants of words. Frequent words are summed
+    within a task in one array, and handed on in deflated parts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros(FREQUENT * CONTEXTS, np.uint32)
+        task = 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                task = (task * 31 + row["bucket"]) % 61
+                p, t = Pairs.unpack(row["a"], row["b"], row["c"]), numbers(row["t"])
+                k = p.x & np.uint64(CONTEXTS - 1)
+                small = p.y < HASHED
+                dense += np.bincount((p.y[small] * np.uint64(CONTEXTS) + k[small]).astype(np.int64), t[small], len(dense)).astype(np.uint32)
+                own, order, at = distinct(k[~small], p.y[~small])
+                sums = np.add.reduceat(t[~small][order], at) if len(at) else at
+                yield _rows(None, None, own.y.view(np.int64), own.x, sums)
+        parts = dense.reshape(-1, _PART * CONTEXTS)
+        for i in np.flatnonzero(parts.any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([planes(parts[i])], pa.binary()), *(pa.array([None], x) for x in (pa.int64(), pa.int16(), pa.int64()))], names=["part", "salt", "sums", "h", "k", "t"])
+        release()
+
+    def _rows(part, salt, h: np.ndarray, k: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+        n = len(h)
+        return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([None] * n, pa.binary()), pa.array(h), pa.array(k.astype(np.int16)), pa.array(t.astype(np.int64))], names=["part", "salt", "sums", "h", "k", "t"])
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_PART * CONTEXTS, np.uint64)
+        for batch in batches:
+            for x in batch.column(batch.schema.get_field_index("sums")):
+                total += numbers(x.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([planes(total)], pa.binary())], names=["part", "sums"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                total = numbers(row["sums"])
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(row["part"] * _PART + at // CONTEXTS), pa.array((at % CONTEXTS).astype(np.int16)), pa.array(total[at].view(np.int64))], names=["h", "k", "t"])
+
+    made = cut(pairs.mapInArrow(count, "part int, salt int, sums binary, h long, k short, t long"), "lm-tables")
+    # two rounds, so that no group grows with the number of tasks alone
+    partial = made.where("part IS NOT NULL").groupBy("part", "salt").applyInArrow(add, "part int, sums binary")
+    dense = partial.groupBy("part").applyInArrow(add, "part int, sums binary").mapInArrow(spread, "h long, k short, t long")
+    return dense.unionByName(made.where("part IS NULL").groupBy("h", "k").agg(F.sum("t").alias("t")))
+
+
+def _heads(pairs: DataFrame, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Customers and tables of the restaurants that are dealt by pair, and last how many pairs occur once and twice."""
+    shared = pairs.sparkSession.sparkContext.broadcast(codes)
+    size = HEAD * CONTEXTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, t = np.zeros(size + 2), np.zeros(size + 2)
+        for batch in batches:
+            for row in batch.to_pylist():
+                p, n, tables = Pairs.unpack(row["a"], row["b"], row["c"]), numbers(row["n"]), numbers(row["t"])
+                x = shared.value.heads(p.x)
+                on = x >= 0
+                c += np.bincount(x[on], n[on], size + 2)
+                t += np.bincount(x[on], tables[on], size + 2)
+                c[size:] += (n == 1).sum(), (n == 2).sum()
+        at = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c[at]), pa.array(t[at])], names=["x", "c", "t"])
+
+    c, t = np.zeros(size + 2), np.zeros(size + 2)
+    for batch in pairs.mapInArrow(run, "x long, c double, t double").groupBy("x").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).toArrow().to_batches():
+        x = batch.column(0).to_numpy()
+        c[x], t[x] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+    return c, t
+
+
+@dataclass
+class Upper:
+    """What a bucket knows beside its own pairs: frequent words' probabilities in each context above, and the restaurants
+    that are dealt by pair."""
+
+    codes: Codes
+    p: np.ndarray
+    c: np.ndarray
+    t: np.ndarray
+    discount: float
+    strength: float
+
+    def restaurants(self, pairs: Pairs, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The restaurants of a bucket's pairs (sorted), with their customers and tables."""
+        x, at = np.unique(pairs.x, return_inverse=True)
+        return x, np.bincount(at, n, len(x)), np.bincount(at, t, len(x))
+
+    def totals(self, own: tuple[np.ndarray, np.ndarray, np.ndarray], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of the restaurants ``of``, 0 for unknown ones."""
+        x, cu, tu = own
+        c, t = np.zeros(len(of)), np.zeros(len(of))
+        if len(x):
+            at = np.minimum(np.searchsorted(x, of), len(x) - 1)
+            hit = x[at] == of
+            c[hit], t[hit] = cu[at[hit]], tu[at[hit]]
+        head = self.codes.heads(of)
+        on = head >= 0
+        c[on], t[on] = self.c[head[on]], self.t[head[on]]
+        return c, t
+
+    def above(self, pairs: Pairs, asked: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of each pair's word in the context above, and its count; ``asked`` brings those of other words."""
+        k = (pairs.x & np.uint64(CONTEXTS - 1)).astype(np.int64)
+        p, c = np.zeros(len(k)), np.zeros(len(k))
+        small = pairs.y < HASHED
+        y = pairs.y[small].astype(np.int64)
+        p[small], c[small] = self.p[y, k[small]], self.codes.counts[y]
+        h, at, given, m = asked
+        if len(h):
+            known, order, first = distinct(at.astype(np.uint64), h.view(np.uint64))
+            place, hit = known.find(Pairs(k[~small].astype(np.uint64), pairs.y[~small], 0))
+            own = order[first][place]
+            p[~small], c[~small] = np.where(hit, given[own], 0.0), np.where(hit, m[own], 0)
+        return p, c
 
 
 @dataclass
@@ -236,7 +516,7 @@ def _seatings(batches: Iterator[pa.RecordBatch], r: Restaurants, salt: int) -> I
         ks, cs = batch.column(1), batch.column(2)
         length = np.diff(ks.offsets.to_numpy())
         word = np.repeat(np.arange(len(length)), length)
-        yield batch, Seating(batch.column(0).to_numpy().view(np.uint64), word, ks.flatten().to_numpy().astype(np.int64), cs.flatten().to_numpy().astype(np.int64), r, salt)
+        yield batch, Seating(batch.column(4).to_numpy().view(np.uint64), word, ks.flatten().to_numpy().astype(np.int64), cs.flatten().to_numpy().astype(np.int64), r, salt)
 
 
 def _totals(words: DataFrame, r: Restaurants, salt: int, sweeps: int) -> Restaurants:
@@ -260,7 +540,7 @@ def _totals(words: DataFrame, r: Restaurants, salt: int, sweeps: int) -> Restaur
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["i", "x"])
 
     got = np.zeros(size)
-    for row in words.select("h", "ks", "cs").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+    for row in words.select("h", "ks", "cs", "c", "g").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
         got[row.i] = row.x
     tail = got[CONTEXTS + LETTERS :]
     discounts = tuple(min(0.95, max(0.05, tail[1 + 2 * i] / max(1.0, tail[1 + 2 * i] + 2 * tail[2 + 2 * i]))) for i in range(3))
@@ -269,15 +549,15 @@ def _totals(words: DataFrame, r: Restaurants, salt: int, sweeps: int) -> Restaur
 
 @dataclass
 class Model:
-    """Words with their counts and averaged probabilities (h, c, p0, letters, p1, ks, p2), and the totals; what pairs keep
-    for themselves (u, h, own) and what restaurants of words pass to the context above (u, up)."""
+    """Words with their counts and averaged probabilities (h: the code, c, p0, letters, p1, ks, p2), and the totals; pairs
+    with customers and tables, a row for each bucket, and what buckets know beside them."""
 
     words: DataFrame
     restaurants: Restaurants
     tokens: int
     sums: np.ndarray | None = None  # of each context's averaged probabilities, the unseen word's included
     pairs: DataFrame | None = None
-    contexts: DataFrame | None = None
+    upper: Upper | None = None
 
     def normalised(self) -> Model:
         """Totals are those of the pass before, so a context's probabilities add up to nearly 1; ``sums`` tells how nearly."""
@@ -302,43 +582,111 @@ class Model:
         return one, two
 
 
-def fit(texts: DataFrame, passes: int = 3, burn: int = 3, keep: int = 4) -> Model:
+def fit(texts: DataFrame, passes: int = 3, burn: int = 3, keep: int = 4, frequent: int = FREQUENT, buckets: int | None = None) -> Model:
     """Learns from one text column.
 
     Pairs start with one table each; the levels above are fitted to those in one pass, pairs that occur more than once are
     seated anew by them, and the levels above are fitted again: ``passes`` passes for the totals, then ``burn`` sweeps and
-    ``keep`` averaged ones. Everything gathered from the corpus is a table of one row for each distinct word, pair or
-    restaurant; the driver sees about a hundred totals. An empty corpus gives a model that knows no word.
+    ``keep`` averaged ones. Everything gathered from the corpus is a table of one entry for each distinct word, pair or
+    restaurant; the driver sees the ``frequent`` words, restaurants of the HEAD commonest, and about a hundred totals. An
+    empty corpus gives a model that knows no word.
     """
-    pairs = cut(_counts(texts).groupBy("u", "h").agg(F.first("k").alias("k"), F.sum("c").alias("c")), "lm-pairs")
-    one, two, n = pairs.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1)), F.sum("c")).first()
-    discount, strength = min(0.95, max(0.05, one / max(1, one + 2 * two))), Restaurants.strength
-    start = _above(pairs.withColumn("t", F.lit(1).cast("long")), n or 0, 1, burn, 1)
-    customers = pairs.groupBy("u").agg(F.sum("c").alias("cu"), F.count(F.lit(1)).alias("tu"))
-    many = pairs.where("c > 1").join(customers, "u").join(start.words.select("h", "ks", "p2"), "h")
-    many = many.select("u", "h", "k", "c", "tu", F.get("p2", (F.array_position("ks", F.col("k")) - 1).cast("int")).alias("p"))
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stirling = log_stirling(discount)
+    spark = texts.sparkSession
+    vocabulary = cut(_words(texts), "lm-vocabulary")
+    n = vocabulary.agg(F.sum("c")).first()[0] or 0
+    codes = _codes(vocabulary, n, frequent, buckets)
+    numbered = spark.createDataFrame(pa.table({"h": codes.top.view(np.int64), "id": np.arange(len(codes.top))}), "h long, id long")
+    counts = vocabulary.join(F.broadcast(numbered), "h", "left").select(F.coalesce("id", "h").alias("h"), F.col("h").alias("g"), "c")
+    pairs = cut(_pairs(_train(texts, codes)), "lm-pairs")
+    customers, tables = _heads(pairs, codes)
+    one, two = customers[-2:]
+    discount, strength = min(0.95, max(0.05, one / max(1.0, one + 2 * two))), Restaurants.strength
+    start = _above(_tables(pairs), counts, n, 1, burn, 1)
+    upper = Upper(codes, _frequent_probabilities(start, codes), customers[:-2], tables[:-2], discount, strength)
+    shared = spark.sparkContext.broadcast(upper)
+
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, h, _, c, tu, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            t = draw_tables(c, (strength + discount * tu) * p, discount, stirling, uniform(mix(u.view(np.uint64)) + h.view(np.uint64), 7))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(t)], names=["u", "h", "k", "c", "t"])
-
-    drawn = many.mapInArrow(draw, "u long, h long, k short, c long, t long")
-    seated = cut(pairs.where("c = 1").select("*", F.col("c").alias("t")).unionByName(drawn), "lm-seated")
-    model = _above(seated, n or 0, passes, burn, keep)
-    totals = seated.groupBy("u").agg(F.sum("c").alias("cu"), F.sum("t").alias("tu"))
-    model.contexts = cut(totals.select("u", "cu", ((strength + discount * F.col("tu")) / (strength + F.col("cu"))).alias("up")), "lm-contexts")
-    model.pairs = seated.select("u", "h", (F.col("c") - discount * F.col("t")).alias("own"))
+            for row in batch.to_pylist():
+                p, c = Pairs.unpack(row["a"], row["b"], row["c"]), numbers(row["n"])
+                on = (p.y >= HASHED) & (c > 1)
+                own, _, _ = distinct(p.x[on] & np.uint64(CONTEXTS - 1), p.y[on])
+                yield _asked(np.full(len(own.y), row["bucket"]), own.y, own.x)
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = shared.value
+        stirling = log_stirling(discount)
+        for bucket, rows, asked in _by_bucket(batches):
+            row = rows[0]
+            p, c, t = Pairs.unpack(row["a"], row["b"], row["c"]), numbers(row["n"]), numbers(row["t"])
+            _, of = upper.totals(upper.restaurants(p, c, t), p.x)
+            above, _ = upper.above(p, asked)
+            on = np.flatnonzero(c > 1)
+            weight = (strength + discount * of[on]) * above[on]
+            t[on] = draw_tables(c[on].astype(np.int64), weight, discount, stirling, uniform(upper.codes.seeds(p.x[on], p.y[on]), 7)).astype(np.uint64)
+            yield _bucket_row(bucket, p, c, t)
+        release()
+
+    answers = _answers(pairs.mapInArrow(many, "bucket int, h long, k short"), start)
+    seated = cut(_dealt_again(pairs, answers).mapInArrow(seat, _BUCKET), "lm-seated")
+    model = _above(_tables(seated), counts, n, passes, burn, keep)
+    customers, tables = _heads(seated, codes)
+    model.pairs = seated
+    model.upper = Upper(codes, _frequent_probabilities(model, codes), customers[:-2], tables[:-2], discount, strength)
     return model
 
 
-def _above(seated: DataFrame, n: int, passes: int, burn: int, keep: int) -> Model:
-    """The levels above the restaurants of words, whose customers are the tables of pairs (u, h, k, c, t)."""
-    counts = seated.groupBy("h", "k").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    lists = counts.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("e"), F.sum("c").alias("c"))
-    words = cut(lists.select("h", F.col("e.k").alias("ks"), F.col("e.t").alias("cs"), "c"), "lm-words")
+def _asked(bucket: np.ndarray, h: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(k.astype(np.int16))], names=["bucket", "h", "k"])
+
+
+def _answers(asked: DataFrame, model: Model) -> DataFrame:
+    """(bucket, h, k, p, m): each asked word's probability in a context above, and its count."""
+    one, two = model.fallback()
+    ones, twos, sums = (F.array(*[F.lit(float(x)) for x in a]) for a in (one, two, model.sums))
+    met = asked.join(model.words, "h", "left")
+    letter = F.shiftright("k", 1)
+    at2, at1 = F.array_position("ks", F.col("k")), F.array_position("letters", letter.cast("short"))
+    root = F.coalesce("p0", F.lit(model.restaurants.unseen()))
+    p1 = F.when(F.coalesce(at1, F.lit(0)) > 0, F.get("p1", (at1 - 1).cast("int"))).otherwise(root * F.get(ones, letter))
+    p2 = F.when(F.coalesce(at2, F.lit(0)) > 0, F.get("p2", (at2 - 1).cast("int"))).otherwise(p1 * F.get(twos, F.col("k").cast("int")))
+    return met.select("bucket", "h", "k", (p2 / F.get(sums, F.col("k").cast("int"))).alias("p"), F.coalesce("c", F.lit(0)).cast("long").alias("m"))
+
+
+def _dealt_again(*frames: DataFrame) -> DataFrame:
+    """Rows of several frames, those of a bucket together."""
+    both = frames[0]
+    for f in frames[1:]:
+        both = both.unionByName(f, allowMissingColumns=True)
+    return both.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _frequent_probabilities(model: Model, codes: Codes) -> np.ndarray:
+    """Probabilities of the frequent words in each context above."""
+    got = model.words.where("h >= 0").toArrow().combine_chunks()
+    one, two = model.fallback()
+    word = got["h"].to_numpy()
+    p0 = np.zeros(len(codes.top))
+    p0[word] = got["p0"].to_numpy()
+    part = _one(got["letters"])
+    row = np.repeat(word, np.diff(part.offsets.to_numpy()))
+    p1 = p0[:, None] * one[None, :]
+    p1[row, part.flatten().to_numpy()] = _one(got["p1"]).flatten().to_numpy()
+    ks = _one(got["ks"])
+    row = np.repeat(word, np.diff(ks.offsets.to_numpy()))
+    p2 = np.repeat(p1, 2, axis=1) * two[None, :]
+    p2[row, ks.flatten().to_numpy()] = _one(got["p2"]).flatten().to_numpy()
+    return p2 / model.sums
+
+
+def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _above(tables: DataFrame, counts: DataFrame, n: int, passes: int, burn: int, keep: int) -> Model:
+    """The levels above the restaurants of words, whose customers are the tables of pairs (h, k, t)."""
+    lists = tables.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("e")).join(counts, "h")
+    words = cut(lists.select("h", F.col("e.k").alias("ks"), F.col("e.t").alias("cs"), "c", "g"), "lm-words")
     by = {row.k: row.c for row in words.select(F.explode(F.arrays_zip("ks", "cs")).alias("e")).groupBy("e.ks").agg(F.sum("e.cs").alias("c")).select(F.col("ks").alias("k"), "c").collect()}
     c2 = np.array([by.get(k, 0) for k in range(CONTEXTS)], np.float64)
     vocabulary = words.count()
@@ -363,111 +711,161 @@ def _above(seated: DataFrame, n: int, passes: int, burn: int, keep: int) -> Mode
             at2 = pa.ListArray.from_arrays(pa.array((batch.column(1).offsets.to_numpy() - batch.column(1).offsets[0].as_py()).astype(np.int32)), pa.array(p2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(p0), letters, at1, batch.column(1), at2], names=["h", "c", "p0", "letters", "p1", "ks", "p2"])
 
-    sampled = words.select("h", "ks", "cs", "c").mapInArrow(run, "h long, c long, p0 double, letters array<short>, p1 array<double>, ks array<short>, p2 array<double>")
+    sampled = words.select("h", "ks", "cs", "c", "g").mapInArrow(run, "h long, c long, p0 double, letters array<short>, p1 array<double>, ks array<short>, p2 array<double>")
     return Model(cut(sampled, "lm-model"), r, n).normalised()
 
 
-def _frequent(model: Model, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (sorted), counts and log10 probabilities in each context of the most frequent words, at most ``most``.
-
-    The least count comes from a histogram over logarithms of counts, so no sort of all words is needed.
-    """
-    band = F.floor(F.log2("c") * 8).cast("int")
-    room, least = most, None
-    for row in sorted(model.words.groupBy(band.alias("b")).count().collect(), key=lambda x: -x.b):
-        if row["count"] > room:
-            break
-        room -= row["count"]
-        least = row.b
-    if least is None:  # no room, or no words
-        return np.empty(0, np.uint64), np.empty(0), np.empty((0, CONTEXTS), np.float32)
-    got = model.words.where(band >= least).toArrow().combine_chunks()
-    h = got["h"].to_numpy().view(np.uint64)
-    one, two = model.fallback()
-    p0 = got["p0"].to_numpy()
-    p1 = p0[:, None] * one[None, :]
-    part = got["letters"].combine_chunks() if isinstance(got["letters"], pa.ChunkedArray) else got["letters"]
-    row = np.repeat(np.arange(len(h)), np.diff(part.offsets.to_numpy()))
-    p1[row, part.flatten().to_numpy()] = got["p1"].combine_chunks().flatten().to_numpy()
-    p2 = np.repeat(p1, 2, axis=1) * two[None, :]
-    ks = got["ks"].combine_chunks()
-    row = np.repeat(np.arange(len(h)), np.diff(ks.offsets.to_numpy()))
-    p2[row, ks.flatten().to_numpy()] = got["p2"].combine_chunks().flatten().to_numpy()
-    order = np.argsort(h)
-    return h[order], got["c"].to_numpy()[order].astype(np.float64), np.log10(p2[order] / model.sums).astype(np.float32)
+#: Columns of what buckets get from documents: pairs, entries of each pair, copies and document of each entry.
+_REQUEST = "bucket int, kind int, block long, a binary, b binary, c binary, n binary, t binary, d binary"
+_REPLY = "block long, bucket int, d binary, size binary, known binary, base binary, score binary, keys binary"
 
 
-def score_texts(df: DataFrame, model: Model, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
+def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text).
 
     A null text counts as empty: its only token is the end. Unknown words share one type. Made columns replace input
-    columns of their names; the text is not returned.
+    columns of their names; the text is not returned. Repeated rows get equal values.
 
-    The probabilities above the word before of up to ``frequent`` words are broadcast; other words meet theirs in a join.
-    All tokens meet pairs and restaurants in joins, as one row for each document and pair. So the result covers all words
-    and pairs at any size.
+    Documents are told apart by a 128-bit key of the whole row. A block of documents sends each bucket its pairs of that
+    bucket, a few bytes each, and gets back four sums for each document with any; sums are added up in the order of
+    buckets. Infrequent words meet their probabilities in a join. So the result covers all words and pairs at any size.
     """
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in df.columns if c != text and c.lower() not in made]
     n, v = model.tokens, model.restaurants.vocabulary
-    shared = df.sparkSession.sparkContext.broadcast(_frequent(model, frequent))
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("_id", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("_rest", T.ArrayType(T.StructType([T.StructField("u", T.LongType()), T.StructField("h", T.LongType()), T.StructField("k", T.ShortType()), T.StructField("n", T.IntegerType()), T.StructField("p", T.FloatType())])))])
+    keyed = df.select(*[F.col(f"`{c}`") for c in kept], *row_keys(df), F.col(f"`{text}`").cast("string").alias("_text"))
+    shared = df.sparkSession.sparkContext.broadcast(model.upper)
+
+    def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = shared.value.codes
+        serial = TaskContext.get().partitionId() << 32
+        held, keys, n = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            x, y, size = (np.concatenate(a) for a in zip(*held, strict=True))
+            doc = np.repeat(np.arange(len(size)), size)
+            pairs, order, at = distinct(x, y)
+            doc = doc[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = doc[1:] != doc[:-1]
+            new[at] = True
+            entry = np.flatnonzero(new)
+            copies = np.diff(np.append(entry, len(doc)))
+            start = np.searchsorted(entry, at)
+            each = np.diff(np.append(start, len(entry)))
+            doc = doc[entry]
+            rows = []
+            for bucket, part, own in _dealt(pairs, codes):
+                e = each[own]
+                on = np.repeat(start[own] - np.concatenate(([0], np.cumsum(e)[:-1])), e) + np.arange(e.sum())
+                rows.append((bucket, 1, *part.pack(), planes(e), planes(copies[on]), planes(doc[on])))
+            rows.append((serial % codes.buckets, 2, None, None, None, None, None, np.array(keys, np.int64).tobytes()))
+            types = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6)
+            columns = [[r[0] for r in rows], [r[1] for r in rows], [serial] * len(rows), *([r[i] for r in rows] for i in range(2, 8))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "kind", "block", "a", "b", "c", "n", "t", "d"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, counts, table = shared.value
-        log_count = np.log10(counts + 0.5)
-        serial = TaskContext.get().partitionId() << 40
         for batch in batches:
-            size, known, base, ends, rest = [], [], [], [0], []
-            for view in views(batch.column(len(kept))):
+            k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
+            for i, view in enumerate(views(batch.column(2))):
                 h, k = tokens(view)
-                at = np.searchsorted(top, h)
-                at[at == len(top)] = 0
-                hit = top[at] == h if len(top) else np.zeros(len(h), bool)
-                on = at[hit]
-                size.append(len(h))
-                known.append(len(on))
-                base.append(float(log_count[on].sum()))
-                p = np.full(len(h), np.nan, np.float32)
-                p[hit] = table[on, k[hit]]
-                u = before(h, k)
-                order, first = _distinct(u, h)
-                one = order[first]
-                rest.append((u[one], h[one], k[one], np.diff(np.append(first, len(h))), p[one]))
-                ends.append(ends[-1] + len(first))
-            ids = np.arange(serial, serial + len(size))
-            serial += len(size)
-            if not rest:
-                continue
-            u, h, k, m, p = (np.concatenate(x) for x in zip(*rest, strict=True))
-            entries = pa.StructArray.from_arrays([pa.array(u.view(np.int64)), pa.array(h.view(np.int64)), pa.array(k.astype(np.int16)), pa.array(m.astype(np.int32)), pa.array(p, from_pandas=True)], names=["u", "h", "k", "n", "p"])
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [pa.array(ids), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], names=schema.fieldNames())
-
-    documents = cut(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text")).mapInArrow(run, schema), "lm-documents")
-    one, two = model.fallback()
-    ones, twos = (F.array(*[F.lit(float(x)) for x in a]) for a in (one, two))
-    rest = documents.select("_id", F.explode("_rest").alias("e")).select("_id", "e.u", "e.h", "e.k", "e.n", "e.p")
-    met = rest.where("p IS NULL").join(model.words, "h", "left")
-    letter = F.shiftright("k", 1)
-    at2 = F.array_position("ks", F.col("k"))
-    at1 = F.array_position("letters", letter.cast("short"))
-    root = F.coalesce("p0", F.lit(model.restaurants.unseen()))
-    p1 = F.when(F.coalesce(at1, F.lit(0)) > 0, F.get("p1", (at1 - 1).cast("int"))).otherwise(root * F.get(ones, letter))
-    p2 = F.when(F.coalesce(at2, F.lit(0)) > 0, F.get("p2", (at2 - 1).cast("int"))).otherwise(p1 * F.get(twos, F.col("k").cast("int")))
-    p2 = p2 / F.get(F.array(*[F.lit(float(x)) for x in model.sums]), F.col("k").cast("int"))
-    zero = F.lit(0.0)
-    seldom = met.select("_id", "u", "h", "n", p2.alias("p"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("more"), (F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base_more"))
-    often = rest.where("p IS NOT NULL").select("_id", "u", "h", "n", F.pow(F.lit(10.0), F.col("p").cast("double")).alias("p"), F.lit(0).alias("more"), zero.alias("base_more"))
-    whole = often.unionByName(seldom).join(model.contexts, "u", "left").join(model.pairs, ["u", "h"], "left")
-    # what the pair keeps for itself, and what its restaurant passes on; an unknown restaurant passes on all
-    p3 = F.coalesce(F.col("own"), zero) / (Restaurants.strength + F.coalesce("cu", F.lit(0))) + F.coalesce(F.col("up"), F.lit(1.0)) * F.col("p")
-    sums = whole.groupBy("_id").agg(F.sum("more").alias("more"), F.sum("base_more").alias("base_more"), F.sum(F.col("n") * F.log10(p3)).alias("score_more"))
-    joined = documents.drop("_rest").join(sums, "_id", "left")
-    return joined.select(
+                y = codes.words(h)
+                held.append((codes.contexts(y, k), y, np.array([len(y)])))
+                keys.append((k1[i], k2[i]))
+                n += len(y)
+                if n > BLOCK:
+                    yield flush()
+                    held, keys, n = [], [], 0
+                    serial += 1
+        if held:
+            yield flush()
+        release()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = shared.value.codes
+        for batch in batches:
+            xs, ys = [], []
+            for view in views(batch.column(0)):
+                h, k = tokens(view)
+                y = codes.words(h)
+                on = y >= HASHED
+                xs.append(codes.contexts(y, k)[on])
+                ys.append(y[on])
+            if xs:
+                x, y = np.concatenate(xs), np.concatenate(ys)
+                bucket = codes.deal(x, y).astype(np.uint64)
+                own, _, _ = distinct(bucket << np.uint64(CONTEXT_BITS) | x & np.uint64(CONTEXTS - 1), y)
+                yield _asked((own.x >> np.uint64(CONTEXT_BITS)).astype(np.int64), own.y, own.x & np.uint64(CONTEXTS - 1))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = shared.value
+        none = np.empty(0, np.uint64)
+        for bucket, rows, asked in _by_bucket(batches):
+            own, c, t = Pairs(none, none, 0), none, none
+            for row in rows:
+                if row["kind"] is None:
+                    own, c, t = Pairs.unpack(row["a"], row["b"], row["c"]), numbers(row["n"]), numbers(row["t"])
+            mine = upper.restaurants(own, c, t)
+            out = []
+            for row in rows:
+                if row["kind"] == 2:
+                    out.append((row["block"], bucket, None, None, None, None, None, row["d"]))
+                if row["kind"] != 1:
+                    continue
+                q = Pairs.unpack(row["a"], row["b"], row["c"])
+                place, hit = own.find(q)
+                keeps = np.zeros(len(q.x))
+                keeps[hit] = c[place[hit]] - upper.discount * t[place[hit]]
+                cu, tu = upper.totals(mine, q.x)
+                above, m = upper.above(q, asked)
+                log = np.log10((keeps + (upper.strength + upper.discount * tu) * above) / (upper.strength + cu))
+                base = np.log10(m + 0.5)
+                of = np.repeat(np.arange(len(q.x)), numbers(row["n"]).astype(np.int64))
+                copies, doc = numbers(row["t"]).astype(np.float64), numbers(row["d"]).astype(np.int64)
+                size = np.bincount(doc, copies)
+                at = np.flatnonzero(size)
+                known = np.bincount(doc, copies * (m[of] > 0))
+                sums = (np.bincount(doc, copies * a[of])[at].tobytes() for a in (base, log))
+                out.append((row["block"], bucket, planes(at, True), planes(size[at]), planes(known[at]), *sums, None))
+            types = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["block", "bucket", "d", "size", "known", "base", "score", "keys"])
+        release()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+
+        def settle() -> pa.RecordBatch:
+            keys = np.frombuffer(next(r["keys"] for r in held if r["keys"] is not None), np.int64).reshape(-1, 2)
+            sums = np.zeros((4, len(keys)))
+            for r in held:
+                if r["d"] is not None:
+                    at = numbers(r["d"], True).astype(np.int64)
+                    sums[0, at] += numbers(r["size"])
+                    sums[1, at] += numbers(r["known"])
+                    sums[2, at] += np.frombuffer(r["base"])
+                    sums[3, at] += np.frombuffer(r["score"])
+            whole = (pa.array(x.astype(np.int64)) for x in sums[:2])
+            return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *whole, pa.array(sums[2]), pa.array(sums[3])], names=["_k1", "_k2", "_n", "_known", "_base", "_score"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] != block:
+                    if held:
+                        yield settle()
+                    block, held = row["block"], []
+                held.append(row)
+        if held:
+            yield settle()
+
+    texts = keyed.select("_k1", "_k2", "_text")
+    answers = _answers(texts.select("_text").mapInArrow(ask, "bucket int, h long, k short").distinct(), model)
+    replies = _dealt_again(texts.mapInArrow(request, _REQUEST), model.pairs, answers).mapInArrow(answer, _REPLY)
+    sums = replies.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(add, "_k1 long, _k2 long, _n long, _known long, _base double, _score double")
+    sums = cut(sums, "lm-sums").groupBy("_k1", "_k2").agg(*[F.min(c).alias(c) for c in ("_n", "_known", "_base", "_score")])
+    return keyed.drop("_text").join(sums, ["_k1", "_k2"]).select(
         *[F.col(f"`{c}`") for c in kept],
         F.col("_n").alias("n_tokens"),
-        (F.col("_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
+        F.col("_known").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("_base") + F.coalesce("base_more", zero) - F.col("_n") * F.lit(math.log10(n + 0.5 * (v + 1)))).alias("base_score"),
-        F.coalesce("score_more", zero).alias("score"),
+        (F.col("_base") - F.col("_n") * F.lit(math.log10(n + 0.5 * (v + 1)))).alias("base_score"),
+        F.col("_score").alias("score"),
     )

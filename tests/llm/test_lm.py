@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from logloom.llm import lm
+from logloom.llm.packed import HASHED, Pairs, distinct, numbers, planes
 from logloom.llm.queries import op9_language_model
 
 from . import brute
@@ -46,15 +47,15 @@ def test_join_and_broadcast_agree_and_probabilities_sum_to_one(spark):
     texts = [" ".join(random.choice(vocabulary) for _ in range(random.randint(0, 80))) for _ in range(150)] + [None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model = lm.fit(df.select("text"))
+    other = lm.fit(df.select("text"), frequent=5, buckets=7)
     a = {r.doc_id: r for r in lm.score_texts(df, model).collect()}
-    b = {r.doc_id: r for r in lm.score_texts(df, model, frequent=0).collect()}
+    b = {r.doc_id: r for r in lm.score_texts(df, other).collect()}
     for d in a:
         assert a[d].n_known == b[d].n_known == a[d].n_tokens
-        assert a[d].score == pytest.approx(b[d].score, rel=1e-5) and a[d].base_score == pytest.approx(b[d].base_score, rel=1e-9)
-    _, _, table = lm._frequent(model, 10**6)
+        assert a[d].score == pytest.approx(b[d].score, rel=1e-9) and a[d].base_score == pytest.approx(b[d].base_score, rel=1e-9)
     one, two = model.fallback()
     unseen = model.restaurants.unseen() * np.repeat(one, 2) * two / model.sums
-    assert np.allclose((10.0 ** table.astype(np.float64)).sum(0) + unseen, 1, atol=1e-5)
+    assert np.allclose(model.upper.p.sum(0) + unseen, 1, atol=1e-9)
     assert np.allclose(model.sums[model.restaurants.c2 > 0], 1, atol=0.15)
 
 
@@ -96,6 +97,44 @@ def test_word_order_counts_and_pairs_sum_to_one(spark):
     held = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(fresh + shuffled)], "doc_id long, text string")
     score = {r.doc_id: r.score for r in lm.score_texts(held, model).collect()}
     assert all(score[i] > score[i + 20] + 0.3 * 60 for i in range(20))
-    # what pairs keep and what is passed on is a whole
-    pairs = model.pairs.join(model.contexts, "u").groupBy("u").agg({"own": "sum", "cu": "first", "up": "first"}).collect()
-    assert all(r["sum(own)"] / (r["first(cu)"] + 1) + r["first(up)"] == pytest.approx(1) for r in pairs)
+    # what pairs keep and what is passed on is a whole, in each restaurant of a bucket
+    upper = model.upper
+    for row in model.pairs.collect():
+        p, c, t = Pairs.unpack(row.a, row.b, row.c), numbers(row.n), numbers(row.t)
+        assert (t >= 1).all() and (t <= c).all()
+        cu, tu = upper.totals(upper.restaurants(p, c, t), p.x)
+        x, at = np.unique(p.x[upper.codes.heads(p.x) < 0], return_inverse=True)
+        alone = upper.codes.heads(p.x) < 0
+        keeps = np.bincount(at, (c - upper.discount * t)[alone]) / (1 + np.array([cu[p.x == v][0] for v in x]))
+        passes = (1 + upper.discount * np.array([tu[p.x == v][0] for v in x])) / (1 + np.array([cu[p.x == v][0] for v in x]))
+        assert np.allclose(keeps + passes, 1)
+
+
+def test_odd_rows(spark):
+    long = " ".join(f"w{i % 999}" for i in range(lm.BLOCK // 4))
+    rows = [(5, None, 1.0), (None, "5", 1.0), (1, "a b a", 1.0), (1, "a b a", 1.0), (2, "a b a", 1.0), (3, "", None), (4, long, 1.0), (6, "x" * 3_000_000, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Score double")
+    got = lm.score_texts(df, lm.fit(df.select("text"), buckets=3)).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 1, 2, 2, 4, 4, 4, lm.BLOCK // 4 + 1]
+    assert len({r.score for r in got if r.n_tokens == 4}) == 1 and got[0].asDict().keys() == {"doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"}
+
+
+def test_packed_pairs():
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.integers(0, 1 << 22, 500), rng.integers(0, 9, 500))).astype(np.uint64)
+    y = np.concatenate((rng.integers(0, 1 << 16, 500), rng.integers(0, 5, 500))).astype(np.uint64)
+    x[::3] |= HASHED
+    y[::7] |= HASHED
+    pairs, order, at = distinct(x, y)
+    want = Counter(zip(x.tolist(), y.tolist(), strict=True))
+    assert dict(zip(zip(pairs.x.tolist(), pairs.y.tolist(), strict=True), np.diff(np.append(at, len(x))).tolist(), strict=True)) == want
+    back = Pairs.unpack(*pairs.pack())
+    assert (back.x == pairs.x).all() and (back.y == pairs.y).all() and back.small == pairs.small
+    half = distinct(x[::2], y[::2])[0]
+    place, hit = half.find(pairs)
+    known = set(zip(half.x.tolist(), half.y.tolist(), strict=True))
+    for i, p in enumerate(zip(pairs.x.tolist(), pairs.y.tolist(), strict=True)):
+        assert hit[i] == (p in known) and (not hit[i] or (half.x[place[i]], half.y[place[i]]) == p)
+    for values in ([], [0], [5, 5, 1 << 63]):
+        a = np.array(values, np.uint64)
+        assert (numbers(planes(a)) == a).all() and (numbers(planes(a, True), True) == a).all()
