@@ -67,8 +67,34 @@ def test_seating_follows_its_distribution():
     u = lm.uniform(np.arange(40000, dtype=np.uint64), 3)
     t = lm.draw_tables(np.full(40000, c), np.full(40000, weight), d, s, u)
     assert np.allclose(np.bincount(t, minlength=c + 1)[1:] / 40000, p, atol=0.01)
-    many = lm.draw_tables(np.array([10**6] * 200), np.full(200, 5.0), d, s, lm.uniform(np.arange(200, dtype=np.uint64), 4))
-    assert (many > 5).all() and (many < 10**5).all()
+
+
+def exact_row(c, d):
+    """log S(c, t) for all t, by the recursion."""
+    row, t = np.full(c + 2, -np.inf), np.arange(c + 2)
+    row[1] = 0
+    for n in range(1, c):
+        with np.errstate(divide="ignore"):
+            row = np.logaddexp(row + np.log(np.maximum(n - d * t, 1e-300)), np.concatenate(([-np.inf], row[:-1])))
+    return row
+
+
+@pytest.mark.parametrize("d", [0.05, 0.3, 0.5, 0.77, 0.95])
+def test_large_counts_follow_the_same_distribution(d):
+    for c in (65, 130, 700):
+        row = exact_row(c, d)
+        t = np.arange(1, c + 1)
+        assert np.abs(lm.log_stirling_of(np.float64(c), t, d) - row[1 : c + 1]).max() < 0.03
+        for weight in (0.01, 0.7, 5.0, 60.0):
+            p = np.exp(row[1 : c + 1] + t * np.log(weight) - (row[1 : c + 1] + t * np.log(weight)).max())
+            p /= p.sum()
+            n = 4000
+            got = lm.draw_tables(np.full(n, c), np.full(n, weight), d, lm.log_stirling(d), lm.uniform(np.arange(n, dtype=np.uint64), c))
+            mean, sd = (p * t).sum(), math.sqrt(max(0.0, (p * t * t).sum() - (p * t).sum() ** 2))
+            assert abs(got.mean() - mean) < 0.02 * mean + 5 * sd / math.sqrt(n) + 1e-9
+            assert abs(got.std() - sd) < 0.1 * sd + 0.05
+    huge = lm.draw_tables(np.array([10**9] * 300), np.full(300, 2.0), 0.5, lm.log_stirling(0.5), lm.uniform(np.arange(300, dtype=np.uint64), 4))
+    assert abs(huge.mean() - 5) < 0.7  # one large table, and as many others as a Poisson variable of mean 4
 
 
 def test_empty_corpus_and_table(spark):
