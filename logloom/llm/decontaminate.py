@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, cut, keep_columns, views
+from .common import add_columns, cut, keep_columns, row_keys, views
 from .tokens import ALNUM, windows
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -155,18 +155,16 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
     if blocks == 1:
         return _scan(df, spark.sparkContext.broadcast([(r.item, r.text) for r in parts.toLocalIterator()]), size, text)
     parts = cut(parts.withColumn("block", F.pmod(F.xxhash64("text", "item"), F.lit(blocks))), "benchmark-pieces")
-    others = [F.col(f"`{c}`").cast("string") for c in df.columns if c != text]
-    k1, k2 = F.xxhash64(F.col(f"`{text}`"), *others), F.xxhash64(F.lit(31), *others, F.col(f"`{text}`"))
     found = None
     for b in range(blocks):
         shared = spark.sparkContext.broadcast([(r.item, r.text) for r in parts.where(F.col("block") == b).toLocalIterator()])
-        hits = _scan(df.select(k1.alias("_k1"), k2.alias("_k2"), F.col(f"`{text}`").cast("string").alias("_t")), shared, size, "_t").where("n_hit > 0")
+        hits = _scan(df.select(*row_keys(df), F.col(f"`{text}`").cast("string").alias("_t")), shared, size, "_t").where("n_hit > 0")
         hits = cut(hits.select("_k1", "_k2", "items", "hit_words"), "benchmark-hits")
         shared.unpersist()
         found = hits if found is None else found.unionByName(hits)
     met = found.groupBy("_k1", "_k2").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.flatten(F.collect_set("hit_words")).alias("hit_words"))
     kept = [c for c in keep_columns(df, MADE.fieldNames()) if c != text]
-    joined = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"), k1.alias("_k1"), k2.alias("_k2")).join(met, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    joined = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"), *row_keys(df)).join(met, ["_k1", "_k2"], "left").drop("_k1", "_k2")
     return _scan(joined, None, size, text).select(*keep_columns(df, MADE.fieldNames()), *MADE.fieldNames())
 
 

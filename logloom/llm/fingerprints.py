@@ -182,20 +182,27 @@ def neighbours(df: DataFrame, key: str, text: str, rows_per_bucket: int = 1000,
     """Rows sorted by falling key within buckets of a partition, each bucket followed by the first row of the next one.
 
     Columns: bucket, guest, key, text, and the rest. One shuffle of the rows; splits and first keys come from the keys
-    alone. At most ``most_buckets`` of each reach the driver. A null key sorts last, equal keys by falling text.
+    alone. At most ``most_buckets`` of each reach the driver. Keys that are no whole numbers are ordered as strings. A null
+    key sorts last, equal keys by falling text.
     """
-    low = -(1 << 63)
-    k = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(low))
+    number = isinstance(df.schema[key].dataType, T.IntegralType)
+    low = -(1 << 63) if number else ""
+    own = F.col(f"`{key}`").cast("long") if number else F.concat(F.lit("+"), F.col(f"`{key}`").cast("string"))
+    k = F.coalesce(own, F.lit(low))
+    kind = "long" if number else "string"
     ids = df.select(k.alias("k"))
     n = ids.count()
     buckets = max(1, min(most_buckets, math.ceil(n / rows_per_bucket)))
     splits: list[int] = []
     if buckets > 1:
         wanted = [i / buckets for i in range(1, buckets)]
-        got = ids.agg(F.percentile_approx("k", wanted, F.lit(10 * buckets)).alias("p")).first()["p"]
+        if number:
+            got = ids.agg(F.percentile_approx("k", wanted, F.lit(10 * buckets)).alias("p")).first()["p"]
+        else:
+            got = [r.m for r in ids.repartitionByRange(buckets, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.max("k").alias("m")).collect()]
         splits = sorted(set(got), reverse=True)
 
-    table = F.array(*[F.lit(x).cast("long") for x in splits]) if splits else F.array().cast("array<long>")
+    table = F.array(*[F.lit(x).cast(kind) for x in splits]) if splits else F.array().cast(f"array<{kind}>")
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(splits).bit_length())))])
 
     def bucket_of(c: Column) -> Column:
@@ -206,7 +213,7 @@ def neighbours(df: DataFrame, key: str, text: str, rows_per_bucket: int = 1000,
     used = sorted(firsts)
     before = {b: used[i - 1] for i, b in enumerate(used)}  # the first bucket's first row also follows the last bucket
     b = bucket_of(F.col("_k"))
-    first_of = F.array(*[F.lit(firsts.get(i, low)).cast("long") for i in range(len(splits) + 1)])
+    first_of = F.array(*[F.lit(firsts.get(i, low)).cast(kind) for i in range(len(splits) + 1)])
     guest_in = F.array(*[F.lit(before.get(i, 0)) for i in range(len(splits) + 1)])
     home = F.struct(F.col("_b").alias("bucket"), F.lit(0).alias("guest"))
     away = F.struct(F.get(guest_in, F.col("_b")).alias("bucket"), F.lit(1).alias("guest"))
@@ -220,7 +227,7 @@ def fingerprint_versions(df: DataFrame, key: str = "doc_id", text: str = "text")
     """Fingerprints each text and its edited version, and compares them by peeling.
 
     The edited version replaces the last half of the code points by the first ones of the next row (falling key; after
-    the last row: the first). Null texts count as empty. A single row is its own next. Repeated keys are ordered by
+    the last row: the first; keys that are no whole numbers are ordered as strings). Null texts count as empty. A single row is its own next. Repeated keys are ordered by
     falling text, null keys come last. Made columns replace input columns of their names; the text is not returned.
 
     The fingerprint handed out has ``CELLS`` = 12 cells at any length: two of them, subtracted, decode about nine

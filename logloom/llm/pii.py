@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_columns
+from .common import cut, keep_columns, row_keys
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -190,13 +190,10 @@ def find_pii(df: DataFrame, text: str = "text", rounds: int = 3, confidence: flo
     """
     made = ["base", "spans", *(f"n_{k}" for k in KINDS)]
     kept = [c for c in keep_columns(df, made) if c != text]
-    others = [F.col(f"`{c}`").cast("string") for c in kept]
     body = F.coalesce(F.col("_t"), F.lit(""))
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_own"), F.col(f"`{text}`").cast("string").alias("_t"))
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *row_keys(df), F.col(f"`{text}`").alias("_own"), F.col(f"`{text}`").cast("string").alias("_t"))
     scanned = source.select(
         "*",
-        F.xxhash64(F.col("_t"), *others).alias("_k1"),
-        F.xxhash64(F.lit(17), *others, F.col("_t")).alias("_k2"),
         *[base_spans(body, k).alias(f"_{k}") for k in KINDS],
         F.when(body.rlike("[=:][\\x20\"']{0,2}[a-f0-9]{32}"), located(body, SECRET)).alias("_secret"),
     )

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, cut, keep_columns, views
+from .common import add_columns, cut, keep_columns, row_keys, views
 from .filters import among, hash_bits, parted
 from .tokens import PLAIN, mix, powers, windows
 
@@ -192,9 +192,7 @@ def find_repeats(df: DataFrame, text: str = "text", size: int = 35, anchor: int
     counted = cut(_minimizers(df, text, size, anchor, salt).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"), "repeat-minimizers")
     shared = spark.sparkContext.broadcast(hash_bits(counted))
 
-    others = [F.col(f"`{c}`").cast("string") for c in df.columns if c != text]
-    k1, k2 = F.xxhash64(F.col(f"`{text}`"), *others), F.xxhash64(F.lit(29), *others, F.col(f"`{text}`"))
-    keyed = df.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").cast("string").alias("t"))
+    keyed = df.select(*row_keys(df, ("k1", "k2")), F.col(f"`{text}`").cast("string").alias("t"))
     found = cut(_pieces(keyed, size, anchor, salt, shared), "repeat-pieces")
 
     grouped = found.groupBy("h", "content").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("n", "start", "end")])
@@ -224,7 +222,7 @@ def find_repeats(df: DataFrame, text: str = "text", size: int = 35, anchor: int
     hits = cut(listed.groupBy("k1", "k2").agg(F.collect_list("hit").alias("_hits")), "repeat-hits")
 
     kept = keep_columns(df, ["n_words", "n_removed", "removed", "kept"])
-    keyed = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])], k1.alias("_k1"), k2.alias("_k2"))
+    keyed = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])], *row_keys(df))
     untouched, others = parted(keyed, "_k1", hash_bits(hits, "k1"))
     met = cut(others.join(hits.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"], "left"), "repeat-met")
     read = _read(met.where(F.col("_hits").isNotNull()).select(F.col(f"`{text}`").cast("string").alias("t"), "_hits"), size, salt)

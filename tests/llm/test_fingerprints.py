@@ -67,6 +67,17 @@ def test_small_and_odd_tables(spark, monkeypatch):
     check(spark, rows, fp.fingerprint_versions(df).collect())
 
 
+def test_keys_that_are_no_numbers(spark, monkeypatch):
+    rows = [(f"k{i * 7 % 90}x", f"text {i} " * (i % 5)) for i in range(90)] + [(None, "last"), ("", "before last")]
+    df = spark.createDataFrame([(d, t, "f", 1.5) for d, t in rows], "id string, text string, Fingerprint string, near_next double")
+    source = fp.neighbours
+    monkeypatch.setattr(fp, "neighbours", lambda d, k, t: source(d, k, t, 8))
+    got = fp.fingerprint_versions(df, "id").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or ""), reverse=True)
+    want = {d: brute.sha(fp.edited(t, order[(i + 1) % len(order)][1])) for i, (d, t) in enumerate(order)}
+    assert {r.id: r.edited_sha256 for r in got} == want and len(got) == len(rows)
+
+
 def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     got = op3_fingerprints(spark, "/root/testdata/sf0.01").collect()
