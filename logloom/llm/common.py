@@ -27,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) a temporary folder is used and set.
+    Only on one machine (tests) may the session name none; then a temporary folder is used and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         local = tempfile.mkdtemp(prefix="logloom-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         found = f"file://{local}"
@@ -38,12 +40,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it again: lineage ends there and survives lost executors."""
+def _cuts(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "cuts", spark.sparkContext.applicationId)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def cut(df: DataFrame, tag: str, instead: DataFrame | None = None) -> DataFrame:
+    """Writes a frame to the shared folder and reads it again: lineage ends there and survives lost executors.
+
+    ``instead`` is a cut that nothing needs any more once this one is written, such as the last round's; it is removed.
+    """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "cuts", f"{tag}-{uuid.uuid4().hex}")
+    path = os.path.join(_cuts(spark), f"{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    if instead is not None and getattr(instead, "_cut_path", None):
+        _remove(spark, instead._cut_path)
+    return out
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Removes all tables that ``cut`` wrote in this application, for when the results of its queries have been taken."""
+    _remove(spark, _cuts(spark))
 
 
 def keep_columns(df: DataFrame, made: list[str]) -> list[str]:

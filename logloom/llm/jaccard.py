@@ -179,11 +179,13 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """
     both = cut(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), f"{tag}-edges")
     roots = cut(both.groupBy(F.col("x").alias("v")).agg(F.least(F.col("v"), F.min("y")).alias("root")), tag)
+    written = roots
     while True:
         near = both.join(roots.select(F.col("v").alias("y"), F.col("root").alias("r")), "y").groupBy(F.col("x").alias("v")).agg(F.min("r").alias("r"))
         stepped = roots.join(near, "v").select("v", F.col("root").alias("old"), F.least("root", "r").alias("root"))
         up = roots.select(F.col("v").alias("root"), F.col("root").alias("above"))
-        moved = cut(stepped.join(up, "root", "left").select("v", "old", F.least("root", F.coalesce("above", "root")).alias("root")), tag)
+        moved = cut(stepped.join(up, "root", "left").select("v", "old", F.least("root", F.coalesce("above", "root")).alias("root")), tag, written)
+        written = moved
         changed = moved.where(F.col("old") != F.col("root")).limit(1).count()
         roots = moved.select("v", "root")
         if not changed:

@@ -159,7 +159,7 @@ def _chains(paths: DataFrame) -> DataFrame:
     while left:
         above = linked.select(F.col("p").alias("up"), F.col("up").alias("next"), F.col("offset").alias("more"), F.col("done").alias("reached"))
         met = linked.join(above, "up", "left")
-        linked = cut(met.select("p", F.coalesce("next", "up").alias("up"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"), (F.col("next").isNull() | F.coalesce("reached", F.lit(False))).alias("done")), "repeat-links")
+        linked = cut(met.select("p", F.coalesce("next", "up").alias("up"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"), (F.col("next").isNull() | F.coalesce("reached", F.lit(False))).alias("done")), "repeat-links", linked)
         open_ = linked.where("not done").count()
         if open_ == left:
             break

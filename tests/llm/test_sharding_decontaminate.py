@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, sharding
+from logloom.llm import common, decontaminate, sharding
 from logloom.llm.queries import op8_sharding, op10_decontamination
 
 from . import brute
@@ -92,3 +92,15 @@ def test_empty_tables(spark):
     assert decontaminate.find_contamination(df, bench).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert decontaminate.find_contamination(one, bench).first().n_hit == 0
+
+
+def test_cuts_are_removed(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    first = common.cut(spark.range(5), "a")
+    second = common.cut(first.selectExpr("id + 1 AS id"), "b", first)
+    left = os.listdir(tmp_path / "cuts" / spark.sparkContext.applicationId)
+    assert len(left) == 1 and left[0].startswith("b-") and second.count() == 5
+    common.clear_cuts(spark)
+    assert os.listdir(tmp_path / "cuts") == []
