@@ -14,11 +14,13 @@ from .operators import stats
 from .operators.lookup import Knowledge
 from .operators.parse import field, infra_streams, parse_events, present, with_source_tags
 from .operators.project import apply_model, field_columns
-from .operators.route import Sink, SinkGroup, Routes, fan_out, for_sink
+from .operators.route import Routes, Sink, SinkGroup, empty_results, fan_out, for_sink, model_of_rule
+from .plans.models import parse_model
 from .plans.rules import parse_rules
 from .sinks.formats import line
 from .sources.readers import decoded
-from .sources.syslog import normalise
+from .sources.syslog import header, normalise
+from .streaming.engine import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -550,6 +552,198 @@ def generate_round_trip(spark, sf):
     return out.groupBy(F.col("parsed.status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# -- operators one by one, with odd, long and missing input
+
+
+_ODD = """case event_id % 8 when 0 then null when 1 then '' when 2 then concat(user_id, ' "', repeat('x', 3000), '" end') when 3 then concat(repeat('7', 5000), ' "a" b') when 4 then concat(user_id, ' "open b')
+when 5 then concat(user_id, ' "', repeat('q\\\\"', 900), '" end') when 6 then 'no number here' else concat(user_id, ' "', event_type, '" end') end"""
+
+
+@query("SELECT event_id, CASE WHEN event_id % 8 < 2 THEN 'blank' WHEN event_id % 8 IN (2, 5, 7) THEN 'ok' ELSE 'miss' END AS status, CASE WHEN event_id % 8 IN (2, 5, 7) THEN user_id END AS n, CASE event_id % 8 WHEN 2 THEN 3000 WHEN 5 THEN 2700 WHEN 7 THEN length(event_type) END AS size FROM events")
+def parse_odd_lines(spark, sf):
+    """Null, empty, very long, unclosed and unfit lines through a regular rule."""
+    out = parse_events(_lines(table(spark, sf, "events"), _ODD, "event_id"), 'rule odd { (digit:n, chars:t", chars:e) }')
+    return out.select("event_id", F.col("parsed.status").alias("status"), field("n", "digit").alias("n"), F.char_length(field("t")).alias("size"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 8 < 2 THEN 'blank' WHEN event_id % 8 IN (2, 5, 7) THEN 'ok' ELSE 'miss' END AS status, CASE WHEN event_id % 8 IN (2, 5, 7) THEN user_id END AS n, CASE event_id % 8 WHEN 2 THEN 3000 WHEN 5 THEN 2700 WHEN 7 THEN length(event_type) END AS size FROM events")
+def parse_odd_lines_general(spark, sf):
+    """The same lines through the general evaluator."""
+    out = parse_events(_lines(table(spark, sf, "events"), _ODD, "event_id"), 'rule odd { (digit:n, chars:t", chars:e) }', native=False)
+    return out.select("event_id", F.col("parsed.status").alias("status"), field("n", "digit").alias("n"), F.char_length(field("t")).alias("size"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'miss' ELSE 'ok' END AS status, CASE event_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'PATCH' END AS m FROM events")
+def parse_http_method(spark, sf):
+    lines = _lines(table(spark, sf, "events"), "concat(case event_id % 3 when 0 then 'GET' when 1 then 'PATCH' else 'FETCH' end, ' ', user_id)", "event_id")
+    return _parsed(lines, "rule m { (http/method:m, digit:n) }", {"m": "chars"}, "event_id")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'ok' ELSE 'miss' END AS status, CASE WHEN event_type = 'click' THEN 'click' || user_id END AS t FROM events")
+def parse_peek_symbol(spark, sf):
+    return _parsed(_lines(table(spark, sf, "events"), "concat(event_type, user_id)", "event_id"), "rule p { (peek_symbol(click), chars:t) }", {"t": "chars"}, "event_id")
+
+
+@query("SELECT event_id, 1 + event_id % 5 AS fields, user_id AS first FROM events")
+def parse_repeated_field(spark, sf):
+    lines = _lines(table(spark, sf, "events"), "concat_ws(',', array_repeat(cast(user_id as string), cast(1 + event_id % 5 as int)))", "event_id")
+    out = parse_events(lines, r"rule r { (*digit:n\,) }")
+    return out.select("event_id", F.size("parsed.fields").cast("long").alias("fields"), field("n", "digit").alias("first"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'ok' ELSE 'miss' END AS status FROM events")
+def parse_json_depth(spark, sf):
+    lines = _lines(table(spark, sf, "events"), "if(event_id % 2 = 0, concat('{\"a\":', user_id, '}'), concat('{\"a\":{\"b\":{\"c\":', user_id, '}}}'))", "event_id")
+    return _parsed(lines, "rule d { (json[1]) }", {}, "event_id")
+
+
+@query("SELECT event_id, 'ok' AS status, CASE WHEN event_id % 2 = 0 THEN '10.0.0.' || (event_id % 256) END AS a, user_id AS b FROM events")
+def parse_optional_member(spark, sf):
+    lines = _lines(table(spark, sf, "events"), "concat('{\"a\":\"', if(event_id % 2 = 0, concat('10.0.0.', event_id % 256), 'none'), '\",\"b\":', user_id, '}')", "event_id")
+    return _parsed(lines, "rule o { (json(opt(ip)@a, digit@b)) }", {"a": "chars", "b": "digit"}, "event_id")
+
+
+@query("SELECT event_id, 'ok' AS status, event_type || ' ' || user_id AS a, 'p \\\" q' AS b FROM events")
+def parse_quotes(spark, sf):
+    lines = _lines(table(spark, sf, "events"), """concat('"', event_type, ' ', user_id, '" "p \\\\\\\\" q"')""".replace("\\\\\\\\", "\\\\"), "event_id")
+    return _parsed(lines, 'rule q { (chars:a, chars:b") }', {"a": "chars", "b": "chars"}, "event_id")
+
+
+_NAMED_RULES = {"f_chars_not_has(t, click)": "event_type <> 'click'", "f_chars_in(t, [click, view])": "event_type IN ('click', 'view')", "f_chars_not_has(zz, click)": "false"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (WHERE {v}) AS n FROM events" for k, v in _NAMED_RULES.items()) + " UNION ALL SELECT 'f_ip_in' AS rule, count(*) FILTER (WHERE user_id % 4 IN (1, 2)) AS n FROM events")
+def field_predicates_named(spark, sf):
+    events = table(spark, sf, "events")
+    out = parse_events(_lines(events, "concat('10.0.0.', user_id % 4)"), "rule f { (ip:i | f_ip_in(i, [10.0.0.1, 10.0.0.2])) }").select(F.lit("f_ip_in").alias("rule"), (F.col("parsed.status") == "ok").cast("long").alias("n"))
+    for k in _NAMED_RULES:
+        out = out.unionByName(parse_events(_lines(events, "event_type"), f"rule f {{ (chars:t\\0 | {k}) }}").select(F.lit(k).alias("rule"), (F.col("parsed.status") == "ok").cast("long").alias("n")))
+    return out.groupBy("rule").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT event_id, user_id AS n, 'p' AS a, 'r' AS b, user_id::VARCHAR AS raw FROM events")
+def rule_package_annotations(spark, sf):
+    out = parse_events(_lines(table(spark, sf, "events"), "cast(user_id as string)", "event_id"), '#[tag(a:"p", b:"p")] package x { #[tag(b:"r"), copy_raw(name:"raw")] rule r { (digit:n) } }')
+    return out.select("event_id", field("n", "digit").alias("n"), *[field(x).alias(x) for x in ("a", "b", "raw")])
+
+
+@query("SELECT event_id, 'file' AS src_key, '10.0.0.' || (event_id % 9) AS src_ip, 'eu' AS zone FROM events")
+def source_provenance(spark, sf):
+    lines = _lines(table(spark, sf, "events"), "cast(user_id as string)", "event_id").selectExpr("*", "map('zone', 'eu') AS tags", "'file' AS key", "concat('10.0.0.', event_id % 9) AS peer")
+    out = with_source_tags(parse_events(lines, "rule r { (digit:n) }"), source="key", ip="peer")
+    return out.select("event_id", *[field(x).alias(x) for x in ("src_key", "src_ip", "zone")])
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'plain' END AS payload, CASE WHEN event_id % 2 = 0 THEN '165' END AS pri, CASE WHEN event_id % 2 = 0 THEN '20' END AS facility FROM events")
+def source_syslog_tags(spark, sf):
+    lines = _lines(table(spark, sf, "events"), "if(event_id % 2 = 0, concat('<165>1 2003-10-11T22:14:15.003Z h app - ID47 - ', event_type), 'plain')", "event_id")
+    return header(lines, "tag").select("event_id", "payload", F.col("tags")["syslog.pri"].alias("pri"), F.col("tags")["syslog.facility"].alias("facility"))
+
+
+@query("SELECT event_id, event_type AS first, NULL::VARCHAR AS none FROM events")
+def value_nth(spark, sf):
+    return _model(spark, sf, "events", ("event_id",), "__xs = collect read(keys:[event_type, s]) ; first = read(__xs) | nth(0) ; none = read(__xs) | nth(7) ;", view=["event_id", "event_type", "cast(user_id as string) AS s"])
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS t, CASE WHEN user_id % 2 > 0 THEN user_id % 2 END AS n FROM events")
+def value_skip_empty(spark, sf):
+    return _model(spark, sf, "events", ("event_id",), "t = read(t) | skip_empty ; n = read(n) | skip_empty ;", view=["event_id", "if(event_id % 3 > 0, event_type, '') AS t", "user_id % 2 AS n"])
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'even' END AS a, CASE WHEN event_id % 2 = 0 THEN 7 END AS b, CASE WHEN event_id % 2 = 0 THEN true END AS c FROM events")
+def value_map_to(spark, sf):
+    return _model(spark, sf, "events", ("event_id",), "a = read(x) | map_to('even') ; b = read(x) | map_to(7) ; c = read(x) | map_to(true) ;", view=["event_id", "if(event_id % 2 = 0, event_type, null) AS x"])
+
+
+@query("SELECT event_id, event_type || chr(92) || 't' || chr(92) || '\"' || chr(92) || chr(92) || chr(92) || 'n' || chr(92) || 'u{e9}' AS t FROM events")
+def value_str_escape(spark, sf):
+    df = table(spark, sf, "events").select("event_id", F.concat("event_type", F.lit('\t"\\\né')).alias("x"))
+    return apply_model(df, "name : q\n---\nt = read(x) | str_escape ;", keep=("event_id",))
+
+
+@query("SELECT event_id, CASE WHEN starts_with(event_type, 'c') THEN event_type END AS t FROM events")
+def value_starts_with(spark, sf):
+    return _model(spark, sf, "events", ("event_id",), "t = read(event_type) | starts_with('c') ;")
+
+
+@query("SELECT event_id, user_id::VARCHAR AS s, CASE WHEN event_id % 300 < 256 THEN 167772160 + event_id % 300 END AS n FROM events")
+def value_to_str_and_ip4(spark, sf):
+    return _model(spark, sf, "events", ("event_id",), "s = read(user_id) | to_str ; __i : ip = read(ip) ; n = read(__i) | ip4_to_int ;", view=["event_id", "user_id", "concat('10.0.', if(event_id % 300 < 256, '0', '999'), '.', event_id % 300) AS ip"])
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'hit' ELSE 'other' END AS z FROM events")
+def model_match_static(spark, sf):
+    return _model(spark, sf, "events", ("event_id",), "static { K : chars = chars(click) ; } z = match read(event_type) { K => chars(hit) ; _ => chars(other) ; } ;")
+
+
+@query("SELECT event_id, event_type AS t FROM events")
+def model_privacy_section(spark, sf):
+    return _model(spark, sf, "events", ("event_id",), "t = read(event_type) ;\n---\nt : privacy_ip\n")
+
+
+@query("SELECT n_name AS name, n_regionkey * 2 AS twice, 167772160 + n_nationkey AS ip FROM nation WHERE n_regionkey > 1")
+def knowledge_query(spark, sf):
+    return _knowledge(spark, sf).query("SELECT n_name AS name, n_regionkey * 2 AS twice, ip4_int(concat('10.0.0.', n_nationkey)) AS ip FROM nation WHERE n_regionkey > 1")
+
+
+@query("SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INTEGER AS at, n_name AS value FROM nation")
+def knowledge_values(spark, sf):
+    return spark.createDataFrame(list(enumerate(_knowledge(spark, sf).values("nation", "n_name"))), "at int, value string")
+
+
+@query("SELECT o_orderkey, (SELECT arg_min(n_name, n_nationkey) FROM nation WHERE n_nationkey * 1000 <= o_custkey AND n_nationkey * 1000 + power(10, n_nationkey % 7) >= o_custkey) AS n FROM orders")
+def lookup_wide_ranges(spark, sf):
+    """Ranges of widths from 1 to a million, which overlap."""
+    bands = table(spark, sf, "nation").selectExpr("cast(n_nationkey as bigint) * 1000 AS low", "cast(n_nationkey as bigint) * 1000 + cast(power(10, n_nationkey % 7) as bigint) AS high", "n_name AS name", "n_nationkey AS k")
+    knowledge = Knowledge(spark).add("wide", bands, ["k"])
+    return _model(spark, sf, "orders", ("o_orderkey",), "n = select name from wide where low <= read(o_custkey) and high >= read(o_custkey) ;", knowledge)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'm1' WHEN o_orderkey % 3 = 1 THEN 'm2' END AS model, CASE WHEN o_orderkey % 3 = 0 THEN 'narrow' WHEN o_orderkey % 3 = 1 THEN 'wide' ELSE 'default' END AS grp FROM orders")
+def route_models(spark, sf):
+    """Rule to model, and model to sink group."""
+    models = [parse_model(f"name : {n}\nrule : {r}\n---\na = read() ;") for n, r in (("m1", "/web/access*"), ("m2", "/web/*"))]
+    routes = Routes([SinkGroup("wide", models=("m*",)), SinkGroup("narrow", models=("m1",))])
+    out, group = F.lit(None).cast("string"), F.lit(routes.default)
+    rule = F.expr("case o_orderkey % 3 when 0 then '/web/access' when 1 then '/web/error' else '/sys/x' end")
+    for r in ("/web/access", "/web/error", "/sys/x"):
+        m = model_of_rule(r, models)
+        if m is not None:
+            out, group = F.when(rule == r, F.lit(m.name)).otherwise(out), F.when(rule == r, F.lit(routes.group_of_model(m.name))).otherwise(group)
+    return table(spark, sf, "orders").select("o_orderkey", out.alias("model"), group.alias("grp"))
+
+
+@query("SELECT event_id, event_id % 2 = 0 AS filled, CASE WHEN event_id % 2 = 1 THEN 'empty' END AS kind FROM events")
+def route_empty_results(spark, sf):
+    df = table(spark, sf, "events").selectExpr("event_id", "if(event_id % 2 = 0, event_type, null) AS a", "cast(null as string) AS b")
+    good, bad = empty_results(df, ["a", "b"])
+    return good.selectExpr("event_id", "true AS filled", "cast(null as string) AS kind").unionByName(bad.selectExpr("event_id", "false AS filled", "__err_kind AS kind"))
+
+
+@query("SELECT 'pick' AS stage, 'c' AS name, 'click' AS target, count(*) AS total, count(*) AS success, 100.0::DOUBLE AS suc_rate FROM events WHERE event_type = 'click'")
+def stat_target(spark, sf):
+    return stats.counters(table(spark, sf, "events"), stats.Request("c", "pick", target="click"), rule="event_type")
+
+
+@query("SELECT 'parse' AS stage, 'r' AS name, 'all' AS target, event_type AS t, count(*) AS total, count(*) AS success, 100.0::DOUBLE AS suc_rate FROM events GROUP BY event_type")
+def stat_records(spark, sf):
+    """Counters of parsed fields as records, as the monitor output gets them."""
+    engine = Engine.of("rule r { (digit:n, chars:t) }")
+    parsed = engine.parse(_lines(table(spark, sf, "events"), "concat(user_id, ' ', event_type)"))
+    return engine.monitor(parsed, stats.Request("r", "parse", ("t",)))
+
+
+@query("SELECT 'show' AS form, n_nationkey, n_name FROM nation UNION ALL SELECT 'raw', n_nationkey, n_name FROM nation")
+def sink_plain_formats(spark, sf):
+    """Forms without a fixed layout hold every value."""
+    df = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    out = None
+    for form in ("show", "raw"):
+        one = df.select(F.lit(form).alias("form"), "n_nationkey", F.when(F.contains(line(df.schema, form), F.col("n_name")), F.col("n_name")).alias("n_name"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # -- the flagship: lines -> fields -> model with lookup -> sinks
 
 
