@@ -59,11 +59,19 @@ def cut(df: DataFrame, tag: str, instead: DataFrame | None = None) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
-    if instead is not None and getattr(instead, "_cut_path", None):
-        _remove(spark, instead._cut_path)
+    if instead is not None:
+        uncut(instead)
     return out
 
 
+def uncut(df: DataFrame) -> None:
+    """Removes a cut that nothing needs any more, and lets Spark drop the shuffles of frames that are gone."""
+    spark = df.sparkSession
+    if getattr(df, "_cut_path", None):
+        _remove(spark, df._cut_path)
+        spark._jvm.System.gc()
+
+
 def clear_cuts(spark: SparkSession) -> None:
     """Removes all tables that ``cut`` wrote in this application, for when the results of its queries have been taken."""
     _remove(spark, _cuts(spark))

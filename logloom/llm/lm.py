@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, row_keys, views
-from .packed import CONTEXT_BITS, HASHED, WORD_BITS, Pairs, distinct, numbers, planes
+from .common import cut, release, row_keys, uncut, views
+from .packed import CONTEXT_BITS, HASHED, WORD_BITS, Pairs, counted, distinct, numbers, planes
 from .tokens import LOWER, mix
 
 LETTERS = 32
@@ -85,12 +85,31 @@ class Codes:
     buckets: int
 
     def words(self, h: np.ndarray) -> np.ndarray:
-        """The code of each word."""
+        """The code of each word: by the leading bits of its hash, then by search where several words share those."""
         if not len(self.top):
             return h
-        at = np.searchsorted(self.top, h)
-        at[at == len(self.top)] = 0
-        return np.where(self.top[at] == h, at.astype(np.uint64), h)
+        slot, shift = self._slots()
+        at = slot[((h & ~HASHED) >> shift).astype(np.int64)]
+        many = np.flatnonzero(at < -1)
+        if len(many):
+            at[many] = np.minimum(np.searchsorted(self.top, h[many]), len(self.top) - 1)
+        return np.where((at >= 0) & (self.top[at] == h), at.astype(np.uint64), h)
+
+    def _slots(self) -> tuple[np.ndarray, np.uint64]:
+        """For each value of the leading bits the word that has them, -1 for none, -2 for several."""
+        if "made" not in self.__dict__:
+            bits = min(22, len(self.top).bit_length() + 5)
+            shift = np.uint64(63 - bits)
+            slot = np.full(1 << bits, -1, np.int32)
+            own = ((self.top & ~HASHED) >> shift).astype(np.int64)
+            slot[own] = np.arange(len(own))
+            times = np.bincount(own, minlength=1 << bits)
+            slot[times > 1] = -2
+            self.made = slot, shift
+        return self.made
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "made"}
 
     def contexts(self, y: np.ndarray, k: np.ndarray) -> np.ndarray:
         """The code of each token's restaurant, from the codes of a text's tokens and their contexts above."""
@@ -177,8 +196,7 @@ def _train(texts: DataFrame, codes: Codes) -> DataFrame:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            pairs, order, at = distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            c = np.diff(np.append(at, len(order)))
+            pairs, c = counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
             rows = [(int(b), *part.pack(), planes(c[own])) for b, part, own in _dealt(pairs, shared.value)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], names=["bucket", "a", "b", "c", "n"])
 
@@ -264,9 +282,9 @@ def _bucket_row(bucket: int, pairs: Pairs, n: np.ndarray, t: np.ndarray) -> pa.R
 _PART = 1 << 10
 
 
-def _tables(pairs: DataFrame) -> DataFrame:
-    """(h, k, t): tables of each word in each context above, summed over all restaurants of words. Frequent words are summed
-    within a task in one array, and handed on in deflated parts."""
+def _tables(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, k, t): tables of each word in each context above, summed over all restaurants of words; and the cut that they are
+    read from. Frequent words are summed within a task in one array, and handed on in deflated parts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(FREQUENT * CONTEXTS, np.uint32)
@@ -308,7 +326,7 @@ def _tables(pairs: DataFrame) -> DataFrame:
     # two rounds, so that no group grows with the number of tasks alone
     partial = made.where("part IS NOT NULL").groupBy("part", "salt").applyInArrow(add, "part int, sums binary")
     dense = partial.groupBy("part").applyInArrow(add, "part int, sums binary").mapInArrow(spread, "h long, k short, t long")
-    return dense.unionByName(made.where("part IS NULL").groupBy("h", "k").agg(F.sum("t").alias("t")))
+    return dense.unionByName(made.where("part IS NULL").groupBy("h", "k").agg(F.sum("t").alias("t"))), made
 
 
 def _heads(pairs: DataFrame, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
@@ -663,7 +681,7 @@ def fit(texts: DataFrame, passes: int = 3, burn: int = 3, keep: int = 4, frequen
     customers, tables = _heads(pairs, codes)
     one, two = customers[-2:]
     discount, strength = min(0.95, max(0.05, one / max(1.0, one + 2 * two))), Restaurants.strength
-    start = _above(_tables(pairs), counts, n, 1, burn, 1)
+    start = _above(pairs, counts, n, 1, burn, 1)
     upper = Upper(codes, _frequent_probabilities(start, codes), customers[:-2], tables[:-2], discount, strength)
     shared = spark.sparkContext.broadcast(upper)
 
@@ -690,9 +708,11 @@ def fit(texts: DataFrame, passes: int = 3, burn: int = 3, keep: int = 4, frequen
         release()
 
     answers = _answers(pairs.mapInArrow(many, "bucket int, h long, k short"), start)
-    seated = cut(_dealt_again(pairs, answers).mapInArrow(seat, _BUCKET), "lm-seated")
-    model = _above(_tables(seated), counts, n, passes, burn, keep)
+    seated = cut(_dealt_again(pairs, answers).mapInArrow(seat, _BUCKET), "lm-seated", pairs)
+    uncut(start.words)
+    model = _above(seated, counts, n, passes, burn, keep)
     customers, tables = _heads(seated, codes)
+    uncut(vocabulary)
     model.pairs = seated
     model.upper = Upper(codes, _frequent_probabilities(model, codes), customers[:-2], tables[:-2], discount, strength)
     return model
@@ -745,10 +765,11 @@ def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _above(tables: DataFrame, counts: DataFrame, n: int, passes: int, burn: int, keep: int) -> Model:
+def _above(pairs: DataFrame, counts: DataFrame, n: int, passes: int, burn: int, keep: int) -> Model:
     """The levels above the restaurants of words, whose customers are the tables of pairs (h, k, t)."""
+    tables, read = _tables(pairs)
     lists = tables.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("e")).join(counts, "h")
-    words = cut(lists.select("h", F.col("e.k").alias("ks"), F.col("e.t").alias("cs"), "c", "g"), "lm-words")
+    words = cut(lists.select("h", F.col("e.k").alias("ks"), F.col("e.t").alias("cs"), "c", "g"), "lm-words", read)
     by = {row.k: row.c for row in words.select(F.explode(F.arrays_zip("ks", "cs")).alias("e")).groupBy("e.ks").agg(F.sum("e.cs").alias("c")).select(F.col("ks").alias("k"), "c").collect()}
     c2 = np.array([by.get(k, 0) for k in range(CONTEXTS)], np.float64)
     vocabulary = words.count()
@@ -774,7 +795,7 @@ def _above(tables: DataFrame, counts: DataFrame, n: int, passes: int, burn: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(p0), letters, at1, batch.column(1), at2], names=["h", "c", "p0", "letters", "p1", "ks", "p2"])
 
     sampled = words.select("h", "ks", "cs", "c", "g").mapInArrow(run, "h long, c long, p0 double, letters array<short>, p1 array<double>, ks array<short>, p2 array<double>")
-    return Model(cut(sampled, "lm-model"), r, n).normalised()
+    return Model(cut(sampled, "lm-model", words), r, n).normalised()
 
 
 #: Columns of what buckets get from documents: pairs, entries of each pair, copies and document of each entry.

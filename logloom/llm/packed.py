@@ -91,3 +91,12 @@ def distinct(x: np.ndarray, y: np.ndarray) -> tuple[Pairs, np.ndarray, np.ndarra
         first[len(a)] = True
     at = np.flatnonzero(first)
     return Pairs(x[at], y[at], int(np.searchsorted(at, len(a)))), order, at
+
+
+def counted(x: np.ndarray, y: np.ndarray) -> tuple[Pairs, np.ndarray]:
+    """Distinct pairs in order, and how often each occurs."""
+    small = (x >> np.uint64(63) | y >> np.uint64(63)) == 0
+    key, n = np.unique(x[small] << np.uint64(WORD_BITS) | y[small], return_counts=True)
+    rest, order, at = distinct(x[~small], y[~small])
+    pairs = Pairs(np.concatenate((key >> np.uint64(WORD_BITS), rest.x)), np.concatenate((key & np.uint64((1 << WORD_BITS) - 1), rest.y)), len(key))
+    return pairs, np.concatenate((n, np.diff(np.append(at, len(order)))))
