@@ -21,16 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, cut, keep_columns, row_keys, views
+from .common import add_columns, cut, keep_columns, row_keys, uncut, views
 from .filters import among, hash_bits, parted
 from .tokens import PLAIN, mix, powers, windows
 
 _CHUNK = 1 << 18
 
 
-def path_pieces(words: np.ndarray, size: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
+def path_pieces(words: np.ndarray, size: int, anchor: int, upto: int = 3) -> Iterator[tuple[np.ndarray, ...]]:
     """Path pieces of a document, in chunks: minimizer, content, first window, number of windows, the nodes where they start
-    and end, and the window hashes."""
+    and end, and the window hashes. ``upto``: 1 for minimizers alone, 2 for all but the window hashes."""
     total, span = len(words) - size + 1, size - anchor + 1
     for at in range(0, max(0, total), _CHUNK):
         own = words[at : at + _CHUNK + size - 1]
@@ -45,6 +45,9 @@ def path_pieces(words: np.ndarray, size: int, anchor: int) -> Iterator[tuple[np.
             best = np.where(right, best[step:], best[:-step])
             width += step
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        if upto == 1:
+            yield (best[first],)
+            continue
         count = np.diff(np.append(first, n))
         up, down = powers(len(own) + 1)
         sums = np.zeros(len(own) + 1, np.uint64)
@@ -52,7 +55,8 @@ def path_pieces(words: np.ndarray, size: int, anchor: int) -> Iterator[tuple[np.
         content = mix((sums[first + count + size - 1] - sums[first]) * down[first] + mix((place[first] - first).astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64)))
         last = first + count
         start, end = (mix((sums[x + size - 1] - sums[x]) * down[x]) for x in (first, last))
-        yield best[first], content, first + at, count, start, end, windows(own, size)
+        found = best[first], content, first + at, count, start, end
+        yield (*found, windows(own, size)) if upto == 3 else found
 
 
 def _hashes(text: np.ndarray, salt: int) -> np.ndarray:
@@ -65,7 +69,7 @@ def _minimizers(df: DataFrame, text: str, size: int, anchor: int, salt: int) ->
         for batch in batches:
             held, n = [], 0
             for view in views(batch.column(0)):
-                for piece in path_pieces(_hashes(view, salt), size, anchor) if view is not None else ():
+                for piece in path_pieces(_hashes(view, salt), size, anchor, 1) if view is not None else ():
                     held.append(piece[0])
                     n += len(piece[0])
                 if n > 1 << 20:
@@ -91,10 +95,10 @@ def _pieces(df: DataFrame, size: int, anchor: int, salt: int, shared) -> DataFra
             held: list[tuple] = []
             n = 0
             for i, view in enumerate(views(batch.column(2))):
-                for piece in path_pieces(_hashes(view, salt), size, anchor) if view is not None else ():
+                for piece in path_pieces(_hashes(view, salt), size, anchor, 2) if view is not None else ():
                     may = among(bits, piece[0])
                     if may.any():
-                        held.append((np.full(int(may.sum()), k1[i]), np.full(int(may.sum()), k2[i]), *(x[may] for x in piece[:6])))
+                        held.append((np.full(int(may.sum()), k1[i]), np.full(int(may.sum()), k2[i]), *(x[may] for x in piece)))
                         n += len(held[-1][0])
                 if n > 1 << 18:
                     yield rows(held)
@@ -193,7 +197,7 @@ def find_repeats(df: DataFrame, text: str = "text", size: int = 35, anchor: int
     shared = spark.sparkContext.broadcast(hash_bits(counted))
 
     keyed = df.select(*row_keys(df, ("k1", "k2")), F.col(f"`{text}`").cast("string").alias("t"))
-    found = cut(_pieces(keyed, size, anchor, salt, shared), "repeat-pieces")
+    found = cut(_pieces(keyed, size, anchor, salt, shared), "repeat-pieces", counted)
 
     grouped = found.groupBy("h", "content").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("n", "start", "end")])
     paths = cut(grouped.withColumn("p", F.monotonically_increasing_id()), "repeat-paths")
@@ -203,10 +207,10 @@ def find_repeats(df: DataFrame, text: str = "text", size: int = 35, anchor: int
     hashes = hashes.groupBy("content").agg(F.first("w").alias("w"))
     edges = cut(branches.join(hashes, "content").select("p", "c", F.posexplode("w").alias("i", "e")), "repeat-edges")
     repeated = edges.groupBy("e").agg(F.sum("c").alias("times")).where("times > 1").select("e")
-    partial = edges.join(repeated, "e").groupBy("p").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    partial = cut(edges.join(repeated, "e").groupBy("p").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask")), "repeat-partial", edges)
     plain = cut(paths.where("c > 1").join(branches.select("p"), "p", "left_anti").select("p", "n", "start", "end"), "repeat-plain")
     chained = plain.select("p", "n").join(_chains(plain), "p", "left").select("p", "n", F.coalesce("head", "p").alias("head"), F.coalesce("offset", F.lit(0)).alias("offset"))
-    chained = cut(chained, "repeat-chained")
+    chained = cut(chained, "repeat-chained", plain)
     lengths = chained.groupBy("head").agg(F.sum("n").alias("length"))
     placed = chained.join(lengths, "head").select("p", "head", "offset", "length", F.lit(None).cast("long").alias("mask"))
     placed = placed.unionByName(partial.select("p", F.col("p").alias("head"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), "mask"))
@@ -214,17 +218,19 @@ def find_repeats(df: DataFrame, text: str = "text", size: int = 35, anchor: int
     spans = found.select("k1", "k2", "h", "content", "first", "n").join(named, ["h", "content"]).withColumn("at", F.col("first") - F.col("offset"))
     runs = spans.groupBy("k1", "k2", "head", "at").agg(F.first("length").alias("length"), F.collect_set(F.struct("first", "n", "p", "mask")).alias("own"))
     covered = F.aggregate("own", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
-    runs = cut(runs.withColumn("whole", (F.col("length") > 0) & (covered == F.col("length"))), "repeat-runs")
+    runs = cut(runs.withColumn("whole", (F.col("length") > 0) & (covered == F.col("length"))), "repeat-runs", found)
+    for done in (paths, branches, chained, partial):
+        uncut(done)
     broken = runs.where("length > 0 and not whole").select("head").distinct().withColumn("broken", F.lit(True))
     chain = F.array(F.struct(F.lit(_CHAIN).alias("kind"), F.col("at").cast("int").alias("first"), F.col("length").cast("int").alias("n"), F.lit(None).cast("long").alias("mask"), F.col("head").alias("unit")))
     single = F.transform("own", lambda x: F.struct(F.when(x["mask"].isNull(), _PATH).otherwise(_WINDOWS).alias("kind"), x["first"].alias("first"), x["n"].alias("n"), x["mask"].alias("mask"), x["p"].alias("unit")))
     listed = runs.join(broken, "head", "left").select("k1", "k2", F.explode(F.when(F.col("whole") & F.col("broken").isNull(), chain).otherwise(single)).alias("hit"))
-    hits = cut(listed.groupBy("k1", "k2").agg(F.collect_list("hit").alias("_hits")), "repeat-hits")
+    hits = cut(listed.groupBy("k1", "k2").agg(F.collect_list("hit").alias("_hits")), "repeat-hits", runs)
 
     kept = keep_columns(df, ["n_words", "n_removed", "removed", "kept"])
     keyed = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])], *row_keys(df))
     untouched, others = parted(keyed, "_k1", hash_bits(hits, "k1"))
-    met = cut(others.join(hits.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"], "left"), "repeat-met")
+    met = cut(others.join(hits.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"], "left"), "repeat-met", hits)
     read = _read(met.where(F.col("_hits").isNotNull()).select(F.col(f"`{text}`").cast("string").alias("t"), "_hits"), size, salt)
     clash = read.groupBy("kind", "unit").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a != b")
     if not clash.isEmpty():
