@@ -30,10 +30,10 @@ ALTERNATIVES = 16
 
 
 class Knowledge:
-    """Named tables with a row number that keeps the order of loading."""
+    """Named tables with a row number that keeps the order of loading. ``allowed``: the only names that may be loaded."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, allowed: set[str] | None = None):
+        self.spark, self.allowed = spark, allowed
         self.tables: dict[str, DataFrame] = {}
         self._sizes: dict[str, tuple[DataFrame, int]] = {}
 
@@ -44,8 +44,13 @@ class Knowledge:
             self._sizes[name] = (df, df.count())
         return self._sizes[name][1]
 
+    def _check(self, name: str) -> None:
+        if self.allowed is not None and name not in self.allowed:
+            raise ModelError(f"table {name} is not among the allowed ones")
+
     def add(self, name: str, df: DataFrame, order: list[str] | None = None) -> Knowledge:
         """Registers a table. ``order``: columns that give the order of its rows; else all its columns do."""
+        self._check(name)
         by = [F.col(f"`{c}`") for c in (order or df.columns)]
         # a position within the order needs no global window: comparing the ordering columns themselves is enough
         self.tables[name] = df.withColumn(ROW, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(by)]))
@@ -57,6 +62,7 @@ class Knowledge:
         ``schema``: target -> type. ``expected``: least and most rows; too few is an error, too many a warning.
         ``on_error``: ``skip`` leaves malformed rows out, ``fail`` raises.
         """
+        self._check(name)
         reader = self.spark.read.option("header", header).option("sep", delimiter).option("encoding", "UTF-8").option("mode", "DROPMALFORMED" if on_error == "skip" else "FAILFAST")
         if trim:
             reader = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)

@@ -38,6 +38,7 @@ class _Scope:
         self.source = {f.name: Value(F.col(f"`{f.name}`"), kind_of(f.dataType), _members(f.dataType)) for f in df.schema.fields}
         self.out: dict[str, Value] = {}
         self.statics: dict[str, Value] = {}
+        self.failed: dict[str, Column] = {}
 
     def find(self, name: str, verb: str) -> Value | None:
         name = name.lstrip("/") if name not in self.source else name
@@ -245,9 +246,12 @@ def _match(s: _Scope, e: Match, target: str) -> Value | None:
     return Value(out.otherwise(convert(default, kind).column) if default is not None else out, kind)
 
 
-def apply_model(df: DataFrame, model: Model | str, knowledge: Knowledge | None = None, now: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def apply_model(df: DataFrame, model: Model | str, knowledge: Knowledge | None = None, now: Column | None = None, keep: tuple[str, ...] = (), failed: str | None = None) -> DataFrame:
     """The model's targets as columns, after the columns ``keep`` of the input.
 
+    A value that its declared type cannot take is null, since a column has one type; with ``failed`` a last column of that
+    name maps the targets where it happened to the text that was there (empty where all is well).
+
     ``now`` stands for the clock (default: the local time of the query). Targets whose names begin with two underscores
     can be read later and are not in the result. Of equal targets the first wins. A wildcard target copies what is left
     of the source and not yet produced; with a type, it takes columns of that type.
@@ -262,7 +266,18 @@ def apply_model(df: DataFrame, model: Model | str, knowledge: Knowledge | None =
     for n, item in enumerate(model.items):
         _item(s, item, n, knowledge)
     shown = {n: v for n, v in s.out.items() if not n.startswith("__")}
-    return s.df.select(*[F.col(f"`{c}`") for c in keep], *[v.column.alias(n) for n, v in shown.items()])
+    lost = [F.map_filter(F.create_map(*[x for n, c in s.failed.items() for x in (F.lit(n), c)]) if s.failed else F.create_map().cast("map<string,string>"), lambda _, t: t.isNotNull()).alias(failed)] if failed else []
+    return s.df.select(*[F.col(f"`{c}`") for c in keep], *[v.column.alias(n) for n, v in shown.items()], *lost)
+
+
+def _put(s: _Scope, target, v: Value) -> None:
+    """A target's value in its declared type, and the text of values that do not fit."""
+    if target.name in s.out:
+        return
+    made = convert(v, target.kind)
+    s.out[target.name] = made
+    if made is not v and v.kind in ("chars", "auto") and target.kind != "chars":
+        s.failed[target.name] = F.when(made.column.isNull(), v.column.cast("string"))
 
 
 def _item(s: _Scope, item: Item, n: int, knowledge: Knowledge | None) -> None:
@@ -272,7 +287,7 @@ def _item(s: _Scope, item: Item, n: int, knowledge: Knowledge | None) -> None:
             raise ModelError("a lookup needs a knowledge store")
         s.df, made = lookup(s.df, item.value, knowledge, lambda g: _get(s, g, first.name), f"_l{n}", lambda e: _value(s, e, first.name))
         for t, v in zip(item.targets, made, strict=False):
-            s.out.setdefault(t.name, convert(v, t.kind))
+            _put(s, t, v)
         return
     if "*" in first.name:
         verb = item.value.verb if isinstance(item.value, Get) else "take"
@@ -290,4 +305,4 @@ def _item(s: _Scope, item: Item, n: int, knowledge: Knowledge | None) -> None:
         v = _value(s, item.value, t.name)
         if t.name == "_" or v is None:
             continue
-        s.out.setdefault(t.name, convert(v, t.kind))
+        _put(s, t, v)

@@ -6,8 +6,10 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.lookup import Knowledge
@@ -22,7 +24,13 @@ from ..sinks.writers import write
 
 @dataclass
 class Engine:
-    """Rules, models, routes and sinks of a run. ``outputs``: sink name -> (kind, options)."""
+    """Rules, models, routes and sinks of a run. ``outputs``: sink name -> (kind, options).
+
+    A sink with replicas is ``name#0``, ``name#1`` and so on in ``outputs``, and each record goes to one of them, by a hash of
+    its values. ``ledger``: a folder that notes what arrived of each micro-batch; a batch that a stream runs again after a
+    failure then leaves out those sinks (without it delivery is at least once). ``failed`` names the column of records that
+    keeps the text of values that their type could not take.
+    """
 
     rules: list[Rule]
     models: list[Model] = field(default_factory=list)
@@ -32,6 +40,8 @@ class Engine:
     fields: dict[str, dict[str, str]] = field(default_factory=dict)
     rescue: str | None = None
     stats: list[Request] = field(default_factory=list)
+    ledger: str | None = None
+    failed: str | None = None
 
     @classmethod
     def of(cls, rules: str, models: list[str] | None = None, **more) -> Engine:
@@ -66,7 +76,7 @@ class Engine:
         plain = field_columns(own.drop(*clash), fields, extras=None if "extras" in fields else "extras")
         rest = [c for c in ("event_id", "src_key", "payload", "tags", "ups_ip") if c in plain.columns]
         model = model_of_rule(rule.key, self.models)
-        return apply_model(plain.drop(*rest), model, self.knowledge) if model is not None else plain.drop(*rest)
+        return apply_model(plain.drop(*rest), model, self.knowledge, failed=self.failed) if model is not None else plain.drop(*rest)
 
     def group(self, rule: Rule) -> SinkGroup | None:
         name = self.routes.group_of_rule(rule.key)
@@ -76,30 +86,57 @@ class Engine:
         """Parses once, keeps the classified rows, and writes each sink and side output from them."""
         parsed = self.parse(events).persist(StorageLevel.MEMORY_AND_DISK)
         sent: dict[str, bool] = {}
+        before = self._arrived(events.sparkSession, batch)
+
+        def send(df: DataFrame, output: str, what: str) -> None:
+            if what in before:
+                sent[what] = True
+                return
+            sent[what] = self._send(df, output)
+            if sent[what] and batch is not None and self.ledger is not None:
+                df.sparkSession.createDataFrame([(batch, what)], "batch long, what string").coalesce(1).write.mode("append").json(self.ledger)
+
         try:
             sides = infra_streams(parsed)
             for name in ("miss", "residue"):
                 if name in self.outputs:
-                    sent[name] = self._send(sides[name], name)
+                    send(sides[name], name, name)
             for request in self.stats if "monitor" in self.outputs else ():
-                sent[f"monitor:{request.name}"] = self._send(self.monitor(parsed, request), "monitor")
+                send(self.monitor(parsed, request), "monitor", f"monitor:{request.name}")
             for rule in self.rules:
                 group = self.group(rule)
                 records = self.records(sides["accepted"], rule)
                 if "error" in self.outputs and model_of_rule(rule.key, self.models) is not None and records.columns:
-                    records, empty = empty_results(records, records.columns)
-                    sent[f"error:{rule.key}"] = self._send(empty, "error")
+                    records, empty = empty_results(records, [c for c in records.columns if c != self.failed])
+                    send(empty, "error", f"error:{rule.key}")
                 if group is None:
                     if self.routes.default in self.outputs:
-                        sent[f"{self.routes.default}:{rule.key}"] = self._send(records, self.routes.default)
+                        send(records, self.routes.default, f"{self.routes.default}:{rule.key}")
                     continue
                 for sink in group.sinks:
+                    own = for_sink(records, sink)
                     if sink.name in self.outputs:
-                        sent[f"{sink.name}:{rule.key}"] = self._send(for_sink(records, sink), sink.name)
+                        send(own, sink.name, f"{sink.name}:{rule.key}")
+                    for i in range(sink.replicas if sink.replicas > 1 else 0):
+                        name = f"{sink.name}#{i}"
+                        if name in self.outputs:
+                            share = F.pmod(F.xxhash64(*[F.to_json(c) if isinstance(records.schema[c].dataType, (T.MapType, T.StructType)) else F.col(f"`{c}`") for c in records.columns]), F.lit(sink.replicas))
+                            send(own.where(share == i), name, f"{name}:{rule.key}")
         finally:
             parsed.unpersist()
         return sent
 
+    def _arrived(self, spark: SparkSession, batch: int | None) -> set[str]:
+        if batch is None or self.ledger is None:
+            return set()
+        try:
+            noted = spark.read.schema("batch long, what string").json(self.ledger)
+            return {r.what for r in noted.where(F.col("batch") == batch).collect()}
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return set()
+
     def monitor(self, parsed: DataFrame, request: Request) -> DataFrame:
         """Counter rows of a request over classified events: successes are accepted rows, dimensions are fields."""
         from ..operators.parse import field as value

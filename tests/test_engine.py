@@ -1,4 +1,5 @@
 import json
+import shutil
 import socket
 import threading
 import time
@@ -197,3 +198,23 @@ def test_samples_and_profiles(spark):
     assert [r.rows for r in plan.collect()] == [10, 6, 6, 12]
     n = generate.timed(spark, generate.from_samples(spark, ["x"], 100), plan).groupBy("second").count()
     assert {r.second: r["count"] for r in n.collect()} == {0: 10, 1: 6, 2: 6, 3: 12}
+
+
+def test_replicas_and_batches_that_run_again(spark, tmp_path):
+    out = lambda n: str(tmp_path / n)
+    group = SinkGroup("g", ("/r",), (), (Sink("one"), Sink("many", None, True, (), 3)))
+    outputs = {"one": ("file", {"path": out("one"), "format": "json"})} | {f"many#{i}": ("file", {"path": out(f"many{i}"), "format": "json"}) for i in range(3)}
+    engine = Engine.of("rule r { (digit:n) }", routes=Routes([group]), outputs=outputs, ledger=out("ledger"))
+    events = spark.range(90).selectExpr("cast(id as string) AS payload")
+    assert all(engine.deliver(events, 1).values())
+    parts = [spark.read.text(out(f"many{i}")).count() for i in range(3)]
+    assert sum(parts) == 90 and min(parts) > 10
+    # the same batch once more adds nothing, but for a sink that it had not reached
+    shutil.rmtree(out("ledger"))
+    spark.createDataFrame([(1, "one:/r")], "batch long, what string").write.json(out("ledger"))
+    engine.deliver(events, 1)
+    assert spark.read.text(out("one")).count() == 90 and sum(spark.read.text(out(f"many{i}")).count() for i in range(3)) == 180
+    engine.deliver(events, 1)
+    assert sum(spark.read.text(out(f"many{i}")).count() for i in range(3)) == 180
+    engine.deliver(events, 2)
+    assert spark.read.text(out("one")).count() == 180

@@ -214,3 +214,18 @@ def test_json_text_of_a_megabyte(spark):
     long = 'a\\"b\\u0041' * 100_000
     row = spark.createDataFrame([(long, long + '"')], "a string, b string").select(v.json_unescape(F.col("a")), v.json_unescape(F.col("b"))).first()
     assert row[0] == 'a"bA' * 100_000 and row[1] == long + '"'
+
+
+def test_text_of_failed_conversions(spark):
+    df = spark.createDataFrame([("5", "x", "1.2.3.4"), ("five", "true", "none"), (None, None, None)], "a string, b string, c string")
+    out = model(df, "n : digit = read(a) ; f : bool = read(b) ; i : ip = read(c) ; s : chars = read(a) ;", failed="lost").collect()
+    assert [r.lost for r in out] == [{"f": "x"}, {"n": "five", "i": "none"}, {}]
+    assert [(r.n, r.f, r.s) for r in out] == [(5, None, "5"), (None, True, "five"), (None, None, None)]
+    assert model(df, "s = read(a) ;", failed="lost").first().lost == {}
+
+
+def test_only_allowed_tables_are_loaded(spark):
+    k = Knowledge(spark, {"good"}).add("good", spark.range(3))
+    with pytest.raises(ModelError):
+        k.add("bad", spark.range(3))
+    assert k.size("good") == 3

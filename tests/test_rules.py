@@ -143,3 +143,8 @@ def test_fields_of_a_megabyte(spark, filler):
     got = parse_events(spark.createDataFrame(lines, "payload string"), DEPOT).select("parsed.status", field("origin"), field("tool")).collect()
     assert got[0].status == "ok" and len(got[0][1]) == len(long) + len("https:///in")
     assert got[1].status == "ok" and long in got[1][2]
+
+
+def test_blanks_before_a_denied_field_stay_read():
+    assert run("not(symbol(err)), (chars:c)", "  warn") == ("ok", [("symbol", None), ("c", "warn")], "")
+    assert run("not(peek_symbol(err)), (chars:c)", "warn")[0] == "ok"
