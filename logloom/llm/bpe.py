@@ -190,16 +190,69 @@ def safe_cuts(text: str, size: int = CHUNK) -> Iterator[str]:
     yield text[at:]
 
 
+#: Letters that the library lowers and Python does not yet, as first and last one and the step to the lower one.
+LATER_LOWER = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+#: Marks that NFC puts in order in Python and that the library, whose tables are older, leaves where they are.
+LATER_MARKS = (
+    "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B"
+    " 1145E 11839-1183A 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+
+
+def _ranges(text: str) -> str:
+    return "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in text.split())
+
+
+_LOWER = {c: c + step for first, last, step in LATER_LOWER for c in range(first, last + 1)}
+_MARK = regex.compile(f"([{_ranges(LATER_MARKS)}])")
+_RARE = regex.compile(f"[{_ranges(LATER_MARKS)}{''.join(map(chr, _LOWER))}]")
+
+
 def normalise(text: str) -> str:
     """NFC, white-space runs to a space, then lower case letter by letter (no final-sigma rule)."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if _RARE.search(text):
+            # what lies between such marks is put in order by itself
+            text = "".join(unicodedata.normalize("NFC", part) for part in _MARK.split(text)).translate(_LOWER)
+        else:
+            text = unicodedata.normalize("NFC", text)
+        text = text.replace("Σ", "σ")
     return _SPACE.sub(" ", text).lower()
 
 
-#: Pre-tokens of the tokenizer file; what matches none of them is dropped.
-PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACES}\p{{L}}\p{{N}}]+")
-_LETTER = regex.compile(r"\p{L}")
+#: Letters and numbers of Unicode versions later than the library's, which are neither to it.
+LATER_LETTERS = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A"
+    " 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6"
+    " 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD"
+    " 323B0-33479 3D000-3FC3F"
+)
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+
+
+class Classes:
+    """The pre-tokens of the tokenizer file (what matches none of them is dropped), and the runs that they are made of."""
+
+    def __init__(self, letters: str, numbers: str, others: str):
+        self.pretoken = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letters}+|{numbers}|{others}+")
+        self.letters, self.others = regex.compile(rf"(?V1){letters}*"), regex.compile(rf"(?V1){others}*")
+
+    def kind(self, c: str) -> str:
+        return "L" if self.letters.match(c).end() else "O" if self.others.match(c).end() else "S"
+
+
+_USUAL = Classes(r"[\p{L}]", r"[\p{N}]", rf"[^{SPACES}\p{{L}}\p{{N}}]")
+_PINNED = Classes(rf"[\p{{L}}--[{_ranges(LATER_LETTERS)}]]", rf"[\p{{N}}--[{_ranges(LATER_NUMBERS)}]]", rf"[[^{SPACES}\p{{L}}\p{{N}}]||[{_ranges(LATER_LETTERS + ' ' + LATER_NUMBERS)}]]")
+_LATER = regex.compile(f"[{_ranges(LATER_LETTERS + ' ' + LATER_NUMBERS)}]")
+
+
+def classes(text: str) -> Classes:
+    """The classes that hold for this text; the pinned ones are slower, and differ only for letters that hardly occur."""
+    return _USUAL if text.isascii() or not _LATER.search(text) else _PINNED
+
+
+def _pretokens(text: str) -> list[str]:
+    return classes(text).pretoken.findall(text)
 
 
 class Encoder:
@@ -231,16 +284,13 @@ class Encoder:
                     out[i] = self._ids(words[i])
         return out
 
-    def _class(self, c: str) -> str:
-        return "L" if _LETTER.match(c) else "S" if regex.match(rf"[{SPACES}\p{{N}}]", c) else "O"
-
     def _push(self, text: str, last: bool) -> list[str]:
         """Normalised text; ``last``: nothing follows in this segment."""
         out: list[str] = []
         if self.long is not None:
             stop = 0
-            pattern = regex.compile(r"\p{L}*" if self.kind == "L" else rf"[^{SPACES}\p{{L}}\p{{N}}]*")
-            stop = pattern.match(text).end()
+            own = classes(text)
+            stop = (own.letters if self.kind == "L" else own.others).match(text).end()
             out += map(str, self.long.feed(text[:stop].encode()))
             text = text[stop:]
             if not text and not last:
@@ -249,16 +299,18 @@ class Encoder:
             self.long = None
         text = self.rest + text
         self.rest = ""
+        own = classes(text)
+        pretoken = own.pretoken
         if last:
-            return out + self._words(PRETOKEN.findall(text))
+            return out + self._words(pretoken.findall(text))
         # the last two pre-tokens may still change when more text comes: an apostrophe and its suffix, or a longer run
         if text and text[-1] in SPACES:
-            return out + self._words(PRETOKEN.findall(text))
+            return out + self._words(pretoken.findall(text))
         tail = text[-4 * self.v.window :]
         base = len(text) - len(tail)
-        spans = [m.span() for m in PRETOKEN.finditer(tail)]
+        spans = [m.span() for m in pretoken.finditer(tail)]
         if base and (not spans or len(spans) < 4):
-            spans = [m.span() for m in PRETOKEN.finditer(text)]
+            spans = [m.span() for m in pretoken.finditer(text)]
             base = 0
         elif base:
             spans = spans[2:]
@@ -268,15 +320,15 @@ class Encoder:
             cut = base + spans[-2][0]
         if cut:
             # whole pre-tokens before the cut are found from the start: the cut lies between pre-tokens
-            out += self._words(PRETOKEN.findall(text[:cut]))
+            out += self._words(pretoken.findall(text[:cut]))
         self.rest = text[cut:]
         if len(self.rest) > 2 * self.v.window:
             # one very long pre-token at the end: stream it
-            spans = [m.span() for m in PRETOKEN.finditer(self.rest)]
+            spans = [m.span() for m in pretoken.finditer(self.rest)]
             a, b = spans[-1]
             if b == len(self.rest) and b - a > self.v.window:
-                out += self._words(PRETOKEN.findall(self.rest[:a]))
-                self.kind = self._class(self.rest[a])
+                out += self._words(pretoken.findall(self.rest[:a]))
+                self.kind = own.kind(self.rest[a])
                 self.long = WordStream(self.v)
                 out += map(str, self.long.feed(self.rest[a:].encode()))
                 self.rest = ""
@@ -297,7 +349,7 @@ def encode_stream(v: Vocabulary, text: str, cache: dict[str, str] | None = None)
     def segment(part: str) -> Iterator[list[str]]:
         if len(part) <= CHUNK:
             encoder = Encoder(v, cache)
-            yield encoder._words(PRETOKEN.findall(normalise(part)))
+            yield encoder._words(_pretokens(normalise(part)))
             return
         encoder = Encoder(v, cache)
         for piece in safe_cuts(part):
