@@ -1,7 +1,7 @@
 """Bit maps of 64-bit hashes, used only to leave surely useless rows out of a shuffle.
 
-A map is sized by the number of its hashes, eight bits for each, between half a MB and 32 MB. Beyond some 33 million hashes
-it stays at the largest size and lets more rows pass, with the same result.
+A map is sized by the number of its hashes, 32 bits for each, between half a MB and 32 MB. Beyond some 8 million hashes
+it stays at the largest size; then more rows pass in vain, with the same result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ LEAST, MOST = 22, 28
 def hash_bits(hashes: DataFrame, column: str = "h", n: int | None = None) -> np.ndarray:
     """The bit map of a column of hashes, ``n`` of them at most (counted if not given); a row for each 64 bits reaches the driver."""
     n = hashes.count() if n is None else n
-    bits = min(MOST, max(LEAST, (8 * n).bit_length()))
+    bits = min(MOST, max(LEAST, (32 * n).bit_length()))
     word = F.shiftrightunsigned(F.col(column), 64 - bits + 6).cast("int")
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")
     out = np.zeros(1 << (bits - 6), np.uint64)
