@@ -284,7 +284,8 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
 def score_quality(df: DataFrame, model: RuleModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """Adds score (double, 0 to 1) and predicted (int); null and empty texts are scored too.
 
-    Made columns replace input columns of their names.
+    Each row is scored by its text alone: repeated rows and equal texts get equal scores, and there are no ties to break.
+    An empty table gives an empty one. Made columns replace input columns of their names.
     """
     scored = with_statistics(df, text).withColumn("score", model.column())
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*["_q_" + s for s in STATISTICS])

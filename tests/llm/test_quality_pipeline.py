@@ -42,6 +42,35 @@ def test_degenerate_labels(spark):
         assert 0.5 <= quality.score_quality(df, quality.fit(df, labels)).first().score <= 1
 
 
+def test_odd_rows_and_empty_tables(spark):
+    rows = [(1, "a b"), (1, "a b"), (2, "a b"), (None, None), (3, ""), (4, "x" * 3_000_000), (5, "word " * 300_000)]
+    df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, Score string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (4, 0), (9, 1)], "doc_id long, quality int")
+    got = quality.score_quality(df, quality.fit(df, labels)).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.text == "a b"}) == 1 and all(0 <= r.score <= 1 for r in got)
+    none = df.limit(0)
+    assert quality.score_quality(none, quality.fit(none, labels)).count() == 0
+    assert quality.score_quality(df, quality.fit(df, labels.limit(0))).count() == len(rows)
+
+
+def test_statistics_against_brute_force():
+    for text in ["one two\ttwo. THREE?\none two", "é" * 9 + " a!", "   ", "x", "a b c a b c a b c\nline\nline"]:
+        raw = text.encode()
+        words = brute.words(text)
+        got = dict(zip(quality.STATISTICS, quality.statistics(np.frombuffer(raw, np.uint8)), strict=True))
+        assert got["log_bytes"] == pytest.approx(np.log1p(len(raw))) and got["log_words"] == pytest.approx(np.log1p(len(words)))
+        for name, own in {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "beyond_ascii": range(128, 256)}.items():
+            assert got[name] == pytest.approx(sum(b in own for b in raw) / len(raw))
+        if words:
+            triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+            assert got["word_bytes"] == pytest.approx(np.mean([len(w.encode()) for w in words]))
+            assert got["distinct_words"] == pytest.approx(len(set(words)) / len(words))
+            assert got["distinct_triples"] == pytest.approx(len(set(triples)) / len(triples) if triples else 1)
+            assert got["top_word"] == pytest.approx(max(words.count(w) for w in words) / len(words))
+            lines = [x for x in text.split("\n") if x]
+            assert got["repeated_lines"] == pytest.approx(1 - len(set(lines)) / len(lines))
+
+
 def test_pipeline_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -74,9 +103,9 @@ def test_stages_survive_odd_rows(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a b c d e f g", None, "s", 1), (2, "a b c d e f g", None, "s", 1), (None, "a b c d e f g", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[1:-1]:
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
-        assert out.columns == docs.columns and out.count() > 0
+        assert out.columns == docs.columns and (out.count() > 0 or name == "quality")  # which may reject them all
     assert corpus_pipeline.drop_near_copies(spark, docs, sf).count() == 3
     assert corpus_pipeline.encode(spark, docs, sf).count() == 6
 
