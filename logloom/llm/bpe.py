@@ -233,16 +233,16 @@ LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 class Classes:
     """The pre-tokens of the tokenizer file (what matches none of them is dropped), and the runs that they are made of."""
 
-    def __init__(self, letters: str, numbers: str, others: str):
-        self.pretoken = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letters}+|{numbers}|{others}+")
-        self.letters, self.others = regex.compile(rf"(?V1){letters}*"), regex.compile(rf"(?V1){others}*")
+    def __init__(self, letters: str, numbers: str, others: str, flags: str = ""):
+        self.pretoken = regex.compile(rf"{flags}'s|'t|'re|'ve|'m|'ll|'d|{letters}+|{numbers}|{others}+")
+        self.letters, self.others = regex.compile(rf"{flags}{letters}*"), regex.compile(rf"{flags}{others}*")
 
     def kind(self, c: str) -> str:
         return "L" if self.letters.match(c).end() else "O" if self.others.match(c).end() else "S"
 
 
 _USUAL = Classes(r"[\p{L}]", r"[\p{N}]", rf"[^{SPACES}\p{{L}}\p{{N}}]")
-_PINNED = Classes(rf"[\p{{L}}--[{_ranges(LATER_LETTERS)}]]", rf"[\p{{N}}--[{_ranges(LATER_NUMBERS)}]]", rf"[[^{SPACES}\p{{L}}\p{{N}}]||[{_ranges(LATER_LETTERS + ' ' + LATER_NUMBERS)}]]")
+_PINNED = Classes(rf"[\p{{L}}--[{_ranges(LATER_LETTERS)}]]", rf"[\p{{N}}--[{_ranges(LATER_NUMBERS)}]]", rf"[[^{SPACES}\p{{L}}\p{{N}}]||[{_ranges(LATER_LETTERS + ' ' + LATER_NUMBERS)}]]", "(?V1)")
 _LATER = regex.compile(f"[{_ranges(LATER_LETTERS + ' ' + LATER_NUMBERS)}]")
 
 
