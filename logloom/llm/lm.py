@@ -18,7 +18,7 @@ pairs, and the buckets answer with sums for each document.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -226,31 +226,29 @@ def _dealt(pairs: Pairs, codes: Codes) -> Iterator[tuple[int, Pairs, np.ndarray]
         yield int(bucket[own[0]]), Pairs(pairs.x[own], pairs.y[own], int(np.searchsorted(own, pairs.small))), own
 
 
+#: Kind of the rows that bring answers about words to a bucket.
+_ANSWER = 3
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict], tuple[np.ndarray, ...]]]:
     """For each bucket, from rows sorted by it: the rows with data, and what others bring (h, k, p, m of words; may be empty)."""
     bucket, held, asked = None, [], []
 
     def settle():
-        none = [np.empty(0, x) for x in (np.int64, np.int16, np.float64, np.int64)]
-        return bucket, held, tuple(np.concatenate(x) for x in zip(none, *asked, strict=True))
+        parts = [(q.y, q.x, np.frombuffer(r["d"]), numbers(r["n"])) for r in asked for q in (Pairs.unpack(r["a"], r["b"], r["c"]),)]
+        none = [np.empty(0, x) for x in (np.uint64, np.uint64, np.float64, np.uint64)]
+        return bucket, held, tuple(np.concatenate(x) for x in zip(none, *parts, strict=True))
 
     for batch in batches:
         at = batch.column(batch.schema.get_field_index("bucket")).to_numpy()
         edge = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)] if len(at) else [0]
-        words = "h" in batch.schema.names
         for i, j in zip(edge, edge[1:], strict=False):
             if at[i] != bucket:
                 if bucket is not None:
                     yield settle()
                 bucket, held, asked = int(at[i]), [], []
-            part = batch.slice(i, j - i)
-            if words:
-                some = part.column("h").is_valid()
-                met = part.filter(some)
-                if met.num_rows:
-                    asked.append(tuple(met.column(x).to_numpy() for x in ("h", "k", "p", "m")))
-                part = part.filter(pa.compute.invert(some))
-            held.extend(part.to_pylist())
+            for row in batch.slice(i, j - i).to_pylist():
+                (asked if row.get("kind") == _ANSWER else held).append(row)
     if bucket is not None:
         yield settle()
 
@@ -283,8 +281,8 @@ _PART = 1 << 10
 
 
 def _tables(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(h, k, t): tables of each word in each context above, summed over all restaurants of words; and the cut that they are
-    read from. Frequent words are summed within a task in one array, and handed on in deflated parts."""
+    """(h, k, t): tables of each word in each context above, those of infrequent words in several rows; and the cut that
+    they are read from. Frequent words are summed within a task in one array, and handed on in deflated parts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(FREQUENT * CONTEXTS, np.uint32)
@@ -326,7 +324,7 @@ def _tables(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # two rounds, so that no group grows with the number of tasks alone
     partial = made.where("part IS NOT NULL").groupBy("part", "salt").applyInArrow(add, "part int, sums binary")
     dense = partial.groupBy("part").applyInArrow(add, "part int, sums binary").mapInArrow(spread, "h long, k short, t long")
-    return dense.unionByName(made.where("part IS NULL").groupBy("h", "k").agg(F.sum("t").alias("t"))), made
+    return dense.unionByName(made.where("part IS NULL").select("h", "k", "t")), made
 
 
 def _heads(pairs: DataFrame, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
@@ -393,7 +391,7 @@ class Upper:
         p[small], c[small] = self.p[y, k[small]], self.codes.counts[y]
         h, at, given, m = asked
         if len(h):
-            known, order, first = distinct(at.astype(np.uint64), h.view(np.uint64))
+            known, order, first = distinct(at, h)
             place, hit = known.find(Pairs(k[~small].astype(np.uint64), pairs.y[~small], 0))
             own = order[first][place]
             p[~small], c[~small] = np.where(hit, given[own], 0.0), np.where(hit, m[own], 0)
@@ -455,9 +453,10 @@ def log_stirling_of(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     more than seven digits cancel out. Where t is large beside c^d they do; there the sum of t Sibuya variables is near
     normal under exponential tilting, and its saddlepoint approximation with one more term is good to 0.003, and to 0.03 for discounts near 1.
     """
-    c, t = np.broadcast_arrays(np.asarray(c, np.float64), np.asarray(t, np.float64))
+    own = np.asarray(c, np.float64)
+    whole = _log_gamma(own)
+    c, t = np.broadcast_arrays(own, np.asarray(t, np.float64))
     total, largest, binomial = np.zeros(c.shape), np.zeros(c.shape), np.zeros(c.shape)
-    whole = _log_gamma(c)
     for j in range(1, 161):
         a = j * d
         with np.errstate(divide="ignore"):
@@ -465,7 +464,7 @@ def log_stirling_of(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
         if abs(a - round(a)) < 1e-9:
             continue  # Gamma(-a) has a pole there
         inverse = math.log(abs(math.sin(math.pi * a)) / math.pi) + math.lgamma(a + 1)  # of 1 / |Gamma(-a)|
-        term = (-1) ** (j + math.floor(a) + 1) * np.exp(np.minimum(binomial + inverse + _log_gamma(c - a) - whole, 600))
+        term = (-1) ** (j + math.floor(a) + 1) * np.exp(np.minimum(binomial + (inverse + _log_gamma(own - a) - whole), 600))
         total += term
         size = np.abs(term)
         np.maximum(largest, size, out=largest)
@@ -591,12 +590,45 @@ class Seating:
         self.t0 = draw_tables(self.c0, np.full(len(self.key), (s + d0 * r.t0) * base), d0, self.stirling[0], uniform(self.key, self.salt, n, 0))
 
 
+#: Entries of the words that are seated at once.
+_SEATED = 1 << 18
+
+
 def _seatings(batches: Iterator[pa.RecordBatch], r: Restaurants, salt: int) -> Iterator[tuple[pa.RecordBatch, Seating]]:
-    for batch in batches:
+    held: list[pa.RecordBatch] = []
+
+    def seating() -> tuple[pa.RecordBatch, Seating]:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         ks, cs = batch.column(1), batch.column(2)
         length = np.diff(ks.offsets.to_numpy())
         word = np.repeat(np.arange(len(length)), length)
-        yield batch, Seating(batch.column(4).to_numpy().view(np.uint64), word, ks.flatten().to_numpy().astype(np.int64), cs.flatten().to_numpy().astype(np.int64), r, salt)
+        return batch, Seating(batch.column(4).to_numpy().view(np.uint64), word, ks.flatten().to_numpy().astype(np.int64), cs.flatten().to_numpy().astype(np.int64), r, salt)
+
+    n = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += len(batch.column(1).flatten())
+        if n > _SEATED:
+            yield seating()
+            held, n = [], 0
+    if held:
+        yield seating()
+
+
+def _summed(df: DataFrame, size: int, add: Callable[[np.ndarray, pa.RecordBatch], None]) -> np.ndarray:
+    """Sums, over all batches of a frame, of what ``add`` adds to an array of this size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            add(total, batch)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["i", "x"])
+
+    got = np.zeros(size)
+    for row in df.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        got[row.i] = row.x
+    return got
 
 
 def _totals(words: DataFrame, r: Restaurants, salt: int, sweeps: int) -> Restaurants:
@@ -643,15 +675,20 @@ class Model:
         """Totals are those of the pass before, so a context's probabilities add up to nearly 1; ``sums`` tells how nearly."""
         one, two = self.fallback()
         unseen = self.restaurants.unseen()
-        all0 = self.words.agg(F.sum("p0")).first()[0] or 0.0
-        letters, contexts = np.zeros((LETTERS, 2)), np.zeros((CONTEXTS, 2))
-        first = self.words.select("p0", F.explode(F.arrays_zip("letters", "p1")).alias("e"))
-        for r in first.groupBy("e.letters").agg(F.sum("e.p1").alias("x"), F.sum("p0").alias("y")).collect():
-            letters[r[0]] = r.x, r.y
-        above = F.get("p1", (F.array_position("letters", F.shiftright("e.ks", 1).cast("short")) - 1).cast("int"))
-        second = self.words.select("p1", "letters", F.explode(F.arrays_zip("ks", "p2")).alias("e")).select("e.ks", "e.p2", above.alias("up"))
-        for r in second.groupBy("ks").agg(F.sum("p2").alias("x"), F.sum("up").alias("y")).collect():
-            contexts[r.ks] = r.x, r.y
+
+        def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+            p0, p1, p2 = batch.column(0).to_numpy(), batch.column(2).flatten().to_numpy(), batch.column(4).flatten().to_numpy()
+            letter, k = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (1, 3))
+            of, of2 = (np.repeat(np.arange(len(p0)), np.diff(batch.column(i).offsets.to_numpy())) for i in (1, 3))
+            up = p1[np.searchsorted(of * LETTERS + letter, of2 * LETTERS + k // 2)]
+            total[0] += p0.sum()
+            for i, x in enumerate((p1, p0[of])):
+                total[1 + i * LETTERS :][:LETTERS] += np.bincount(letter, x, LETTERS)
+            for i, x in enumerate((p2, up)):
+                total[1 + 2 * LETTERS + i * CONTEXTS :][:CONTEXTS] += np.bincount(k, x, CONTEXTS)
+
+        got = _summed(self.words.select("p0", "letters", "p1", "ks", "p2"), 1 + 2 * LETTERS + 2 * CONTEXTS, add)
+        all0, letters, contexts = got[0], got[1:][: 2 * LETTERS].reshape(2, LETTERS).T, got[1 + 2 * LETTERS :].reshape(2, CONTEXTS).T
         at1 = letters[:, 0] + one * (all0 + unseen - letters[:, 1])
         self.sums = contexts[:, 0] + two * (np.repeat(at1, 2) - contexts[:, 1])
         return self
@@ -723,7 +760,8 @@ def _asked(bucket: np.ndarray, h: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
 
 
 def _answers(asked: DataFrame, model: Model) -> DataFrame:
-    """(bucket, h, k, p, m): each asked word's probability in a context above, and its count."""
+    """Each asked word's probability in a context above and its count, in one row for a bucket and many words: contexts and
+    hashes (a, b, c), counts (n), probabilities (d). Words that are asked for twice are answered once, but for a few."""
     one, two = model.fallback()
     ones, twos, sums = (F.array(*[F.lit(float(x)) for x in a]) for a in (one, two, model.sums))
     met = asked.join(model.words, "h", "left")
@@ -732,7 +770,35 @@ def _answers(asked: DataFrame, model: Model) -> DataFrame:
     root = F.coalesce("p0", F.lit(model.restaurants.unseen()))
     p1 = F.when(F.coalesce(at1, F.lit(0)) > 0, F.get("p1", (at1 - 1).cast("int"))).otherwise(root * F.get(ones, letter))
     p2 = F.when(F.coalesce(at2, F.lit(0)) > 0, F.get("p2", (at2 - 1).cast("int"))).otherwise(p1 * F.get(twos, F.col("k").cast("int")))
-    return met.select("bucket", "h", "k", (p2 / F.get(sums, F.col("k").cast("int"))).alias("p"), F.coalesce("c", F.lit(0)).cast("long").alias("m"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            bucket, h, k, p, m = (np.concatenate(x) for x in zip(*held, strict=True))
+            own, order, at = distinct(bucket.astype(np.uint64) << np.uint64(CONTEXT_BITS) | k.astype(np.uint64), h.view(np.uint64))
+            p, m, of = p[order][at], m[order][at], own.x >> np.uint64(CONTEXT_BITS)
+            edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))).tolist()
+            rows = []
+            for i, j in zip(edge, [*edge[1:], len(of)], strict=True):
+                part = Pairs(own.x[i:j] & np.uint64(CONTEXTS - 1), own.y[i:j], 0)
+                rows.append((int(of[i]), _ANSWER, *part.pack(), planes(m[i:j]), p[i:j].tobytes()))
+            types = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "kind", "a", "b", "c", "n", "d"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(tuple(batch.column(i).to_numpy() for i in range(5)))
+                n += batch.num_rows
+            if n > 1 << 20:
+                yield flush()
+                held, n = [], 0
+        if held:
+            yield flush()
+        release()
+
+    answers = met.select("bucket", "h", "k", (p2 / F.get(sums, F.col("k").cast("int"))).alias("p"), F.coalesce("c", F.lit(0)).cast("long").alias("m"))
+    return answers.mapInArrow(pack, "bucket int, kind int, a binary, b binary, c binary, n binary, d binary")
 
 
 def _dealt_again(*frames: DataFrame) -> DataFrame:
@@ -765,14 +831,54 @@ def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each word, with its tables by context, from rows (h, k, t, g) sorted by word; one row of a word, of
+    context -1, has its count and its hash."""
+
+    def rows(h: np.ndarray, k: np.ndarray, t: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+        h, k, t, g = (x[order] for order in (np.lexsort((k, h)),) for x in (h, k, t, g))
+        head = np.flatnonzero(k < 0)
+        first = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])))
+        first[head] = False
+        after = np.zeros(len(h), bool)
+        after[1:] = k[:-1] < 0
+        at = np.flatnonzero(first | after)
+        t2 = t.copy()
+        t2[head] = 0
+        sums = np.add.reduceat(t2, at) if len(at) else t[:0]
+        ends = np.append(np.searchsorted(at, head), len(at)).astype(np.int32)
+        lists = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (k[at], sums))
+        return pa.RecordBatch.from_arrays([pa.array(h[head]), *lists, pa.array(t[head]), pa.array(g[head])], names=["h", "ks", "cs", "c", "g"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append((*(batch.column(i).to_numpy() for i in range(3)), pa.compute.fill_null(batch.column(3), 0).to_numpy()))
+        n += batch.num_rows
+        if n > 1 << 18:
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            edge = int(np.searchsorted(whole[0], whole[0][-1]))
+            if edge:
+                yield rows(*(x[:edge] for x in whole))
+            held = [tuple(x[edge:] for x in whole)]
+            n = len(held[0][0])
+    if n:
+        yield rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    release()
+
+
 def _above(pairs: DataFrame, counts: DataFrame, n: int, passes: int, burn: int, keep: int) -> Model:
     """The levels above the restaurants of words, whose customers are the tables of pairs (h, k, t)."""
     tables, read = _tables(pairs)
-    lists = tables.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("e")).join(counts, "h")
-    words = cut(lists.select("h", F.col("e.k").alias("ks"), F.col("e.t").alias("cs"), "c", "g"), "lm-words", read)
-    by = {row.k: row.c for row in words.select(F.explode(F.arrays_zip("ks", "cs")).alias("e")).groupBy("e.ks").agg(F.sum("e.cs").alias("c")).select(F.col("ks").alias("k"), "c").collect()}
-    c2 = np.array([by.get(k, 0) for k in range(CONTEXTS)], np.float64)
-    vocabulary = words.count()
+    known = counts.select("h", F.lit(-1).cast("short").alias("k"), F.col("c").alias("t"), "g")
+    both = tables.withColumn("g", F.lit(None).cast("long")).unionByName(known).repartition("h").sortWithinPartitions("h")
+    words = cut(both.mapInArrow(_listed, "h long, ks array<short>, cs array<long>, c long, g long"), "lm-words", read)
+
+    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        total[:CONTEXTS] += np.bincount(batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(), CONTEXTS)
+        total[CONTEXTS] += batch.num_rows
+
+    got = _summed(words.select("ks", "cs"), CONTEXTS + 1, add)
+    c2, vocabulary = got[:CONTEXTS], int(got[CONTEXTS])
     t2 = np.ceil(0.3 * c2)
     t1 = np.ceil(0.5 * t2.reshape(LETTERS, 2).sum(1))
     r = Restaurants(vocabulary, c2, t2, t1, float(vocabulary), (0.5, 0.5, 0.5))
@@ -803,6 +909,26 @@ _REQUEST = "bucket int, kind int, block long, a binary, b binary, c binary, n bi
 _REPLY = "block long, bucket int, d binary, size binary, known binary, base binary, score binary, keys binary"
 
 
+def _together(rows: list[dict]) -> Iterator[tuple[list[dict], Pairs, list[np.ndarray]]]:
+    """Rows that ask, some at a time: the pairs of all of them (not in order), and where those of each row are."""
+    held: list[Pairs] = []
+    first = n = 0
+    for i, row in enumerate(rows):
+        held.append(Pairs.unpack(row["a"], row["b"], row["c"]))
+        n += len(held[-1].x)
+        if n < 1 << 19 and i + 1 < len(rows):
+            continue
+        small = sum(p.small for p in held)
+        x, y = (np.concatenate([a[: p.small] for p, a in own] + [a[p.small :] for p, a in own]) for own in ([(p, p.x) for p in held], [(p, p.y) for p in held]))
+        places, at, rest = [], 0, small
+        for p in held:
+            more = len(p.x) - p.small
+            places.append(np.concatenate((np.arange(at, at + p.small), np.arange(rest, rest + more))))
+            at, rest = at + p.small, rest + more
+        yield rows[first : i + 1], Pairs(x, y, small), places
+        held, n, first = [], 0, i + 1
+
+
 def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text).
 
@@ -865,19 +991,28 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = shared.value.codes
+        xs, ys, n = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            bucket = codes.deal(x, y).astype(np.uint64)
+            own, _, _ = distinct(bucket << np.uint64(CONTEXT_BITS) | x & np.uint64(CONTEXTS - 1), y)
+            return _asked((own.x >> np.uint64(CONTEXT_BITS)).astype(np.int64), own.y, own.x & np.uint64(CONTEXTS - 1))
+
         for batch in batches:
-            xs, ys = [], []
             for view in views(batch.column(0)):
                 h, k = tokens(view)
                 y = codes.words(h)
                 on = y >= HASHED
                 xs.append(codes.contexts(y, k)[on])
                 ys.append(y[on])
-            if xs:
-                x, y = np.concatenate(xs), np.concatenate(ys)
-                bucket = codes.deal(x, y).astype(np.uint64)
-                own, _, _ = distinct(bucket << np.uint64(CONTEXT_BITS) | x & np.uint64(CONTEXTS - 1), y)
-                yield _asked((own.x >> np.uint64(CONTEXT_BITS)).astype(np.int64), own.y, own.x & np.uint64(CONTEXTS - 1))
+                n += len(ys[-1])
+                if n > 1 << 20:
+                    yield flush()
+                    xs, ys, n = [], [], 0
+        if xs:
+            yield flush()
+        release()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upper = shared.value
@@ -888,13 +1023,9 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 if row["kind"] is None:
                     own, c, t = Pairs.unpack(row["a"], row["b"], row["c"]), numbers(row["n"]), numbers(row["t"])
             mine = upper.restaurants(own, c, t)
-            out = []
-            for row in rows:
-                if row["kind"] == 2:
-                    out.append((row["block"], bucket, None, None, None, None, None, row["d"]))
-                if row["kind"] != 1:
-                    continue
-                q = Pairs.unpack(row["a"], row["b"], row["c"])
+            out = [(row["block"], bucket, None, None, None, None, None, row["d"]) for row in rows if row["kind"] == 2]
+            # the questions of many blocks at once, so that a bucket's own pairs are not gone through block by block
+            for part, q, places in _together([row for row in rows if row["kind"] == 1]):
                 place, hit = own.find(q)
                 keeps = np.zeros(len(q.x))
                 keeps[hit] = c[place[hit]] - upper.discount * t[place[hit]]
@@ -902,13 +1033,14 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 above, m = upper.above(q, asked)
                 log = np.log10((keeps + (upper.strength + upper.discount * tu) * above) / (upper.strength + cu))
                 base = np.log10(m + 0.5)
-                of = np.repeat(np.arange(len(q.x)), numbers(row["n"]).astype(np.int64))
-                copies, doc = numbers(row["t"]).astype(np.float64), numbers(row["d"]).astype(np.int64)
-                size = np.bincount(doc, copies)
-                at = np.flatnonzero(size)
-                known = np.bincount(doc, copies * (m[of] > 0))
-                sums = (np.bincount(doc, copies * a[of])[at].tobytes() for a in (base, log))
-                out.append((row["block"], bucket, planes(at, True), planes(size[at]), planes(known[at]), *sums, None))
+                for row, on in zip(part, places, strict=True):
+                    of = np.repeat(on, numbers(row["n"]).astype(np.int64))
+                    copies, doc = numbers(row["t"]).astype(np.float64), numbers(row["d"]).astype(np.int64)
+                    size = np.bincount(doc, copies)
+                    at = np.flatnonzero(size)
+                    known = np.bincount(doc, copies * (m[of] > 0))
+                    sums = (np.bincount(doc, copies * a[of])[at].tobytes() for a in (base, log))
+                    out.append((row["block"], bucket, planes(at, True), planes(size[at]), planes(known[at]), *sums, None))
             types = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["block", "bucket", "d", "size", "known", "base", "score", "keys"])
         release()
@@ -940,7 +1072,7 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield settle()
 
     texts = keyed.select("_k1", "_k2", "_text")
-    answers = _answers(texts.select("_text").mapInArrow(ask, "bucket int, h long, k short").distinct(), model)
+    answers = _answers(texts.select("_text").mapInArrow(ask, "bucket int, h long, k short"), model)
     replies = _dealt_again(texts.mapInArrow(request, _REQUEST), model.pairs, answers).mapInArrow(answer, _REPLY)
     sums = replies.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(add, "_k1 long, _k2 long, _n long, _known long, _base double, _score double")
     sums = cut(sums, "lm-sums").groupBy("_k1", "_k2").agg(*[F.min(c).alias(c) for c in ("_n", "_known", "_base", "_score")])

@@ -54,7 +54,7 @@ class Pairs:
         return Pairs(np.concatenate((key >> np.uint64(WORD_BITS), x)), np.concatenate((key & np.uint64((1 << WORD_BITS) - 1), y)), len(key))
 
     def find(self, other: Pairs) -> tuple[np.ndarray, np.ndarray]:
-        """For each pair of ``other`` its place here, and whether it is here."""
+        """For each pair of ``other`` (in any order) its place here, and whether it is here."""
         place, hit = np.zeros(len(other.x), np.int64), np.zeros(len(other.x), bool)
         n, m = self.small, other.small
         if n and m:
@@ -63,17 +63,18 @@ class Pairs:
             at = np.minimum(np.searchsorted(own, key), n - 1)
             place[:m], hit[:m] = at, own[at] == key
         if len(self.x) > n and len(other.x) > m:
-            # both sorted by (x, y): places by one sort of all, the own ones first among equals
-            x, y = np.concatenate((self.x[n:], other.x[m:])), np.concatenate((self.y[n:], other.y[m:]))
-            order = np.lexsort((y, x))
-            x, y = x[order], y[order]
-            first = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-            head = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            own = len(self.x) - n
-            back = np.empty(len(order), np.int64)
-            back[order] = head
-            at = back[own:]
-            place[m:], hit[m:] = np.where(at < own, at + n, 0), at < own
+            # by x, then by halves in the run of x: what this costs hardly depends on the pairs that are here
+            own, x, y = self.y[n:], other.x[m:], other.y[m:]
+            low, end = (np.searchsorted(self.x[n:], x, side) for side in ("left", "right"))
+            high, left = end.copy(), np.flatnonzero(low < end)
+            while len(left):
+                middle = (low[left] + high[left]) >> 1
+                less = own[middle] < y[left]
+                low[left[less]] = middle[less] + 1
+                high[left[~less]] = middle[~less]
+                left = left[low[left] < high[left]]
+            here = (low < end) & (own[np.minimum(low, len(own) - 1)] == y)
+            place[m:], hit[m:] = np.where(here, low + n, 0), here
         return place, hit
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -164,3 +165,29 @@ def test_packed_pairs():
     for values in ([], [0], [5, 5, 1 << 63]):
         a = np.array(values, np.uint64)
         assert (numbers(planes(a)) == a).all() and (numbers(planes(a, True), True) == a).all()
+
+
+def test_what_a_block_asks_does_not_go_through_all_pairs_of_a_bucket():
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.integers(0, 200_000, 1_000_000).astype(np.uint64)) | HASHED
+    own = distinct(x, rng.integers(0, 1 << 62, len(x)).astype(np.uint64) | HASHED)[0]
+    began = time.process_time()
+    for i in range(100):
+        on = rng.integers(0, len(own.x), 50)
+        y = own.y[on] + (np.arange(50) % 2 * i).astype(np.uint64)  # half of them are not there but for the first time
+        place, hit = own.find(Pairs(own.x[on], y, 0))
+        wanted = (np.arange(50) % 2 == 0) | (i == 0)
+        assert (hit == wanted).all() and (place[hit] == on[hit]).all()
+    assert time.process_time() - began < 5
+
+
+def test_many_blocks_of_documents(spark, monkeypatch):
+    random.seed(10)
+    texts = [" ".join(f"w{int(random.paretovariate(0.8))}" for _ in range(random.randint(0, 90))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    model = lm.fit(df.select("text"), frequent=9, buckets=5)
+    want = {r.doc_id: r for r in lm.score_texts(df, model).collect()}
+    monkeypatch.setattr(lm, "BLOCK", 40)  # nearly every document is a block
+    for r in lm.score_texts(df, model).collect():
+        assert (r.n_tokens, r.n_known) == (want[r.doc_id].n_tokens, want[r.doc_id].n_known)
+        assert r.score == pytest.approx(want[r.doc_id].score, rel=1e-9) and r.base_score == pytest.approx(want[r.doc_id].base_score, rel=1e-9)
