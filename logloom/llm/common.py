@@ -123,6 +123,14 @@ def add_columns(df: DataFrame, text: str, made: T.StructType, rows: Callable[[It
     return source.mapInArrow(run, schema)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``SLICE`` rows, each batch let go before the next one comes."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+        del batch
+
+
 def release() -> None:
     """Gives unused memory of a worker back to the system, so that workers that live on do not keep their largest size."""
     pa.default_memory_pool().release_unused()

@@ -6,8 +6,6 @@ it stays at the largest size; then more rows pass in vain, with the same result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,15 +34,11 @@ def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def parted(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Rows whose hash (a long column without nulls) is surely not in the map, and the others."""
+    """Rows whose hash (a long column without nulls) is surely not in the map, and the others; only hashes go to Python."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
-    place = df.columns.index(column)
-
-    def side(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(among(shared.value, b.column(place).to_numpy().view(np.uint64)) == wanted))
 
-        return df.mapInArrow(run, df.schema)
+    @F.arrow_udf("boolean")
+    def may(h: pa.Array) -> pa.Array:
+        return pa.array(among(shared.value, h.to_numpy().view(np.uint64)))
 
-    return side(False), side(True)
+    return df.where(~may(F.col(column))), df.where(may(F.col(column)))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, cut, keep_columns, row_keys, uncut, views
+from .common import add_columns, cut, keep_columns, release, row_keys, sliced, uncut, views
 from .filters import among, hash_bits, parted
 from .tokens import PLAIN, mix, powers, windows
 
@@ -66,7 +66,7 @@ def _hashes(text: np.ndarray, salt: int) -> np.ndarray:
 
 def _minimizers(df: DataFrame, text: str, size: int, anchor: int, salt: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             held, n = [], 0
             for view in views(batch.column(0)):
                 for piece in path_pieces(_hashes(view, salt), size, anchor, 1) if view is not None else ():
@@ -76,6 +76,7 @@ def _minimizers(df: DataFrame, text: str, size: int, anchor: int, salt: int) ->
                     yield _counted(held)
                     held, n = [], 0
             yield _counted(held)
+        release()
 
     def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
@@ -90,7 +91,7 @@ def _pieces(df: DataFrame, size: int, anchor: int, salt: int, shared) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             held: list[tuple] = []
             n = 0
@@ -105,6 +106,7 @@ def _pieces(df: DataFrame, size: int, anchor: int, salt: int, shared) -> DataFra
                     held, n = [], 0
             if held:
                 yield rows(held)
+        release()
 
     def rows(held: list[tuple]) -> pa.RecordBatch:
         a = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -119,7 +121,7 @@ def _window_hashes(df: DataFrame, size: int, anchor: int, salt: int, shared) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         known: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             held: list[tuple] = []
             n = 0
             for view in views(batch.column(0)):
@@ -140,6 +142,8 @@ def _window_hashes(df: DataFrame, size: int, anchor: int, salt: int, shared) ->
                 known.clear()
             if held:
                 yield rows(held)
+        known.clear()
+        release()
 
     def rows(held: list[tuple]) -> pa.RecordBatch:
         content, count, w = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -265,7 +269,7 @@ def _read(met: DataFrame, size: int, salt: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, int], bytes] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             new: list[tuple[int, int, bytes]] = []
 
             def add(kind: int, unit: int, words: list[bytes]) -> None:
@@ -288,6 +292,8 @@ def _read(met: DataFrame, size: int, salt: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int32()), pa.array([x[1] for x in new], pa.int64()), pa.array([x[2] for x in new], pa.binary())], names=["kind", "unit", "digest"])
             if len(known) > 1 << 17:
                 known.clear()
+        known.clear()
+        release()
 
     return met.mapInArrow(run, "kind int, unit long, digest binary")
 

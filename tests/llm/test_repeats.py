@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from logloom.llm import repeats
+from logloom.llm import common, filters, repeats
 from logloom.llm.queries import op2_substrings
+from logloom.llm.tokens import mix
 
 from . import brute
 
@@ -112,3 +114,22 @@ def test_windows_far_longer_than_the_anchor(spark):
         texts.append(" ".join([word() for _ in range(20)] + p[a : a + random.randint(70, 300)] + [word() for _ in range(20)]))
     for size in (73, 90, 140):
         check(spark, texts, size, 10)
+
+
+def test_texts_stay_out_of_python_where_rows_are_told_apart_by_hashes(spark):
+    rows = [(i, mix(np.array([i], np.uint64)).view(np.int64).item(), None if i % 7 == 0 else f"text {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, h long, text string")
+    bits = filters.hash_bits(df.where("id % 3 = 0"))
+    out, may = filters.parted(df, "h", bits)
+    for part in (out, may):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    out, may = sorted(map(tuple, out.collect())), sorted(map(tuple, may.collect()))
+    assert sorted(out + may) == rows and {r[0] for r in rows if r[0] % 3 == 0} <= {r[0] for r in may} and len(out) > 300
+
+
+def test_slices_cover_all_rows():
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["x"]) for n in (0, 1, common.SLICE, 2 * common.SLICE + 5)]
+    got = list(common.sliced(iter(batches)))
+    assert max(b.num_rows for b in got) == common.SLICE
+    assert [x for b in got for x in b.column(0).to_pylist()] == [x for b in batches for x in b.column(0).to_pylist()]
