@@ -13,7 +13,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,7 +25,6 @@ from .common import add_columns
 
 #: The white space of the normaliser's `\\s`.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
-_SPACE = re.compile(f"[{SPACES}]+")
 _CUT = re.compile(f"[{SPACES}]")
 #: Code points of text handled at once.
 CHUNK = 1 << 15
@@ -41,7 +40,7 @@ def byte_symbols() -> list[str]:
 
 
 class Vocabulary:
-    """A tokenizer file: `BPE` with `</w>` ends over byte symbols, after NFC, white-space folding and lower-casing."""
+    """A tokenizer file: `BPE` with `</w>` ends over byte symbols, after NFC and lower-casing; white space only parts words."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -203,21 +202,25 @@ def _ranges(text: str) -> str:
     return "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in text.split())
 
 
+def _points(text: str) -> frozenset[str]:
+    return frozenset(chr(c) for first, last in ((r.split("-")[0], r.split("-")[-1]) for r in text.split()) for c in range(int(first, 16), int(last, 16) + 1))
+
+
 _LOWER = {c: c + step for first, last, step in LATER_LOWER for c in range(first, last + 1)}
 _MARK = regex.compile(f"([{_ranges(LATER_MARKS)}])")
-_RARE = regex.compile(f"[{_ranges(LATER_MARKS)}{''.join(map(chr, _LOWER))}]")
+_RARE = _points(LATER_MARKS) | frozenset(map(chr, _LOWER))
 
 
 def normalise(text: str) -> str:
-    """NFC, white-space runs to a space, then lower case letter by letter (no final-sigma rule)."""
+    """NFC, then lower case letter by letter (no final-sigma rule). White space stays as it is, since no pre-token holds any."""
     if not text.isascii():
-        if _RARE.search(text):
+        if not _RARE.isdisjoint(text):
             # what lies between such marks is put in order by itself
             text = "".join(unicodedata.normalize("NFC", part) for part in _MARK.split(text)).translate(_LOWER)
         else:
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ")
-    return _SPACE.sub(" ", text).lower()
+    return text.lower()
 
 
 #: Letters and numbers of Unicode versions later than the library's, which are neither to it.
@@ -233,22 +236,24 @@ LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 class Classes:
     """The pre-tokens of the tokenizer file (what matches none of them is dropped), and the runs that they are made of."""
 
-    def __init__(self, letters: str, numbers: str, others: str, flags: str = ""):
-        self.pretoken = regex.compile(rf"{flags}'s|'t|'re|'ve|'m|'ll|'d|{letters}+|{numbers}|{others}+")
-        self.letters, self.others = regex.compile(rf"{flags}{letters}*"), regex.compile(rf"{flags}{others}*")
+    def __init__(self, letters: str, numbers: str, others: str, compiled: Callable[[str], re.Pattern], flags: str = ""):
+        # no other pre-token begins as letters do, so these may be tried first
+        self.pretoken = compiled(rf"{flags}{letters}+|{numbers}|'(?:s|t|re|ve|m|ll|d)|{others}+")
+        self.letters, self.others = compiled(rf"{flags}{letters}*"), compiled(rf"{flags}{others}*")
 
     def kind(self, c: str) -> str:
         return "L" if self.letters.match(c).end() else "O" if self.others.match(c).end() else "S"
 
 
-_USUAL = Classes(r"[\p{L}]", r"[\p{N}]", rf"[^{SPACES}\p{{L}}\p{{N}}]")
-_PINNED = Classes(rf"[\p{{L}}--[{_ranges(LATER_LETTERS)}]]", rf"[\p{{N}}--[{_ranges(LATER_NUMBERS)}]]", rf"[[^{SPACES}\p{{L}}\p{{N}}]||[{_ranges(LATER_LETTERS + ' ' + LATER_NUMBERS)}]]", "(?V1)")
-_LATER = regex.compile(f"[{_ranges(LATER_LETTERS + ' ' + LATER_NUMBERS)}]")
+_ASCII = Classes("[A-Za-z]", "[0-9]", rf"[^{SPACES}A-Za-z0-9]", re.compile)
+_USUAL = Classes(r"[\p{L}]", r"[\p{N}]", rf"[^{SPACES}\p{{L}}\p{{N}}]", regex.compile)
+_PINNED = Classes(rf"[\p{{L}}--[{_ranges(LATER_LETTERS)}]]", rf"[\p{{N}}--[{_ranges(LATER_NUMBERS)}]]", rf"[[^{SPACES}\p{{L}}\p{{N}}]||[{_ranges(LATER_LETTERS + ' ' + LATER_NUMBERS)}]]", regex.compile, "(?V1)")
+_LATER = _points(LATER_LETTERS + " " + LATER_NUMBERS)
 
 
 def classes(text: str) -> Classes:
     """The classes that hold for this text; the pinned ones are slower, and differ only for letters that hardly occur."""
-    return _USUAL if text.isascii() or not _LATER.search(text) else _PINNED
+    return _ASCII if text.isascii() else _USUAL if _LATER.isdisjoint(text) else _PINNED
 
 
 def _pretokens(text: str) -> list[str]:

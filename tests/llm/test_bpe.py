@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,24 @@ def test_whole_table(spark, both):
         ids = library.encode(docs[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == brute.sha(" ".join(map(str, ids)))
         assert r.decoded_sha256 == brute.sha(library.decode(ids, skip_special_tokens=False))
+
+
+def test_ascii_texts_and_runs_of_white_space(both, monkeypatch):
+    random.seed(3)
+    points = [chr(c) for c in range(128)]
+    for n in range(400):
+        some = random.choice((points, ["'", "s", "t", "re", "ve", "m", "ll", "d", "'LL", "!", " ", "7"], [*bpe.SPACES, "a", "1", "'", "s", "é", "?"]))
+        same(both, "".join(random.choice(some) for _ in range(n)))
+    v, _ = both
+    monkeypatch.setattr(bpe, "CHUNK", 50)
+    monkeypatch.setattr(v, "window", 2 * v.lookahead)
+    for n in (1, 49, 50, 51, 400, 9 * v.window):
+        for gap in bpe.SPACES:
+            same(both, "the" + gap * n + "thing's" + gap * n + "é" * n + gap + "!" * n + gap * 2)
+
+
+def test_few_seconds_to_prepare_a_long_text():
+    text = "où est l’été, déjà vu — naïve  Straße " * 500_000
+    began = time.process_time()
+    assert bpe.classes(bpe.normalise(text)) is bpe._USUAL
+    assert time.process_time() - began < 1.2
