@@ -745,8 +745,9 @@ def fit(texts: DataFrame, passes: int = 3, burn: int = 3, keep: int = 4, frequen
         release()
 
     answers = _answers(pairs.mapInArrow(many, "bucket int, h long, k short"), start)
-    seated = cut(_dealt_again(pairs, answers).mapInArrow(seat, _BUCKET), "lm-seated", pairs)
+    seated = cut(_dealt_again(codes.buckets, pairs, answers).mapInArrow(seat, _BUCKET), "lm-seated", pairs)
     uncut(start.words)
+    shared.destroy()  # a file of its size on each executor
     model = _above(seated, counts, n, passes, burn, keep)
     customers, tables = _heads(seated, codes)
     uncut(vocabulary)
@@ -801,12 +802,13 @@ def _answers(asked: DataFrame, model: Model) -> DataFrame:
     return answers.mapInArrow(pack, "bucket int, kind int, a binary, b binary, c binary, n binary, d binary")
 
 
-def _dealt_again(*frames: DataFrame) -> DataFrame:
-    """Rows of several frames, those of a bucket together."""
+def _dealt_again(buckets: int, *frames: DataFrame) -> DataFrame:
+    """Rows of several frames, those of a bucket together. A partition has two buckets on average, since all its rows can
+    come to a worker in one batch."""
     both = frames[0]
     for f in frames[1:]:
         both = both.unionByName(f, allowMissingColumns=True)
-    return both.repartition("bucket").sortWithinPartitions("bucket")
+    return both.repartition(max(1, buckets // 2), "bucket").sortWithinPartitions("bucket")
 
 
 def _frequent_probabilities(model: Model, codes: Codes) -> np.ndarray:
@@ -916,7 +918,7 @@ def _together(rows: list[dict]) -> Iterator[tuple[list[dict], Pairs, list[np.nda
     for i, row in enumerate(rows):
         held.append(Pairs.unpack(row["a"], row["b"], row["c"]))
         n += len(held[-1].x)
-        if n < 1 << 19 and i + 1 < len(rows):
+        if n < 1 << 18 and i + 1 < len(rows):
             continue
         small = sum(p.small for p in held)
         x, y = (np.concatenate([a[: p.small] for p, a in own] + [a[p.small :] for p, a in own]) for own in ([(p, p.x) for p in held], [(p, p.y) for p in held]))
@@ -1043,7 +1045,8 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     out.append((row["block"], bucket, planes(at, True), planes(size[at]), planes(known[at]), *sums, None))
             types = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["block", "bucket", "d", "size", "known", "base", "score", "keys"])
-        release()
+            del out, rows, asked
+            release()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
@@ -1073,9 +1076,11 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     texts = keyed.select("_k1", "_k2", "_text")
     answers = _answers(texts.select("_text").mapInArrow(ask, "bucket int, h long, k short"), model)
-    replies = _dealt_again(texts.mapInArrow(request, _REQUEST), model.pairs, answers).mapInArrow(answer, _REPLY)
+    replies = _dealt_again(model.upper.codes.buckets, texts.mapInArrow(request, _REQUEST), model.pairs, answers).mapInArrow(answer, _REPLY)
     sums = replies.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(add, "_k1 long, _k2 long, _n long, _known long, _base double, _score double")
-    sums = cut(sums, "lm-sums").groupBy("_k1", "_k2").agg(*[F.min(c).alias(c) for c in ("_n", "_known", "_base", "_score")])
+    sums = cut(sums, "lm-sums")
+    shared.destroy()
+    sums = sums.groupBy("_k1", "_k2").agg(*[F.min(c).alias(c) for c in ("_n", "_known", "_base", "_score")])
     return keyed.drop("_text").join(sums, ["_k1", "_k2"]).select(
         *[F.col(f"`{c}`") for c in kept],
         F.col("_n").alias("n_tokens"),
