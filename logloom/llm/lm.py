@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, row_keys, uncut, views
+from .common import cut, release, row_keys, uncut
 from .packed import CONTEXT_BITS, HASHED, WORD_BITS, Pairs, counted, distinct, numbers, planes
 from .tokens import LOWER, mix
 
@@ -69,6 +69,67 @@ def tokens(text: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     return np.append(h | HASHED, np.uint64(END)), 2 * letter + stop
 
 
+#: Bytes of texts whose tokens are found at once; a longer text goes alone.
+_TEXTS = 1 << 17
+
+
+def token_runs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``tokens`` of the texts of a column, of several short ones at once, and how many each text has."""
+    if column.null_count:
+        column = pa.compute.fill_null(column, "")
+    wide = pa.types.is_large_string(column.type)
+    _, offsets, data = column.buffers()
+    edge = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    body = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(edge, edge[i] + _TEXTS, "right")) - 1)
+        text = body[edge[i] : edge[j]]
+        if len(text) > _TEXTS:
+            h, k = tokens(text)
+            yield h, k, np.array([len(h)])
+        else:
+            yield _run(text, edge[i : j + 1].astype(np.int64) - edge[i])
+        i = j
+
+
+def _run(text: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``tokens`` of texts that lie one behind the other, from their edges; and how many each has."""
+    word = ~LOWER.sep[text]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    # words end at the edges of texts
+    inner = edge[(edge > 0) & (edge < len(text))]
+    first[inner] = word[inner]
+    last[inner - 1] = word[inner - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    words = np.searchsorted(start, edge)  # before each edge
+    size = np.diff(words) + 1
+    close = np.cumsum(size) - 1  # places of the ends among the tokens
+    own = np.ones(len(start) + len(size), bool)
+    own[close] = False
+    place = np.flatnonzero(own)
+    h = np.full(len(own), END, np.uint64)
+    h[place] = LOWER.hashes_at(text, start, end) | HASHED
+    stop = np.empty(len(own), np.int64)
+    stop[0] = 1
+    stop[close[:-1] + 1] = 1
+    # a word's mark is for the token after it
+    stop[place + 1] = _STOPS[text[end - 1]]
+    beyond = np.flatnonzero(text >= 128)
+    if not len(beyond):
+        return h, stop, size
+    at = np.empty(len(own), np.int64)
+    at[place], at[close] = start, edge[1:]
+    before = np.zeros(len(text) + 1, np.int32)
+    np.cumsum(text >= 128, out=before[1:])
+    low = np.repeat(before[edge[:-1]], size)
+    before = before[at]
+    letter = np.where(before > low, 1 + text[beyond[before - 1]].astype(np.int64) % (LETTERS - 1), 0)
+    return h, 2 * letter + stop, size
+
+
 def learned(key: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
     """Whether a row is learned from: crc32 of its id as text modulo ``folds`` is not ``fold``; a null id never is."""
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % folds != fold, F.lit(False))
@@ -112,11 +173,14 @@ class Codes:
         return {k: v for k, v in self.__dict__.items() if k != "made"}
 
     def contexts(self, y: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """The code of each token's restaurant, from the codes of a text's tokens and their contexts above."""
+        """The code of each token's restaurant, from the codes of the tokens of one or more texts and their contexts above."""
         low = np.uint64((1 << CONTEXT_BITS) - 1)
         before = np.concatenate((self.words(np.array([END], np.uint64)), y[:-1]))
-        hashed = mix(before) & ~low | HASHED
-        return np.where(before >= HASHED, hashed, before << np.uint64(CONTEXT_BITS)) | k.astype(np.uint64)
+        some = np.flatnonzero(before >= HASHED)
+        out = before << np.uint64(CONTEXT_BITS)
+        out[some] = mix(before[some]) & ~low | HASHED
+        out |= k.view(np.uint64)
+        return out
 
     def seeds(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """What random numbers of a pair depend on: words, not whether they have numbers."""
@@ -148,17 +212,18 @@ def _words(texts: DataFrame) -> DataFrame:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
+            h = np.concatenate(held)
+            held.clear()
+            h, c = np.unique(h, return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
         for batch in batches:
-            for view in views(batch.column(0)):
-                h = tokens(view)[0]
+            for h, _, _ in token_runs(batch.column(0)):
                 held.append(h)
                 n += len(h)
                 if n > 3 << 20:
                     yield flush()
-                    held, n = [], 0
+                    n = 0
         if held:
             yield flush()
 
@@ -196,19 +261,22 @@ def _train(texts: DataFrame, codes: Codes) -> DataFrame:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            pairs, c = counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            x, y = (np.concatenate(a) for a in zip(*held, strict=True))
+            held.clear()
+            pairs, c = counted(x, y)
+            del x, y
             rows = [(int(b), *part.pack(), planes(c[own])) for b, part, own in _dealt(pairs, shared.value)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], names=["bucket", "a", "b", "c", "n"])
 
         for batch in batches:
-            for view in views(batch.column(0)):
-                h, k = tokens(view)
+            for h, k, _ in token_runs(batch.column(0)):
                 y = shared.value.words(h)
                 held.append((shared.value.contexts(y, k), y))
                 n += len(y)
                 if n > 2 * BLOCK:
                     yield flush()
-                    held, n = [], 0
+                    n = 0
+                    release()
         if held:
             yield flush()
         release()
@@ -453,41 +521,73 @@ def log_stirling_of(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     more than seven digits cancel out. Where t is large beside c^d they do; there the sum of t Sibuya variables is near
     normal under exponential tilting, and its saddlepoint approximation with one more term is good to 0.003, and to 0.03 for discounts near 1.
     """
-    own = np.asarray(c, np.float64)
-    whole = _log_gamma(own)
-    c, t = np.broadcast_arrays(own, np.asarray(t, np.float64))
-    total, largest, binomial = np.zeros(c.shape), np.zeros(c.shape), np.zeros(c.shape)
+    c, t = np.asarray(c, np.float64), np.asarray(t, np.float64)
+    shape = np.broadcast_shapes(c.shape, t.shape)
+    row = np.broadcast_to(np.arange(c.size).reshape(c.shape), shape).ravel()
+    return _log_stirling_at(c.ravel(), row, np.broadcast_to(t, shape).ravel(), d).reshape(shape)
+
+
+def _log_stirling_at(c: np.ndarray, row: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """``log_stirling_of`` for numbers of tables t that belong to the counts c[row]."""
+    whole, scale = _log_gamma(c), np.log(c)
+    less = np.exp(-d * scale)
+    sums = np.full(len(t), np.nan)
+    left = np.flatnonzero(t < c[row])
+    of, many = row[left], t[left]
+    ratio = less[of]
+    product, total, largest = np.ones(len(left)), np.zeros(len(left)), np.zeros(len(left))
     for j in range(1, 161):
         a = j * d
-        with np.errstate(divide="ignore"):
-            binomial = binomial + np.log(np.maximum(t - j + 1, 0) / j)  # its logarithm
+        product *= np.maximum(many - (j - 1), 0)
+        product *= ratio / j
         if abs(a - round(a)) < 1e-9:
             continue  # Gamma(-a) has a pole there
         inverse = math.log(abs(math.sin(math.pi * a)) / math.pi) + math.lgamma(a + 1)  # of 1 / |Gamma(-a)|
-        term = (-1) ** (j + math.floor(a) + 1) * np.exp(np.minimum(binomial + (inverse + _log_gamma(own - a) - whole), 600))
+        factor = (-1) ** (j + math.floor(a) + 1) * np.exp(np.minimum(inverse + _log_gamma(np.maximum(c - a, 2)) - whole + a * scale, 600))
+        factor[c - a < 2] = np.nan  # where the series of the logarithm is not good
+        term = product * factor[of]
         total += term
         size = np.abs(term)
-        np.maximum(largest, size, out=largest)
-        if (size <= 1e-13 * np.abs(total)).all() or (largest > 1e15).all():
-            break
-    out = whole - _log_gamma(t + 1) - t * math.log(d)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        good = (total > 0) & (largest < 1e7 * total) & (size <= 1e-9 * total)
-        out = np.where(good, out + np.log(np.where(good, total, 1)), 0)
-    rest = ~good & (t < c)
-    if rest.any():
-        out[rest] = _saddlepoint(c[rest], t[rest], d)
-    return np.where(t < c, out, 0.0)  # one customer at each table
+        np.fmax(largest, size, out=largest)
+        ended = size <= 1e-13 * np.abs(total)
+        # sums are a few at most, so that terms beyond 1e9 lose all that counts
+        out = ended | (largest > 1e9) | np.isnan(term)
+        if out.any():
+            good = ended & (total > 0) & (largest < 1e7 * total)
+            sums[left[good]] = total[good]
+            if out.all():
+                break
+            if 8 * np.count_nonzero(out) > len(out):
+                left, of, many, ratio, product, total, largest = (x[~out] for x in (left, of, many, ratio, product, total, largest))
+    good = ~np.isnan(sums)
+    out = np.zeros(len(t))  # one customer at each table
+    out[good] = (whole[row[good]] - _log_gamma(t[good] + 1) - t[good] * math.log(d)) + np.log(sums[good])
+    rest = np.flatnonzero(~good & (t < c[row]))
+    if len(rest):
+        out[rest] = _saddlepoint(c[row[rest]], t[rest], d)
+    return out
+
+
+def _tilt(r: np.ndarray, d: float) -> np.ndarray:
+    """How far Sibuya variables are tilted for a mean r: v with d (1 - e^-v) e^(v (1 - d)) / (1 - e^(-d v)) = r."""
+    grid = np.linspace(math.log(1e-11), math.log(200), 4096)
+
+    def log_mean(v: np.ndarray) -> np.ndarray:
+        return np.log(d * np.expm1(-v) / np.expm1(-d * v)) + (1 - d) * v
+
+    # near 0 the logarithm is (1 - d) v / 2, in which digits do not cancel
+    at = np.exp(grid)
+    rises = np.log(np.where(at < 1e-6, (1 - d) / 2 * at, log_mean(at)))
+    want = np.log(r)
+    v = np.exp(np.interp(np.log(want), rises, grid))
+    for _ in range(2):
+        slope = np.where(v < 1e-4, (1 - d) / 2, 1 / np.expm1(v) + (1 - d) - d / np.expm1(d * v))
+        v = np.clip(np.where(v < 1e-6, want * 2 / (1 - d), v - (log_mean(v) - want) / slope), 1e-12, 200)
+    return v
 
 
 def _saddlepoint(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    r = c / t
-    low, high = np.full(len(t), -200.0), np.full(len(t), -1e-12)
-    for _ in range(60):
-        e = np.exp((low + high) / 2)
-        more = d * (1 - e) * e ** (d - 1) / -np.expm1(d * np.log(e)) > r
-        low, high = np.where(more, (low + high) / 2, low), np.where(more, high, (low + high) / 2)
-    e = np.exp((low + high) / 2)
+    e = np.exp(-_tilt(c / t, d))
     x, g = 1 - e, -np.expm1(d * np.log(e))
     m1, f2 = x * d * e ** (d - 1) / g, x**2 * d * (1 - d) * e ** (d - 2) / g
     f3, f4 = x**3 * d * (1 - d) * (2 - d) * e ** (d - 3) / g, x**4 * d * (1 - d) * (2 - d) * (3 - d) * e ** (d - 4) / g
@@ -504,20 +604,27 @@ def draw_tables(c: np.ndarray, weight: np.ndarray, discount: float, stirling: np
     One distribution for all counts: up to ``EXACT`` all t are weighed, above as many as its width asks for.
     """
     t = np.ones(len(c), np.int64)
-    low = np.where(c <= EXACT, c, 0)
-    order = np.argsort(low, kind="stable")
-    edges = np.searchsorted(low[order], np.arange(2, EXACT + 2))
-    log_weight = np.log(np.maximum(weight, 1e-300))
+    some = np.flatnonzero((c > 1) & (c <= EXACT))
+    order = some[np.argsort(c[some].astype(np.uint8), kind="stable")]
+    edges = np.searchsorted(c[order], np.arange(2, EXACT + 2))
     for i in range(len(edges) - 1):
         rows = order[edges[i] : edges[i + 1]]
         if not len(rows):
             continue
         n = i + 2
+        step = np.exp(np.diff(stirling[n, 1 : n + 1]))
         for at in range(0, len(rows), 1 << 14):
             r = rows[at : at + (1 << 14)]
-            logit = stirling[n, 1 : n + 1] + np.arange(1, n + 1) * log_weight[r, None]
-            p = np.exp(logit - logit.max(1, keepdims=True))
-            p = np.cumsum(p, 1)
+            usual = weight[r] <= 1e3  # for larger ones products may leave the range of numbers
+            w = weight[r[usual]]
+            p = np.ones((n, len(w)))
+            for j in range(1, n):
+                np.multiply(p[j - 1], step[j - 1] * w, out=p[j])
+            np.cumsum(p, 0, out=p)
+            t[r[usual]] = 1 + (p < u[r[usual]] * p[-1]).sum(0)
+            r = r[~usual]
+            logit = stirling[n, 1 : n + 1] + np.arange(1, n + 1) * np.log(weight[r])[:, None]
+            p = np.cumsum(np.exp(logit - logit.max(1, keepdims=True)), 1)
             t[r] = 1 + (p < u[r, None] * p[:, -1:]).sum(1)
     large = np.flatnonzero(c > EXACT)
     if len(large):
@@ -533,9 +640,10 @@ def draw_tables(c: np.ndarray, weight: np.ndarray, discount: float, stirling: np
             last = np.minimum(c[r], np.ceil(m + 8 + 7 * np.sqrt(m)))
             step = np.maximum(1, np.ceil((last - first + 1) / _POINTS))
             points = first[:, None] + step[:, None] * np.arange(_POINTS)
-            inside = points <= last[:, None]
-            points = np.minimum(points, last[:, None])
-            logit = np.where(inside, log_stirling_of(c[r, None], points, discount) + points * log_weight[r, None], -np.inf)
+            row, place = np.nonzero(points <= last[:, None])
+            at_most = points[row, place]
+            logit = np.full(points.shape, -np.inf)
+            logit[row, place] = _log_stirling_at(c[r].astype(np.float64), row, at_most, discount) + at_most * np.log(np.maximum(weight[r], 1e-300))[row]
             p = np.cumsum(np.exp(logit - logit.max(1, keepdims=True)), 1)
             on = (p < u[r, None] * p[:, -1:]).sum(1)
             within = np.floor(uniform((u[r] * float(1 << 52)).astype(np.uint64), 5) * step) - (step - 1) // 2
@@ -570,24 +678,37 @@ class Seating:
     def _fill(self) -> None:
         self.c1 = np.bincount(self.up1, self.t2, len(self.up0)).astype(np.int64)
 
+    @property
+    def root(self) -> float:
+        """What a word's new table at the root weighs."""
+        return (self.r.strength + self.r.discounts[0] * self.r.t0) * (1 - FRESH) / max(1, self.r.vocabulary)
+
+    def _above(self) -> tuple[np.ndarray, np.ndarray]:
+        r, (d0, d1, _), s = self.r, self.r.discounts, self.r.strength
+        p0 = (self.c0 - d0 * self.t0 + self.root) / (s + r.c0)
+        return p0, (self.c1 - d1 * self.t1 + (s + d1 * r.t1[self.letter]) * p0[self.up0]) / (s + r.c1[self.letter])
+
     def predictive(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        r, (d0, d1, d2), s = self.r, self.r.discounts, self.r.strength
-        base = (1 - FRESH) / max(1, r.vocabulary)
-        p0 = (self.c0 - d0 * self.t0 + (s + d0 * r.t0) * base) / (s + r.c0)
-        p1 = (self.c1 - d1 * self.t1 + (s + d1 * r.t1[self.letter]) * p0[self.up0]) / (s + r.c1[self.letter])
-        p2 = (self.c2 - d2 * self.t2 + (s + d2 * r.t2[self.k]) * p1[self.up1]) / (s + r.c2[self.k])
-        return p0, p1, p2
+        r, d2, s = self.r, self.r.discounts[2], self.r.strength
+        p0, p1 = self._above()
+        return p0, p1, (self.c2 - d2 * self.t2 + (s + d2 * r.t2[self.k]) * p1[self.up1]) / (s + r.c2[self.k])
 
     def sweep(self, n: int) -> None:
         """Draws all table numbers anew, from the leaves to the root, each given its parent as it stands."""
-        r, (d0, d1, d2), s = self.r, self.r.discounts, self.r.strength
-        p0, p1, _ = self.predictive()
-        self.t2 = draw_tables(self.c2, (s + d2 * r.t2[self.k]) * p1[self.up1], d2, self.stirling[2], uniform(self.key[self.word] + self.k.astype(np.uint64), self.salt, n, 2))
+        r, (_, d1, d2), s = self.r, self.r.discounts, self.r.strength
+        p0, p1 = self._above()
+        self.t2 = self._draw(2, self.c2, lambda on: (s + d2 * r.t2[self.k[on]]) * p1[self.up1[on]], lambda on: self.key[self.word[on]] + self.k[on].astype(np.uint64), n)
         self._fill()
-        self.t1 = draw_tables(self.c1, (s + d1 * r.t1[self.letter]) * p0[self.up0], d1, self.stirling[1], uniform(self.key[self.up0] + self.letter.astype(np.uint64), self.salt, n, 1))
+        self.t1 = self._draw(1, self.c1, lambda on: (s + d1 * r.t1[self.letter[on]]) * p0[self.up0[on]], lambda on: self.key[self.up0[on]] + self.letter[on].astype(np.uint64), n)
         self.c0 = np.bincount(self.up0, self.t1, len(self.key)).astype(np.int64)
-        base = (1 - FRESH) / max(1, r.vocabulary)
-        self.t0 = draw_tables(self.c0, np.full(len(self.key), (s + d0 * r.t0) * base), d0, self.stirling[0], uniform(self.key, self.salt, n, 0))
+        self.t0 = self._draw(0, self.c0, lambda on: np.full(len(on), self.root), lambda on: self.key[on], n)
+
+    def _draw(self, level: int, c: np.ndarray, weight: Callable[[np.ndarray], np.ndarray], key: Callable[[np.ndarray], np.ndarray], n: int) -> np.ndarray:
+        """Tables of a level; one customer has one table, so nothing is drawn there."""
+        t = np.ones(len(c), np.int64)
+        on = np.flatnonzero(c > 1)
+        t[on] = draw_tables(c[on], weight(on), self.r.discounts[level], self.stirling[level], uniform(key(on), self.salt, n, level))
+        return t
 
 
 #: Entries of the words that are seated at once.
@@ -777,8 +898,12 @@ def _answers(asked: DataFrame, model: Model) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             bucket, h, k, p, m = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             own, order, at = distinct(bucket.astype(np.uint64) << np.uint64(CONTEXT_BITS) | k.astype(np.uint64), h.view(np.uint64))
-            p, m, of = p[order][at], m[order][at], own.x >> np.uint64(CONTEXT_BITS)
+            del bucket, h, k
+            order = order[at]
+            p, m, of = p[order], m[order], own.x >> np.uint64(CONTEXT_BITS)
+            del order, at
             edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))).tolist()
             rows = []
             for i, j in zip(edge, [*edge[1:], len(of)], strict=True):
@@ -789,11 +914,13 @@ def _answers(asked: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                held.append(tuple(batch.column(i).to_numpy() for i in range(5)))
+                # copies, since views keep whole batches
+                held.append(tuple(batch.column(i).to_numpy().copy() for i in range(5)))
                 n += batch.num_rows
             if n > 1 << 20:
                 yield flush()
-                held, n = [], 0
+                n = 0
+                release()
         if held:
             yield flush()
         release()
@@ -946,64 +1073,73 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     n, v = model.tokens, model.restaurants.vocabulary
     keyed = df.select(*[F.col(f"`{c}`") for c in kept], *row_keys(df), F.col(f"`{text}`").cast("string").alias("_text"))
     shared = df.sparkSession.sparkContext.broadcast(model.upper)
+    # those who ask need no probabilities, which are most of what is broadcast
+    numbering = df.sparkSession.sparkContext.broadcast(model.upper.codes)
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = shared.value.codes
+        codes = numbering.value
         serial = TaskContext.get().partitionId() << 32
         held, keys, n = [], [], 0
 
         def flush() -> pa.RecordBatch:
             x, y, size = (np.concatenate(a) for a in zip(*held, strict=True))
-            doc = np.repeat(np.arange(len(size)), size)
+            held.clear()
             pairs, order, at = distinct(x, y)
-            doc = doc[order]
+            del x, y
+            doc = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+            del order
             new = np.ones(len(doc), bool)
             new[1:] = doc[1:] != doc[:-1]
             new[at] = True
             entry = np.flatnonzero(new)
-            copies = np.diff(np.append(entry, len(doc)))
+            copies = np.diff(np.append(entry, len(doc))).astype(np.int32)
             start = np.searchsorted(entry, at)
             each = np.diff(np.append(start, len(entry)))
             doc = doc[entry]
+            del new, entry, at
             rows = []
             for bucket, part, own in _dealt(pairs, codes):
                 e = each[own]
                 on = np.repeat(start[own] - np.concatenate(([0], np.cumsum(e)[:-1])), e) + np.arange(e.sum())
                 rows.append((bucket, 1, *part.pack(), planes(e), planes(copies[on]), planes(doc[on])))
-            rows.append((serial % codes.buckets, 2, None, None, None, None, None, np.array(keys, np.int64).tobytes()))
+            rows.append((serial % codes.buckets, 2, None, None, None, None, None, np.concatenate(keys).tobytes()))
             types = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6)
             columns = [[r[0] for r in rows], [r[1] for r in rows], [serial] * len(rows), *([r[i] for r in rows] for i in range(2, 8))]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "kind", "block", "a", "b", "c", "n", "t", "d"])
 
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
-            for i, view in enumerate(views(batch.column(2))):
-                h, k = tokens(view)
+            i = 0
+            for h, k, size in token_runs(batch.column(2)):
                 y = codes.words(h)
-                held.append((codes.contexts(y, k), y, np.array([len(y)])))
-                keys.append((k1[i], k2[i]))
+                held.append((codes.contexts(y, k), y, size))
+                keys.append(np.stack((k1[i : i + len(size)], k2[i : i + len(size)]), 1))
+                i += len(size)
                 n += len(y)
                 if n > BLOCK:
                     yield flush()
-                    held, keys, n = [], [], 0
+                    keys.clear()
+                    n = 0
                     serial += 1
+                    release()
         if held:
             yield flush()
         release()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = shared.value.codes
+        codes = numbering.value
         xs, ys, n = [], [], 0
 
         def flush() -> pa.RecordBatch:
             x, y = np.concatenate(xs), np.concatenate(ys)
+            xs.clear()
+            ys.clear()
             bucket = codes.deal(x, y).astype(np.uint64)
             own, _, _ = distinct(bucket << np.uint64(CONTEXT_BITS) | x & np.uint64(CONTEXTS - 1), y)
             return _asked((own.x >> np.uint64(CONTEXT_BITS)).astype(np.int64), own.y, own.x & np.uint64(CONTEXTS - 1))
 
         for batch in batches:
-            for view in views(batch.column(0)):
-                h, k = tokens(view)
+            for h, k, _ in token_runs(batch.column(0)):
                 y = codes.words(h)
                 on = y >= HASHED
                 xs.append(codes.contexts(y, k)[on])
@@ -1011,7 +1147,8 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 n += len(ys[-1])
                 if n > 1 << 20:
                     yield flush()
-                    xs, ys, n = [], [], 0
+                    n = 0
+                    release()
         if xs:
             yield flush()
         release()
@@ -1080,6 +1217,7 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     sums = replies.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(add, "_k1 long, _k2 long, _n long, _known long, _base double, _score double")
     sums = cut(sums, "lm-sums")
     shared.destroy()
+    numbering.destroy()
     sums = sums.groupBy("_k1", "_k2").agg(*[F.min(c).alias(c) for c in ("_n", "_known", "_base", "_score")])
     return keyed.drop("_text").join(sums, ["_k1", "_k2"]).select(
         *[F.col(f"`{c}`") for c in kept],

@@ -95,12 +95,16 @@ class Words:
 
     def _hash(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start, end = self.bounds(text)
+        return self.hashes_at(text, start, end), start, end
+
+    def hashes_at(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """One hash for each word between these offsets."""
         up, down = powers(len(text) + 1)
         sums = np.empty(len(text) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(self.values[text] * up[: len(text)], out=sums[1:])
         h = (sums[end] - sums[start]) * down[start]
-        return mix(h + (end - start).astype(np.uint64)), start, end
+        return mix(h + (end - start).astype(np.uint64))
 
 
 SPACE = bytes([0x20, *range(0x09, 0x0E)])

@@ -4,6 +4,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logloom.llm import lm
@@ -191,3 +192,24 @@ def test_many_blocks_of_documents(spark, monkeypatch):
     for r in lm.score_texts(df, model).collect():
         assert (r.n_tokens, r.n_known) == (want[r.doc_id].n_tokens, want[r.doc_id].n_known)
         assert r.score == pytest.approx(want[r.doc_id].score, rel=1e-9) and r.base_score == pytest.approx(want[r.doc_id].base_score, rel=1e-9)
+
+
+def test_texts_in_runs_have_the_tokens_of_each_text():
+    random.seed(12)
+    parts = ["a", "B", "é", ".", "!", " ", " ", "\n", "\t", "日", "x y"]
+    texts = [random.choice([None, "", "".join(random.choices(parts, k=random.randint(1, 25)))]) for _ in range(400)]
+    texts += ["z é! " * 40_000, "x", "q w" * 60_000, " "]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()).slice(3), pa.array([], pa.string())):
+        want = [lm.tokens(np.frombuffer((t or "").encode(), np.uint8)) for t in column.to_pylist()]
+        got = list(lm.token_runs(column))
+        assert [n for r in got for n in r[2]] == [len(h) for h, _ in want]
+        for i in (0, 1):
+            assert [x for r in got for x in r[i].tolist()] == [x for w in want for x in w[i].tolist()]
+
+
+def test_a_count_does_not_lose_digits_by_those_beside_it():
+    # rows of one call used to end together: the series of short ones left its range before that of long ones had ended
+    t = np.arange(1, 41)
+    alone = lm.log_stirling_of(np.array([[70.0]]), t, 0.95)
+    beside = lm.log_stirling_of(np.array([[70.0], [10.0**6]]), t, 0.95)[0]
+    assert np.allclose(alone, exact_row(70, 0.95)[1:41], atol=1e-5) and np.allclose(beside, alone, rtol=0, atol=1e-9)
