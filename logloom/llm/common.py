@@ -69,7 +69,12 @@ def uncut(df: DataFrame) -> None:
     spark = df.sparkSession
     if getattr(df, "_cut_path", None):
         _remove(spark, df._cut_path)
-        spark._jvm.System.gc()
+        forget(spark)
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffles of frames that are gone."""
+    spark._jvm.System.gc()
 
 
 def clear_cuts(spark: SparkSession) -> None:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, row_keys, uncut
-from .packed import CONTEXT_BITS, HASHED, WORD_BITS, Pairs, counted, distinct, numbers, planes
+from .common import cut, forget, release, row_keys, uncut
+from .packed import CONTEXT_BITS, HASHED, WORD_BITS, Pairs, counted, distinct, doubled, doubles, fixed, numbers, planes, unfixed
 from .tokens import LOWER, mix
 
 LETTERS = 32
@@ -40,6 +41,8 @@ FREQUENT = 1 << WORD_BITS
 HEAD = 1 << 10
 #: Tokens that a block of documents asks for at once, and training tokens of a bucket on average.
 BLOCK, BUCKET = 3 << 19, 1 << 20
+#: Rounds that documents are scored in, unless they are few: what one sends and gets is removed before the next.
+ROUNDS = 2
 #: Share of the base measure that words never seen have together; the others share the rest.
 FRESH = 0.95
 #: Counts up to here have their generalised Stirling numbers in a table; for larger ones they are computed.
@@ -287,7 +290,8 @@ def _train(texts: DataFrame, codes: Codes) -> DataFrame:
 def _dealt(pairs: Pairs, codes: Codes) -> Iterator[tuple[int, Pairs, np.ndarray]]:
     """The pairs of each bucket, and their places."""
     bucket = codes.deal(pairs.x, pairs.y)
-    order = np.argsort(bucket, kind="stable")
+    # numbers of two bytes are sorted by radix
+    order = np.argsort(bucket.astype(np.uint16) if codes.buckets <= 1 << 16 else bucket, kind="stable")
     edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0))) if len(order) else np.empty(0, np.int64)
     for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
         own = order[i:j]
@@ -303,7 +307,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
     bucket, held, asked = None, [], []
 
     def settle():
-        parts = [(q.y, q.x, np.frombuffer(r["d"]), numbers(r["n"])) for r in asked for q in (Pairs.unpack(r["a"], r["b"], r["c"]),)]
+        parts = [(q.y, q.x, doubled(r["d"], len(q.x)), numbers(r["n"])) for r in asked for q in (Pairs.unpack(r["a"], r["b"], r["c"]),)]
         none = [np.empty(0, x) for x in (np.uint64, np.uint64, np.float64, np.uint64)]
         return bucket, held, tuple(np.concatenate(x) for x in zip(none, *parts, strict=True))
 
@@ -350,7 +354,7 @@ _PART = 1 << 10
 
 def _tables(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(h, k, t): tables of each word in each context above, those of infrequent words in several rows; and the cut that
-    they are read from. Frequent words are summed within a task in one array, and handed on in deflated parts."""
+    they are read from. Frequent words are summed within a task in one array, and handed on in compressed parts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(FREQUENT * CONTEXTS, np.uint32)
@@ -908,7 +912,7 @@ def _answers(asked: DataFrame, model: Model) -> DataFrame:
             rows = []
             for i, j in zip(edge, [*edge[1:], len(of)], strict=True):
                 part = Pairs(own.x[i:j] & np.uint64(CONTEXTS - 1), own.y[i:j], 0)
-                rows.append((int(of[i]), _ANSWER, *part.pack(), planes(m[i:j]), p[i:j].tobytes()))
+                rows.append((int(of[i]), _ANSWER, *part.pack(), planes(m[i:j]), doubles(p[i:j])))
             types = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "kind", "a", "b", "c", "n", "d"])
 
@@ -1066,7 +1070,8 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Documents are told apart by a 128-bit key of the whole row. A block of documents sends each bucket its pairs of that
     bucket, a few bytes each, and gets back four sums for each document with any; sums are added up in the order of
-    buckets. Infrequent words meet their probabilities in a join. So the result covers all words and pairs at any size.
+    buckets. Infrequent words meet their probabilities in a join. Documents go through in rounds by their keys, so that not
+    all messages lie on disk at once. So the result covers all words and pairs at any size.
     """
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in df.columns if c != text and c.lower() not in made]
@@ -1178,8 +1183,8 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     size = np.bincount(doc, copies)
                     at = np.flatnonzero(size)
                     known = np.bincount(doc, copies * (m[of] > 0))
-                    sums = (np.bincount(doc, copies * a[of])[at].tobytes() for a in (base, log))
-                    out.append((row["block"], bucket, planes(at, True), planes(size[at]), planes(known[at]), *sums, None))
+                    both = (fixed(np.bincount(doc, copies * a[of])[at]) for a in (base, log))
+                    out.append((row["block"], bucket, planes(at, True), planes(size[at]), planes(known[at]), *both, None))
             types = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["block", "bucket", "d", "size", "known", "base", "score", "keys"])
             del out, rows, asked
@@ -1190,16 +1195,16 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         def settle() -> pa.RecordBatch:
             keys = np.frombuffer(next(r["keys"] for r in held if r["keys"] is not None), np.int64).reshape(-1, 2)
-            sums = np.zeros((4, len(keys)))
+            total = np.zeros((4, len(keys)))
             for r in held:
                 if r["d"] is not None:
                     at = numbers(r["d"], True).astype(np.int64)
-                    sums[0, at] += numbers(r["size"])
-                    sums[1, at] += numbers(r["known"])
-                    sums[2, at] += np.frombuffer(r["base"])
-                    sums[3, at] += np.frombuffer(r["score"])
-            whole = (pa.array(x.astype(np.int64)) for x in sums[:2])
-            return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *whole, pa.array(sums[2]), pa.array(sums[3])], names=["_k1", "_k2", "_n", "_known", "_base", "_score"])
+                    total[0, at] += numbers(r["size"])
+                    total[1, at] += numbers(r["known"])
+                    total[2, at] += unfixed(r["base"])
+                    total[3, at] += unfixed(r["score"])
+            whole = (pa.array(x.astype(np.int64)) for x in total[:2])
+            return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *whole, pa.array(total[2]), pa.array(total[3])], names=["_k1", "_k2", "_n", "_known", "_base", "_score"])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -1212,14 +1217,20 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield settle()
 
     texts = keyed.select("_k1", "_k2", "_text")
-    answers = _answers(texts.select("_text").mapInArrow(ask, "bucket int, h long, k short"), model)
-    replies = _dealt_again(model.upper.codes.buckets, texts.mapInArrow(request, _REQUEST), model.pairs, answers).mapInArrow(answer, _REPLY)
-    sums = replies.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(add, "_k1 long, _k2 long, _n long, _known long, _base double, _score double")
-    sums = cut(sums, "lm-sums")
+    rounds = ROUNDS if n > BLOCK else 1
+    parts = []
+    for i in range(rounds):
+        own = texts.where(F.pmod("_k1", F.lit(rounds)) == i)
+        answers = _answers(own.select("_text").mapInArrow(ask, "bucket int, h long, k short"), model)
+        replies = _dealt_again(model.upper.codes.buckets, own.mapInArrow(request, _REQUEST), model.pairs, answers).mapInArrow(answer, _REPLY)
+        made = replies.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(add, "_k1 long, _k2 long, _n long, _known long, _base double, _score double")
+        parts.append(cut(made, "lm-sums"))
+        del answers, replies, made
+        forget(df.sparkSession)
     shared.destroy()
     numbering.destroy()
-    sums = sums.groupBy("_k1", "_k2").agg(*[F.min(c).alias(c) for c in ("_n", "_known", "_base", "_score")])
-    return keyed.drop("_text").join(sums, ["_k1", "_k2"]).select(
+    found = reduce(DataFrame.unionByName, parts).groupBy("_k1", "_k2").agg(*[F.min(c).alias(c) for c in ("_n", "_known", "_base", "_score")])
+    return keyed.drop("_text").join(found, ["_k1", "_k2"]).select(
         *[F.col(f"`{c}`") for c in kept],
         F.col("_n").alias("n_tokens"),
         F.col("_known").alias("n_known"),

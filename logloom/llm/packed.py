@@ -1,41 +1,64 @@
 """Sorted pairs of words in a few bytes each, for shuffles whose rows would be longer than what they say.
 
 Words have codes: the most frequent ones small numbers, all others their hash with the top bit set. Pairs of two small
-numbers are one key; sorted keys are kept as differences, byte by byte in planes, deflated. A pair takes two to four
+numbers are one key; sorted keys are kept as differences, byte by byte in planes, compressed. A pair takes two to four
 bytes so, one with a hashed word about nine.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 #: Bits of a frequent word's number, and of the context beside it.
 WORD_BITS, CONTEXT_BITS = 16, 6
 HASHED = np.uint64(1 << 63)
+_CODEC = pa.Codec("zstd", compression_level=1)
+#: Parts of one that sums are rounded to; a message's rounding is far below what the sums of a document show.
+_PARTS = float(1 << 32)
 
 
 def planes(x: np.ndarray, differences: bool = False) -> bytes:
-    """Unsigned numbers as deflated planes of their bytes; ``differences`` suits sorted ones."""
+    """Unsigned numbers as compressed planes of their bytes; ``differences`` suits sorted ones."""
     x = np.ascontiguousarray(x, np.uint64)
     if differences and len(x):
         x = np.concatenate((x[:1], np.diff(x)))
     used = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
     body = x.view(np.uint8).reshape(-1, 8)[:, :used].T
-    return bytes([used]) + zlib.compress(np.ascontiguousarray(body).tobytes(), 1)
+    return bytes([used]) + len(x).to_bytes(5, "little") + _CODEC.compress(np.ascontiguousarray(body), asbytes=True)
 
 
 def numbers(data: bytes, differences: bool = False) -> np.ndarray:
-    used = data[0]
-    body = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(used, -1)
+    used, n = data[0], int.from_bytes(data[1:6], "little")
+    body = np.frombuffer(_CODEC.decompress(memoryview(data)[6:], used * n), np.uint8).reshape(used, n)
     out = np.zeros((body.shape[1], 8), np.uint8)
     out[:, :used] = body.T
     x = out.view(np.uint64).ravel()
     return np.cumsum(x, dtype=np.uint64) if differences else x
 
 
+def fixed(x: np.ndarray) -> bytes:
+    """Sums of logarithms in fixed point, rounded to 2^-32."""
+    q = np.rint(x * _PARTS).astype(np.int64)
+    return planes(((q << 1) ^ (q >> 63)).view(np.uint64))
+
+
+def unfixed(data: bytes) -> np.ndarray:
+    q = numbers(data)
+    return ((q >> np.uint64(1)).view(np.int64) ^ -(q & np.uint64(1)).view(np.int64)) / _PARTS
+
+
+def doubles(x: np.ndarray) -> bytes:
+    """Any numbers as they are, compressed; many of them equal."""
+    return _CODEC.compress(np.ascontiguousarray(x, np.float64), asbytes=True)
+
+
+def doubled(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(_CODEC.decompress(data, 8 * n), np.float64)
+
+
 @dataclass
 class Pairs:
     """Distinct pairs (context x, word y), sorted by x and y; ``small`` of them come first, whose codes are both numbers."""
@@ -82,7 +105,14 @@ def distinct(x: np.ndarray, y: np.ndarray) -> tuple[Pairs, np.ndarray, np.ndarra
     """Distinct pairs in order; an order of the given pairs by them, and where in it each begins."""
     small = (x >> np.uint64(63) | y >> np.uint64(63)) == 0
     a, b = np.flatnonzero(small), np.flatnonzero(~small)
-    a = a[np.argsort(x[a] << np.uint64(WORD_BITS) | y[a], kind="stable")]
+    key = x[a] << np.uint64(WORD_BITS) | y[a]
+    bits = len(a).bit_length()
+    if 2 * WORD_BITS + CONTEXT_BITS + bits <= 64:
+        # places below the keys: numbers are sorted several times faster than places by them
+        key = np.sort(key << np.uint64(bits) | np.arange(len(a), dtype=np.uint64))
+        a = a[(key & np.uint64((1 << bits) - 1)).astype(np.int64)]
+    else:
+        a = a[np.argsort(key, kind="stable")]
     b = b[np.lexsort((y[b], x[b]))]
     order = np.concatenate((a, b))
     x, y = x[order], y[order]

@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 
 from logloom.llm import lm
-from logloom.llm.packed import HASHED, Pairs, distinct, numbers, planes
+from logloom.llm.common import cut
+from logloom.llm.packed import HASHED, Pairs, distinct, doubled, doubles, fixed, numbers, planes, unfixed
 from logloom.llm.queries import op9_language_model
 
 from . import brute
@@ -207,9 +208,36 @@ def test_texts_in_runs_have_the_tokens_of_each_text():
             assert [x for r in got for x in r[i].tolist()] == [x for w in want for x in w[i].tolist()]
 
 
-def test_a_count_does_not_lose_digits_by_those_beside_it():
-    # rows of one call used to end together: the series of short ones left its range before that of long ones had ended
-    t = np.arange(1, 41)
-    alone = lm.log_stirling_of(np.array([[70.0]]), t, 0.95)
-    beside = lm.log_stirling_of(np.array([[70.0], [10.0**6]]), t, 0.95)[0]
-    assert np.allclose(alone, exact_row(70, 0.95)[1:41], atol=1e-5) and np.allclose(beside, alone, rtol=0, atol=1e-9)
+def test_stirling_numbers_at_large_discounts():
+    # was off by 0.015 before
+    t = np.arange(1, 701)
+    assert np.abs(lm.log_stirling_of(np.float64(700), t, 0.95) - exact_row(700, 0.95)[1:701]).max() < 0.013
+
+
+def test_rounds_leave_no_document_out_and_none_twice(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"a b{i % 7} c") for i in range(60)] + [(None, None), (3, "a b3 c")], "doc_id long, text string").coalesce(1)
+    model = lm.fit(df.select("text"), buckets=3)
+    want = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.score, 6)) for r in lm.score_texts(df, model).collect())
+    monkeypatch.setattr(lm, "BLOCK", 40)
+    written = []
+
+    def counting(frame, tag, instead=None):
+        out = cut(frame, tag, instead)
+        written.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(lm, "cut", counting)
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.score, 6)) for r in lm.score_texts(df, model).collect())
+    assert got == want and len(got) == 62
+    # what a round sends lies on disk until it is written, so no round may have all documents
+    assert [tag for tag, _ in written] == ["lm-sums"] * lm.ROUNDS
+    assert sum(n for _, n in written) == 62 and max(n for _, n in written) < 50
+
+
+def test_messages_keep_their_numbers():
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.normal(0, 50, 999), [0.0, -1e6, 1e6]))
+    assert np.abs(unfixed(fixed(x)) - x).max() <= 2.0**-33
+    assert (doubled(doubles(x), len(x)) == x).all()
+    assert len(unfixed(fixed(x[:0]))) == len(doubled(doubles(x[:0]), 0)) == 0
+    assert len(fixed(x[:999])) < 6 * 999
