@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -120,11 +122,16 @@ def _map(f: Callable[[str], str]) -> Callable[[Column], Column]:
     return run
 
 
-_NAMED = {"\t": "\\t", "\r": "\\r", "\n": "\\n", "'": "\\'", '"': '\\"', "\\": "\\\\"}
+def _let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
-def _escape_default(s: str) -> str:
-    return "".join(_NAMED.get(c) or (c if 32 <= ord(c) < 127 else f"\\u{{{ord(c):x}}}") for c in s)
+def str_escape(c: Column) -> Column:
+    for plain, escaped in (("\\", "\\\\"), ("\t", "\\t"), ("\r", "\\r"), ("\n", "\\n"), ("'", "\\'"), ('"', '\\"')):
+        c = F.replace(c, F.lit(plain), F.lit(escaped))
+    pieces = F.regexp_extract_all(c, F.lit(r"[\x20-\x7e]+|[^\x20-\x7e]"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^[\x20-\x7e]"), p).otherwise(F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(p))), F.lit("}")))), "")
 
 
 def html_escape(c: Column) -> Column:
@@ -133,6 +140,55 @@ def html_escape(c: Column) -> Column:
     return c
 
 
+#: Buckets of the table of HTML's named references, and the common ones that need no look at it.
+_BUCKETS = 64
+_COMMON = (("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("amp;", "&"), ("#x27;", "'"), ("#x2F;", "/"))
+
+
+def _references() -> Column:
+    """HTML's names and what they stand for, in buckets by the names' CRC."""
+    buckets: list[list[str]] = [[] for _ in range(_BUCKETS)]
+    for name, text in html5.items():
+        buckets[zlib.crc32(name.encode()) % _BUCKETS].append(f"{name}\x02{text}")
+    return F.array(*[F.str_to_map(F.lit("\x01".join(b)), F.lit("\x01"), F.lit("\x02")) for b in buckets])
+
+
+def html_unescape(c: Column) -> Column:
+    """References of HTML 5 resolved as `html.unescape` of Python resolves them, in the JVM row by row: text that passes through
+    Python's workers is held there by the batch."""
+    table = _references()
+    legacy = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+    low = F.split(F.lit("\ue000".join(html.unescape(f"&#{n};") for n in range(160))), "\ue000")
+    after = lambda p, n: F.substring(p, n + F.lit(1), F.length(p))
+
+    def character(n: Column) -> Column:
+        nothing = n.between(0xFDD0, 0xFDEF) | (F.pmod(n, F.lit(0x10000)) >= 0xFFFE)
+        one = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(n), 8, "0"))), "UTF-32")
+        return F.when(n < 160, F.get(low, n.cast("int"))).when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd")).when(nothing, F.lit("")).otherwise(one)
+
+    def number(base: int) -> Callable[[Column], Column]:
+        return lambda digits: F.when(F.length(digits) > 8, F.lit(0x110000).cast("bigint")).otherwise(F.conv(F.concat(F.lit("0"), digits), base, 10).cast("bigint"))
+
+    def numeric(p: Column) -> Column:
+        n = F.when(p.rlike("^#[xX]"), _let(F.regexp_extract(p, "^#[xX]0*([0-9a-fA-F]*)", 1), number(16))).otherwise(_let(F.regexp_extract(p, "^#0*([0-9]*)", 1), number(10)))
+        return F.concat(_let(n, character), F.regexp_replace(p, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", ""))
+
+    def named(p: Column) -> Column:
+        head = F.substring(p, F.lit(1), F.lit(33))
+        names = F.array(F.regexp_extract(head, r"^[^\t\n\f <&#;]{1,32};", 0), F.regexp_extract(head, f"^(?:{legacy})", 0))
+        bucket = lambda name: F.get(table, F.pmod(F.crc32(name.cast("binary")), F.lit(_BUCKETS)).cast("int"))
+        made = F.transform(names, lambda name: F.concat(F.try_element_at(bucket(name), name), after(p, F.length(name))))
+        return _let(made, lambda m: F.coalesce(F.get(m, F.lit(0)), F.get(m, F.lit(1)), F.concat(F.lit("&"), p)))
+
+    def resolved(p: Column) -> Column:
+        out = F.when(F.lit(False), p)
+        for name, text in _COMMON:
+            out = out.when(p.startswith(name), F.concat(F.lit(text), after(p, F.lit(len(name)))))
+        return out.when(p.rlike("^#(?:[0-9]|[xX][0-9a-fA-F])"), numeric(p)).otherwise(named(p))
+
+    return F.array_join(F.transform(F.split(c, "&"), lambda p, i: F.when(i == 0, p).otherwise(resolved(p))), "")
+
+
 def json_escape(c: Column) -> Column:
     return F.regexp_replace(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":"(.*)"\}$', "$1")
 
@@ -264,8 +320,8 @@ FUNCTIONS: dict[str, Callable[..., Value]] = {
     "base64_encode": _text(lambda c: F.base64(F.encode(c, "UTF-8"))),
     "base64_decode": _text(base64_decode),
     "html_escape": _text(html_escape),
-    "html_unescape": _text(lambda c: _map(html.unescape)(c)),
-    "str_escape": _text(lambda c: _map(_escape_default)(c)),
+    "html_unescape": _text(html_unescape),
+    "str_escape": _text(str_escape),
     "json_escape": _text(json_escape),
     "json_unescape": _text(json_unescape),
     "Time::to_ts": lambda v: _to_ts(v),

@@ -1,3 +1,6 @@
+import html
+from html.entities import html5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +94,28 @@ def test_value_functions(spark, call, text, want):
         assert got == want
 
 
+ODD_TEXTS = [
+    "", "&", "a&&b&", "&#", "&#x;", "&#xg;", "&#0;", "&#x0041", "&#000000000065;", "&#99999999;", "&#x100000000;", "&#xD800;", "&#x80;", "&#xB;", "&#xFFFE;", "&#xfeff;", "&#x1F600;z", "&#٣;", "&amp;lt;", "&notit;",
+    "&notin;", "&no;", "&lt&lt", "&ampé", "&" + "a" * 32 + ";", "&CounterClockwiseContourIntegral;", "&CounterClockwiseContourIntegral", "&NewLine;&Tab;&bsol;", "\x00&lt\x00", "a\\'\"\t\r\n\x7f\x80é中😀~ ",
+    *[f"&{n}x" for n in html5], *[f"&{n[:-1]}" for n in html5],
+]
+
+
+def test_escapes_hold_no_batches_in_python(spark):
+    named = {"\t": "\\t", "\r": "\\r", "\n": "\\n", "'": "\\'", '"': '\\"', "\\": "\\\\"}
+    escaped = lambda s: "".join(named.get(c) or (c if 32 <= ord(c) < 127 else f"\\u{{{ord(c):x}}}") for c in s)
+    df = spark.createDataFrame([(t,) for t in [*ODD_TEXTS, None]], "x string")
+    out = model(df, "x = read(x) ; h = read(x) | html_unescape ; r = read(x) | html_escape | html_unescape ; s = read(x) | str_escape ;")
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in out.collect()]
+    assert got == [(t, html.unescape(t), t, escaped(t)) for t in ODD_TEXTS] + [(None,) * 4]
+
+
+def test_numbers_of_any_length_are_unescaped(spark):
+    row = model(spark.createDataFrame([("&#" + "1" * 5000 + ";&#" + "0" * 5000 + "65;",)], "x string"), "y = read(x) | html_unescape ;").first()
+    assert row.y == "\ufffdA"
+
+
 def test_time_functions_and_clock(spark):
     df = spark.sql("SELECT timestamp_ntz'2024-01-01 08:00:00.5' AS t")
     row = model(df, "a = read(t) | Time::to_ts ; b = read(t) | Time::to_ts_ms ; c = read(t) | Time::to_ts_zone(0, us) ; d = Now::date() ; h = Now::hour() ;", now=F.expr("timestamp_ntz'2020-02-03 04:05:06'")).first()
